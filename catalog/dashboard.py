@@ -24,8 +24,8 @@ def recent_trades(spark, sf):
 
 
 @query(f"""
-SELECT symbol, window_size, window_start, window_end, round(avg_price, 6) AS avg_price, round(std_dev, 6) AS std_dev,
-       round(total_volume, 6) AS total_volume, trade_count, round(vwap, 6) AS vwap, min_price, max_price
+SELECT symbol, window_size, window_start, window_end, {v.half_up("avg_price", 6)} AS avg_price, {v.half_up("std_dev", 6)} AS std_dev,
+       {v.half_up("total_volume", 6)} AS total_volume, trade_count, {v.half_up("vwap", 6)} AS vwap, min_price, max_price
 FROM ({v.METRICS_SQL}) WHERE symbol = 'view' AND window_size = '5m' ORDER BY window_start DESC LIMIT 100""")
 def metrics_latest(spark, sf):
     return prices.metrics_latest(v.metrics(spark, sf), "view", "5m", 100)
@@ -37,8 +37,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY quoted_
 
 
 @query(f"""
-SELECT symbol, round(current_price, 6) AS current_price, change, percent_change, round(high_price, 6) AS high_price,
-       round(low_price, 6) AS low_price, quoted_at FROM ({_LATEST_QUOTE_SQL})""")
+SELECT symbol, {v.half_up("current_price", 6)} AS current_price, change, percent_change, {v.half_up("high_price", 6)} AS high_price,
+       {v.half_up("low_price", 6)} AS low_price, quoted_at FROM ({_LATEST_QUOTE_SQL})""")
 def latest_quote(spark, sf):
     return prices.latest_quotes(v.quotes(spark, sf))
 
@@ -48,7 +48,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY scored_
                FROM ({v.SENTIMENT_SQL})) WHERE rn = 1"""
 
 
-@query(f"SELECT symbol, round(sentiment_score, 6) AS sentiment_score, scored_at FROM ({_LATEST_SENTIMENT_SQL})")
+@query(f"SELECT symbol, {v.half_up("sentiment_score", 6)} AS sentiment_score, scored_at FROM ({_LATEST_SENTIMENT_SQL})")
 def latest_sentiment(spark, sf):
     return prices.latest_sentiment(v.sentiment(spark, sf))
 
@@ -62,8 +62,8 @@ def ticker_snapshot(spark, sf):
 
 
 @query(f"""
-SELECT symbol, round(current_price, 6) AS current_price, change, percent_change, round(high_price, 6) AS high_price,
-       round(low_price, 6) AS low_price, round(open_price, 6) AS open_price, round(prev_close, 6) AS prev_close, quoted_at
+SELECT symbol, {v.half_up("current_price", 6)} AS current_price, change, percent_change, {v.half_up("high_price", 6)} AS high_price,
+       {v.half_up("low_price", 6)} AS low_price, {v.half_up("open_price", 6)} AS open_price, {v.half_up("prev_close", 6)} AS prev_close, quoted_at
 FROM ({v.QUOTES_SQL}) WHERE quoted_at >= TIMESTAMP '2001-01-01' - INTERVAL 8760 HOUR""")
 def quote_history(spark, sf):
     now = F.lit("2001-01-01 00:00:00").cast("timestamp")
@@ -72,15 +72,14 @@ def quote_history(spark, sf):
 
 
 @query(f"""
-SELECT id, symbol, quoted_at, current_price, round(current_price / first_value(current_price)
-       OVER (PARTITION BY symbol ORDER BY quoted_at, id) * 100, 6) AS normalised FROM ({v.QUOTES_SQL})""")
+SELECT id, symbol, quoted_at, current_price, {v.half_up("current_price / first_value(current_price) OVER (PARTITION BY symbol ORDER BY quoted_at, id) * 100", 6)} AS normalised FROM ({v.QUOTES_SQL})""")
 def normalized_prices(spark, sf):
     return prices.normalised_prices(v.quotes(spark, sf))
 
 
 @query(f"""
 SELECT symbol, arg_min(current_price, (quoted_at, id)) AS first_value, arg_max(current_price, (quoted_at, id)) AS last_value,
-       count(*) AS points, round((last_value - first_value) / first_value * 100, 6) AS pct_change,
+       count(*) AS points, {v.half_up("(last_value - first_value) / first_value * 100", 6)} AS pct_change,
        last_value >= first_value AS is_up FROM ({v.QUOTES_SQL}) GROUP BY symbol""")
 def pct_change(spark, sf):
     return prices.price_change(v.quotes(spark, sf))
@@ -89,15 +88,15 @@ def pct_change(spark, sf):
 @query(f"""
 WITH p AS (SELECT symbol, greatest(0, least(1, coalesce(nullif(sentiment_score, 0), 0.5))) * 100 AS pct
            FROM ({_LATEST_SENTIMENT_SQL}))
-SELECT symbol, round(pct, 6) AS percent,
+SELECT symbol, {v.half_up("pct", 6)} AS percent,
        CASE WHEN pct >= 60 THEN 'Bullish' WHEN pct >= 40 THEN 'Neutral' ELSE 'Bearish' END AS band,
-       round(pct - 50, 6) AS delta FROM p""")
+       {v.half_up("pct - 50", 6)} AS delta FROM p""")
 def sentiment_gauge(spark, sf):
     return prices.sentiment_gauge(v.sentiment(spark, sf))
 
 
 @query(f"""
-SELECT id, symbol, scored_at, round(sentiment_score, 6) AS sentiment_score, 0.6::DOUBLE AS bullish_line,
+SELECT id, symbol, scored_at, {v.half_up("sentiment_score", 6)} AS sentiment_score, 0.6::DOUBLE AS bullish_line,
        0.4::DOUBLE AS bearish_line
 FROM ({v.SENTIMENT_SQL}) WHERE scored_at >= {NOW_SQL} - INTERVAL 72 HOUR""")
 def sentiment_history(spark, sf):
@@ -117,7 +116,7 @@ def _week(spark, sf, **filters):
 
 
 @query(f"""
-SELECT id, symbol, anomaly_type, severity, detection_method, round(anomaly_score, 6) AS anomaly_score, price_at_anomaly,
+SELECT id, symbol, anomaly_type, severity, detection_method, {v.half_up("anomaly_score", 6)} AS anomaly_score, price_at_anomaly,
        volume_at_anomaly, context, detected_at
 FROM ({v.ANOMALIES_SQL}) WHERE detected_at >= {NOW_SQL} - INTERVAL 168 HOUR AND severity = 'low'
      AND detection_method = 'iqr' ORDER BY detected_at DESC, id DESC LIMIT 500""")
@@ -129,7 +128,7 @@ def anomaly_filter(spark, sf):
 SELECT id, symbol, detected_at, anomaly_type, detection_method, severity,
        upper(severity[1]) || severity[2:] AS severity_label,
        list_position(['low', 'medium', 'high', 'critical'], severity)::BIGINT AS severity_rank,
-       round(anomaly_score, 6) AS anomaly_score, round(least(anomaly_score, 20) + 6, 6) AS bubble_size
+       {v.half_up("anomaly_score", 6)} AS anomaly_score, {v.half_up("least(anomaly_score, 20) + 6", 6)} AS bubble_size
 FROM ({_FILTERED_SQL})""")
 def anomaly_timeline(spark, sf):
     return anomalies.timeline(_week(spark, sf))
@@ -176,7 +175,7 @@ def anomaly_cards(spark, sf):
 # reports --------------------------------------------------------------------------------
 
 @query(f"""
-SELECT r.id, r.anomaly_log_id, r.symbol, r.root_cause_type, r.summary, round(r.confidence_score, 6) AS confidence_score,
+SELECT r.id, r.anomaly_log_id, r.symbol, r.root_cause_type, r.summary, {v.half_up("r.confidence_score", 6)} AS confidence_score,
        r.generated_at, a.severity, a.anomaly_type, a.detection_method, a.price_at_anomaly,
        a.detected_at AS anomaly_detected_at,
        printf('%d%%', round(confidence_score * 100)::INTEGER) || CASE WHEN confidence_score >= 0.7 THEN ' (High)'
@@ -217,7 +216,7 @@ def recommendation_rows(spark, sf):
 
 
 @query(f"""
-SELECT count(*) AS total_reports, round(avg(confidence_score), 6) AS avg_confidence, round(avg(tokens_used), 6) AS avg_tokens,
+SELECT count(*) AS total_reports, {v.half_up("avg(confidence_score)", 6)} AS avg_confidence, {v.half_up("avg(tokens_used)", 6)} AS avg_tokens,
        count(DISTINCT symbol) AS symbols_investigated FROM ({v.REPORTS_SQL})""")
 def report_summary(spark, sf):
     return reports.summary(v.reports(spark, sf))

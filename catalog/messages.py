@@ -53,8 +53,8 @@ def feed_normalize(spark, sf):
 
 
 @query(f"""
-SELECT symbol, round(current_price, 6) AS current_price, change, percent_change, round(high_price, 6) AS high_price,
-       round(low_price, 6) AS low_price, round(open_price, 6) AS open_price, round(prev_close, 6) AS prev_close,
+SELECT symbol, {v.half_up("current_price", 6)} AS current_price, change, percent_change, {v.half_up("high_price", 6)} AS high_price,
+       {v.half_up("low_price", 6)} AS low_price, {v.half_up("open_price", 6)} AS open_price, {v.half_up("prev_close", 6)} AS prev_close,
        TIMESTAMP '2024-01-01' AS quoted_at
 FROM ({v.QUOTES_SQL}) WHERE status <> 'P'""")
 def quote_normalize(spark, sf):
@@ -63,9 +63,9 @@ def quote_normalize(spark, sf):
 
 
 @query(f"""
-SELECT CAST(user_id AS VARCHAR) AS symbol, {v.K} AS buzz_articles_in_last_week, round(value / 7, 6) AS buzz_weekly_average,
-       round(value / 500, 6) AS company_news_score, 0.6::DOUBLE AS sector_avg_bullish, 0.4::DOUBLE AS sector_avg_bearish,
-       round(coalesce(nullif({v.K} / 100.0::DOUBLE, 0), value / 500), 6) AS sentiment_score,
+SELECT CAST(user_id AS VARCHAR) AS symbol, {v.K} AS buzz_articles_in_last_week, {v.half_up("value / 7", 6)} AS buzz_weekly_average,
+       {v.half_up("value / 500", 6)} AS company_news_score, 0.6::DOUBLE AS sector_avg_bullish, 0.4::DOUBLE AS sector_avg_bearish,
+       {v.half_up(f"coalesce(nullif({v.K} / 100.0::DOUBLE, 0), value / 500)", 6)} AS sentiment_score,
        TIMESTAMP '2024-01-01' AS scored_at FROM events""")
 def sentiment_normalize(spark, sf):
     k = F.from_json("props", "k INT")["k"]

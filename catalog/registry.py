@@ -8,6 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.functions.scalars import settled
 from tidegauge.runtime import prepare
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,7 +25,7 @@ def comparable(df: DataFrame) -> DataFrame:
         if kind == "timestamp":
             column = column.cast("timestamp_ntz")
         elif kind == "double":
-            column = F.round(column, 6)
+            column = settled(column, 6)
         shown.append(column.alias(name))
     return df.select(*shown)
 

@@ -15,9 +15,9 @@ WINDOW_VALUES = ", ".join(f"('{label}', INTERVAL '{length}' SECOND)" for label,
 DAY_VALUES = ", ".join(f"('{label}', INTERVAL '{length}' SECOND)" for label, length in v.DAYS)
 EPOCH = "TIMESTAMP '1970-01-01'"
 
-_METRIC_SQL = """round(avg(price), 6) AS avg_price, round(coalesce(stddev_samp(price), 0), 6) AS std_dev,
-       round(sum(volume), 6) AS total_volume, count(*) AS trade_count,
-       round(CASE WHEN sum(volume) < 1e-9 THEN avg(price) ELSE sum(price * volume) / sum(volume) END, 6) AS vwap,
+_METRIC_SQL = f"""{v.half_up("avg(price)", 6)} AS avg_price, {v.half_up("coalesce(stddev_samp(price), 0)", 6)} AS std_dev,
+       {v.half_up("sum(volume)", 6)} AS total_volume, count(*) AS trade_count,
+       {v.half_up("CASE WHEN sum(volume) < 1e-9 THEN avg(price) ELSE sum(price * volume) / sum(volume) END", 6)} AS vwap,
        min(price) AS min_price, max(price) AS max_price"""
 
 TRAILING_SQL = f"""
@@ -26,9 +26,9 @@ WITH t AS ({v.trades_sql("user_id")}), e AS (SELECT max(ts) AS w_end FROM t),
 SELECT symbol, window_size, w_end - d AS window_start, w_end AS window_end, {_METRIC_SQL}
 FROM t, e, w WHERE ts >= w_end - d GROUP BY symbol, window_size, w_end, d"""
 
-_BAR_SQL = """arg_min(price, (ts, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, id)) AS close,
-       round(sum(volume), 6) AS volume, count(*) AS trade_count,
-       round(CASE WHEN sum(volume) < 1e-9 THEN avg(price) ELSE sum(price * volume) / sum(volume) END, 6) AS vwap"""
+_BAR_SQL = f"""arg_min(price, (ts, id)) AS open, max(price) AS high, min(price) AS low, arg_max(price, (ts, id)) AS close,
+       {v.half_up("sum(volume)", 6)} AS volume, count(*) AS trade_count,
+       {v.half_up("CASE WHEN sum(volume) < 1e-9 THEN avg(price) ELSE sum(price * volume) / sum(volume) END", 6)} AS vwap"""
 
 
 @query(TRAILING_SQL)
@@ -57,11 +57,10 @@ def sliding_ohlcv(spark, sf):
 
 def _frame_sql(label: str, length: int) -> str:
     return f"""
-SELECT DISTINCT symbol, ts, '{label}' AS window_size, round(avg(price) OVER w, 6) AS avg_price,
-       round(coalesce(stddev_samp(price) OVER w, 0), 6) AS std_dev, round(sum(volume) OVER w, 6) AS total_volume,
+SELECT DISTINCT symbol, ts, '{label}' AS window_size, {v.half_up("avg(price) OVER w", 6)} AS avg_price,
+       {v.half_up("coalesce(stddev_samp(price) OVER w, 0)", 6)} AS std_dev, {v.half_up("sum(volume) OVER w", 6)} AS total_volume,
        count(*) OVER w AS trade_count,
-       round(CASE WHEN sum(volume) OVER w < 1e-9 THEN avg(price) OVER w
-                  ELSE sum(price * volume) OVER w / sum(volume) OVER w END, 6) AS vwap,
+       {v.half_up("CASE WHEN sum(volume) OVER w < 1e-9 THEN avg(price) OVER w ELSE sum(price * volume) OVER w / sum(volume) OVER w END", 6)} AS vwap,
        min(price) OVER w AS min_price, max(price) OVER w AS max_price
 FROM ({v.trades_sql()})
 WINDOW w AS (PARTITION BY symbol ORDER BY ts RANGE BETWEEN INTERVAL '{length}' SECOND PRECEDING AND CURRENT ROW)"""
@@ -143,14 +142,14 @@ def anomaly_events(spark, sf):
     return detectors.anomaly_events(_last(spark, sf), rows, iso_utc(v.newest_event(spark, sf)))
 
 
-@query(f"SELECT symbol, round(avg(price), 6) AS price, round(avg(volume), 6) AS volume FROM ({v.trades_sql()}) GROUP BY symbol")
+@query(f"SELECT symbol, {v.half_up("avg(price)", 6)} AS price, {v.half_up("avg(volume)", 6)} AS volume FROM ({v.trades_sql()}) GROUP BY symbol")
 def batch_means(spark, sf):
     return detectors.batch_means(v.trades(spark, sf))
 
 
 @query(f"""
-SELECT symbol, round(quantile_cont(price, 0.25), 6) AS q1, round(quantile_cont(price, 0.5), 6) AS q2,
-       round(quantile_cont(price, 0.75), 6) AS q3 FROM ({v.trades_sql()}) GROUP BY symbol""")
+SELECT symbol, {v.half_up("quantile_cont(price, 0.25)", 6)} AS q1, {v.half_up("quantile_cont(price, 0.5)", 6)} AS q2,
+       {v.half_up("quantile_cont(price, 0.75)", 6)} AS q3 FROM ({v.trades_sql()}) GROUP BY symbol""")
 def exact_quartiles(spark, sf):
     return grouped_quantiles(v.trades(spark, sf), ["symbol"], "price", (0.25, 0.5, 0.75), ("q1", "q2", "q3"))
 
@@ -161,8 +160,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY window_
 
 
 @query(f"""
-SELECT symbol, window_size, window_start, window_end, round(avg_price, 6) AS avg_price, round(std_dev, 6) AS std_dev,
-       round(total_volume, 6) AS total_volume, trade_count, round(vwap, 6) AS vwap, min_price, max_price
+SELECT symbol, window_size, window_start, window_end, {v.half_up("avg_price", 6)} AS avg_price, {v.half_up("std_dev", 6)} AS std_dev,
+       {v.half_up("total_volume", 6)} AS total_volume, trade_count, {v.half_up("vwap", 6)} AS vwap, min_price, max_price
 FROM ({_TOP_SQL})""")
 def latest_per_symbol_topn(spark, sf):
     rows = v.metrics(spark, sf)
@@ -170,8 +169,8 @@ def latest_per_symbol_topn(spark, sf):
 
 
 @query(" UNION ALL ".join(
-    f"SELECT '{f}' AS feature, round(avg({f}), 6) AS mean, "
-    f"round(coalesce(nullif(stddev_pop({f}), 0), 1), 6) AS scale FROM ({_TOP_SQL})"
+    f"SELECT '{f}' AS feature, {v.half_up(f"avg({f})", 6)} AS mean, "
+    f"{v.half_up(f"coalesce(nullif(stddev_pop({f}), 0), 1)", 6)} AS scale FROM ({_TOP_SQL})"
     for f in ("avg_price", "total_volume", "std_dev", "vwap", "trade_count")))
 def feature_scaling(spark, sf):
     return iforest.scaling(iforest.training_rows(v.metrics(spark, sf)))

@@ -47,7 +47,7 @@ def _detect(spark, sf):
 @query(f"""
 WITH m AS (SELECT symbol, avg(price) AS price, avg(volume) AS volume
            FROM ({v.trades_sql("user_id", "value")}) GROUP BY symbol)
-SELECT symbol, kind AS anomaly_type, sev AS severity, detection_method, round(score, 6) AS anomaly_score,
+SELECT symbol, kind AS anomaly_type, sev AS severity, detection_method, {v.half_up("score", 6)} AS anomaly_score,
        {v.half_up('m.price', 4)} AS price_at_anomaly, {v.half_up('m.volume', 4)} AS volume_at_anomaly, ctx AS context,
        TIMESTAMP '2024-02-01' AS detected_at
 FROM ({v.verdicts_sql(v.LAST_STATS_SQL, 'symbol')}) JOIN m USING (symbol) WHERE is_anomaly""")
@@ -62,7 +62,7 @@ def stream_detect(spark, sf):
 WITH t AS ({v.trades_sql("user_id", "value")}), e AS (SELECT max(ts) AS w_end FROM t),
      w(window_size, d) AS (VALUES ('1d', INTERVAL 1 DAY), ('5d', INTERVAL 5 DAY), ('15d', INTERVAL 15 DAY))
 SELECT symbol, window_size, w_end - d AS window_start, w_end AS window_end, count(*) AS trade_count,
-       min(price) AS min_price, max(price) AS max_price, round(sum(volume), 4) AS total_volume
+       min(price) AS min_price, max(price) AS max_price, {v.half_up("sum(volume)", 4)} AS total_volume
 FROM t, e, w WHERE ts >= w_end - d GROUP BY symbol, window_size, w_end, d""")
 def stream_trailing_metrics(spark, sf):
     stored = tables.read_batches(spark, _detect(spark, sf), AGGREGATED_METRICS)

@@ -213,9 +213,9 @@ SELECT {keep}, 'volume_spike', 3, volume,
 FROM ({stats})"""
 
 
-VERDICT_SQL = """detection_method, is_anomaly, CASE WHEN is_anomaly THEN kind ELSE 'none' END AS anomaly_type,
+VERDICT_SQL = f"""detection_method, is_anomaly, CASE WHEN is_anomaly THEN kind ELSE 'none' END AS anomaly_type,
        CASE WHEN is_anomaly THEN sev ELSE 'low' END AS severity,
-       round(CASE WHEN is_anomaly THEN score ELSE 0 END, 6) AS anomaly_score, round(value, 6) AS value,
+       {half_up("CASE WHEN is_anomaly THEN score ELSE 0 END", 6)} AS anomaly_score, {half_up("value", 6)} AS value,
        CASE WHEN is_anomaly THEN ctx END AS context"""
 
 ANOMALIES_SQL = f"""
