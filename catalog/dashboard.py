@@ -17,7 +17,7 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-N
 
 @query(f"""
 SELECT id, symbol, price, volume, ts AS trade_timestamp FROM ({v.trades_sql()})
-WHERE symbol = 'view' AND ts >= {NOW_SQL} - INTERVAL 7 DAY""")
+WHERE symbol = 'view' AND ts >= {NOW_SQL} - INTERVAL 7 DAY""", settle=False)
 def recent_trades(spark, sf):
     rows = v.trades(spark, sf).withColumnRenamed("ts", "trade_timestamp")
     return prices.recent_trades(rows, "view", v.newest_event(spark, sf), 7 * 24 * 60)
@@ -37,8 +37,8 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY quoted_
 
 
 @query(f"""
-SELECT symbol, {v.half_up("current_price", 6)} AS current_price, change, percent_change, {v.half_up("high_price", 6)} AS high_price,
-       {v.half_up("low_price", 6)} AS low_price, quoted_at FROM ({_LATEST_QUOTE_SQL})""")
+SELECT symbol, current_price, change, percent_change, high_price,
+       low_price, quoted_at FROM ({_LATEST_QUOTE_SQL})""", settle=False)
 def latest_quote(spark, sf):
     return prices.latest_quotes(v.quotes(spark, sf))
 
@@ -48,7 +48,7 @@ SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY scored_
                FROM ({v.SENTIMENT_SQL})) WHERE rn = 1"""
 
 
-@query(f"SELECT symbol, {v.half_up("sentiment_score", 6)} AS sentiment_score, scored_at FROM ({_LATEST_SENTIMENT_SQL})")
+@query(f"SELECT symbol, sentiment_score, scored_at FROM ({_LATEST_SENTIMENT_SQL})", settle=False)
 def latest_sentiment(spark, sf):
     return prices.latest_sentiment(v.sentiment(spark, sf))
 
@@ -62,9 +62,9 @@ def ticker_snapshot(spark, sf):
 
 
 @query(f"""
-SELECT symbol, {v.half_up("current_price", 6)} AS current_price, change, percent_change, {v.half_up("high_price", 6)} AS high_price,
-       {v.half_up("low_price", 6)} AS low_price, {v.half_up("open_price", 6)} AS open_price, {v.half_up("prev_close", 6)} AS prev_close, quoted_at
-FROM ({v.QUOTES_SQL}) WHERE quoted_at >= TIMESTAMP '2001-01-01' - INTERVAL 8760 HOUR""")
+SELECT symbol, current_price, change, percent_change, high_price,
+       low_price, open_price, prev_close, quoted_at
+FROM ({v.QUOTES_SQL}) WHERE quoted_at >= TIMESTAMP '2001-01-01' - INTERVAL 8760 HOUR""", settle=False)
 def quote_history(spark, sf):
     now = F.lit("2001-01-01 00:00:00").cast("timestamp")
     rows = prices.quote_history(v.quotes(spark, sf), now, 8760)
@@ -72,7 +72,7 @@ def quote_history(spark, sf):
 
 
 @query(f"""
-SELECT id, symbol, quoted_at, current_price, {v.half_up("current_price / first_value(current_price) OVER (PARTITION BY symbol ORDER BY quoted_at, id) * 100", 6)} AS normalised FROM ({v.QUOTES_SQL})""")
+SELECT id, symbol, quoted_at, current_price, current_price / first_value(current_price) OVER (PARTITION BY symbol ORDER BY quoted_at, id) * 100 AS normalised FROM ({v.QUOTES_SQL})""", settle=False)
 def normalized_prices(spark, sf):
     return prices.normalised_prices(v.quotes(spark, sf))
 
@@ -96,9 +96,9 @@ def sentiment_gauge(spark, sf):
 
 
 @query(f"""
-SELECT id, symbol, scored_at, {v.half_up("sentiment_score", 6)} AS sentiment_score, 0.6::DOUBLE AS bullish_line,
+SELECT id, symbol, scored_at, sentiment_score, 0.6::DOUBLE AS bullish_line,
        0.4::DOUBLE AS bearish_line
-FROM ({v.SENTIMENT_SQL}) WHERE scored_at >= {NOW_SQL} - INTERVAL 72 HOUR""")
+FROM ({v.SENTIMENT_SQL}) WHERE scored_at >= {NOW_SQL} - INTERVAL 72 HOUR""", settle=False)
 def sentiment_history(spark, sf):
     return prices.sentiment_history(v.sentiment(spark, sf), v.newest_event(spark, sf), 72)
 

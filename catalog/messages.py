@@ -17,15 +17,15 @@ MILLIS = "%Y-%m-%dT%H:%M:%S.%g"
 def _trade_texts(spark, sf):
     """Events as trade messages; some are not JSON, some have no valid time."""
     events = v.trades(spark, sf)
-    moment = F.when(F.col("id") % 89 == 0, "junk").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"))
+    moment = F.when(F.col("volume") == 0, "junk").otherwise(F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSxxx"))
     body = F.to_json(F.struct("symbol", "price", "volume", moment.alias("trade_timestamp"),
                               F.lit(1).alias("extra")))
-    return events.select(F.when(F.col("id") % 97 == 0, "not json").otherwise(body).alias("value"))
+    return events.select(F.when(F.col("symbol") == "error", "not json").otherwise(body).alias("value"))
 
 
 @query(f"""
 SELECT symbol, price, volume, ts, 0::BIGINT AS conditions
-FROM ({v.trades_sql()}) WHERE id % 97 <> 0 AND id % 89 <> 0""")
+FROM ({v.trades_sql()}) WHERE symbol <> 'error' AND volume <> 0""", settle=False)
 def decode_trades(spark, sf):
     rows = messages.decode_trades(_trade_texts(spark, sf))
     return rows.select("symbol", "price", "volume", "ts", F.size("conditions").cast("bigint").alias("conditions"))
@@ -37,7 +37,7 @@ FROM (
   SELECT CAST(user_id AS VARCHAR) AS symbol, value AS price, CAST({v.K} AS DOUBLE) AS volume,
          date_trunc('milliseconds', ts) AS ts_ms, 1::BIGINT AS n FROM events WHERE event_type <> 'error'
   UNION ALL
-  SELECT 'UNKNOWN', value, 0, TIMESTAMP '1970-01-01', 0 FROM events WHERE event_type <> 'error')""")
+  SELECT 'UNKNOWN', value, 0, TIMESTAMP '1970-01-01', 0 FROM events WHERE event_type <> 'error')""", settle=False)
 def feed_normalize(spark, sf):
     rows = v.table(spark, sf, "events")
     whole = F.struct(
@@ -53,20 +53,20 @@ def feed_normalize(spark, sf):
 
 
 @query(f"""
-SELECT symbol, {v.half_up("current_price", 6)} AS current_price, change, percent_change, {v.half_up("high_price", 6)} AS high_price,
-       {v.half_up("low_price", 6)} AS low_price, {v.half_up("open_price", 6)} AS open_price, {v.half_up("prev_close", 6)} AS prev_close,
+SELECT symbol, current_price, change, percent_change, high_price,
+       low_price, open_price, prev_close,
        TIMESTAMP '2024-01-01' AS quoted_at
-FROM ({v.QUOTES_SQL}) WHERE status <> 'P'""")
+FROM ({v.QUOTES_SQL}) WHERE status <> 'P'""", settle=False)
 def quote_normalize(spark, sf):
     now = F.lit("2024-01-01 00:00:00").cast("timestamp")
     return messages.quote_rows(messages.decode_quotes(v.quote_messages(spark, sf)), now)
 
 
 @query(f"""
-SELECT CAST(user_id AS VARCHAR) AS symbol, {v.K} AS buzz_articles_in_last_week, {v.half_up("value / 7", 6)} AS buzz_weekly_average,
-       {v.half_up("value / 500", 6)} AS company_news_score, 0.6::DOUBLE AS sector_avg_bullish, 0.4::DOUBLE AS sector_avg_bearish,
-       {v.half_up(f"coalesce(nullif({v.K} / 100.0::DOUBLE, 0), value / 500)", 6)} AS sentiment_score,
-       TIMESTAMP '2024-01-01' AS scored_at FROM events""")
+SELECT CAST(user_id AS VARCHAR) AS symbol, {v.K} AS buzz_articles_in_last_week, value / 7 AS buzz_weekly_average,
+       value / 500 AS company_news_score, 0.6::DOUBLE AS sector_avg_bullish, 0.4::DOUBLE AS sector_avg_bearish,
+       coalesce(nullif({v.K} / 100.0::DOUBLE, 0), value / 500) AS sentiment_score,
+       TIMESTAMP '2024-01-01' AS scored_at FROM events""", settle=False)
 def sentiment_normalize(spark, sf):
     k = F.from_json("props", "k INT")["k"]
     texts = v.table(spark, sf, "events").select(F.to_json(F.struct(
@@ -90,7 +90,7 @@ def news_dedup(spark, sf):
 @query(f"""
 SELECT symbol AS key, '{{"symbol":"' || symbol || '","price":' || price || ',"volume":' || volume || ',"ts":"' ||
        strftime(date_trunc('milliseconds', ts), '{MILLIS}') || 'Z"}}' AS value
-FROM ({v.trades_sql()})""")
+FROM ({v.trades_sql()})""", settle=False)
 def encode_messages(spark, sf):
     rows = v.trades(spark, sf).withColumn("ts", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'"))
     return messages.encode(rows, "symbol", ["symbol", "price", "volume", "ts"])
@@ -100,7 +100,7 @@ def encode_messages(spark, sf):
 SELECT l_orderkey, l_linenumber, CAST(TRY_CAST(l_extendedprice / 7 AS DECIMAL(10,6)) AS DOUBLE) AS anomaly_score,
        CAST(TRY_CAST(l_extendedprice / 7 AS DECIMAL(12,4)) AS DOUBLE) AS price_at_anomaly,
        CASE WHEN TRY_CAST(l_extendedprice / 7 AS DECIMAL(10,6)) IS NULL THEN 'overflow anomaly_score' END AS reject_reason
-FROM lineitem""")
+FROM lineitem""", settle=False)
 def decimal_store(spark, sf):
     rows = v.table(spark, sf, "lineitem").select(
         "l_orderkey", "l_linenumber", (F.col("l_extendedprice") / 7).alias("anomaly_score"),
@@ -133,7 +133,7 @@ def constraint_rejects(spark, sf):
 
 @query(f"""
 SELECT id, symbol, CAST(CAST(price AS DECIMAL(12,4)) AS DOUBLE) AS price, CAST(CAST(volume AS DECIMAL(20,4)) AS DOUBLE) AS volume,
-       ts AS trade_timestamp FROM ({v.trades_sql()})""")
+       ts AS trade_timestamp FROM ({v.trades_sql()})""", settle=False)
 def table_roundtrip(spark, sf):
     root = scratch_path(spark, "tables")
     rows = v.trades(spark, sf).withColumn("trade_timestamp", F.col("ts"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import rules
 from tidegauge.functions.scalars import finite, settled
+from tidegauge.operators.latest import latest_per_key
 from tidegauge.operators.sharding import GROUP_LIMIT, attach, grouped_quantiles, preceding_rows
 from tidegauge.runtime import cut
 
@@ -28,16 +29,15 @@ def clean_trades(trades: DataFrame) -> DataFrame:
 def history_statistics(trades: DataFrame, quartiles: bool = True, group_limit: int = GROUP_LIMIT) -> DataFrame:
     """Per symbol: its last trade, and statistics of all trades before it.
 
-    The last trade comes from a grouped aggregate and is attached to the rows to leave it
-    out of the history. No symbol is sorted or gathered.
+    The last trade is attached to the rows to leave it out of the history. No symbol is
+    sorted or gathered.
     """
-    keyed = clean_trades(trades).withColumn("_moment", F.struct("ts", "id"))
-    last = cut(keyed.groupBy("symbol").agg(
-        F.max("_moment").alias("_last"),
-        F.max_by(F.struct("price", "volume", "ts", "id"), F.col("_moment")).alias("current"),
-    ))
-    history = attach(keyed, last.select("symbol", "_last"), ["symbol"], fixed=True).filter(
-        F.col("_moment") < F.col("_last"))
+    keyed = clean_trades(trades).select("symbol", "price", "volume", "ts", "id")
+    last = cut(latest_per_key(keyed, "symbol", ("ts", "id")).select(
+        "symbol", F.struct("price", "volume", "ts", "id").alias("current")))
+    border = last.select("symbol", F.col("current.ts").alias("_ts"), F.col("current.id").alias("_id"))
+    history = attach(keyed, border, ["symbol"], fixed=True).filter(
+        (F.col("ts") < F.col("_ts")) | ((F.col("ts") == F.col("_ts")) & (F.col("id") < F.col("_id"))))
     known = history.groupBy("symbol").agg(
         F.count(F.lit(1)).alias("history_n"),
         F.avg("price").alias("mean"),

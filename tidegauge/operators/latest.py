@@ -12,9 +12,17 @@ from tidegauge.runtime import cut
 
 
 def latest_per_key(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """The row with the greatest `order` of each key; a grouped aggregate."""
+    """The row with the greatest `order` of each key; `order` starts with the time column.
+
+    First the newest time of each key, from two columns and in a hash aggregate. Only rows
+    at those times are then compared whole, and rows older than all of them are not read.
+    """
+    time = order[0]
+    tops = cut(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.max(time).alias("_top")))
+    recent = rows.filter(F.col(time) >= tops.agg(F.min("_top")).scalar())
+    newest = attach(recent, tops, [key], fixed=True).filter(F.col(time) == F.col("_top"))
     whole = F.struct(*[F.col(c) for c in rows.columns])
-    return (rows.filter(F.col(key).isNotNull()).groupBy(F.col(key).alias("_key"))
+    return (newest.groupBy(F.col(key).alias("_key"))
             .agg(F.max_by(whole, F.struct(*order)).alias("r")).select("r.*"))
 
 
@@ -33,12 +41,17 @@ def newest_n(rows: DataFrame, key: str, order: Sequence[Column], n: int, spread:
 
 
 def series_ends(rows: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:
-    """First and last value and length of each key's series."""
+    """First and last value and length of each key's series, found in two steps like `latest_per_key`."""
+    time = order[0]
+    span = cut(rows.filter(F.col(key).isNotNull()).groupBy(key).agg(
+        F.min(time).alias("_from"), F.max(time).alias("_to"), F.count(F.lit(1)).alias("points")))
+    ends = attach(rows.select(key, value, *order), span, [key], fixed=True).filter(
+        (F.col(time) == F.col("_from")) | (F.col(time) == F.col("_to")))
     moment = F.struct(*order)
-    return rows.groupBy(key).agg(
+    return ends.groupBy(key).agg(
         F.min_by(value, moment).alias("first_value"),
         F.max_by(value, moment).alias("last_value"),
-        F.count(F.lit(1)).alias("points"),
+        F.max("points").alias("points"),
     )
 
 

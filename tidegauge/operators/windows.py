@@ -121,6 +121,42 @@ def ohlcv_levels(trades: DataFrame, windows: Sequence[tuple[str, int]] = WINDOWS
     }), "window_size")
 
 
+# How each folded statistic combines over instants.
+_MERGE = {"_n": F.sum, "_k": F.sum, "_d1": F.sum, "_d2": F.sum, "_vol": F.sum, "_pv": F.sum, "_min": F.min, "_max": F.max}
+
+
+def _add(a: Column, b: Column) -> Column:
+    return F.coalesce(a + b, a, b)
+
+
+_COMBINE = {name: {F.sum: _add, F.min: F.least, F.max: F.greatest}[how] for name, how in _MERGE.items()}
+
+
+def _frame(rows: DataFrame, length: int) -> tuple[DataFrame, dict[str, Column]]:
+    """Statistics of (ts - length .. ts) for every instant, without touching a frame's rows one by one.
+
+    Time is cut into cells as long as the frame, so a frame is the end of one cell plus the
+    start of the next. Both parts are running aggregates of their cell, one forwards and one
+    backwards; the backward one is read at the frame's first instant.
+    """
+    micros = length * 1_000_000
+    part = ("symbol", "_chunk")
+    cell = F.floor(F.col("_at") / micros)
+    forward = Window.partitionBy(*part, "_cell").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
+    backward = Window.partitionBy(*part, "_cell").orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    reach = Window.partitionBy(*part).orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, micros)
+    tail = F.struct(F.col("_cell").alias("cell"), *[how(name).over(backward).alias(name) for name, how in _MERGE.items()])
+    placed = (rows.withColumn("_cell", cell)
+              .withColumn("_head", F.struct(*[how(name).over(forward).alias(name) for name, how in _MERGE.items()]))
+              .withColumn("_tail", tail)
+              .withColumn("_far", F.last("_tail").over(reach)))
+    earlier = F.col("_far.cell") < F.col("_cell")
+    head = {name: F.col(f"_head.{name}") for name in _MERGE}
+    merged = {name: F.when(earlier, _COMBINE[name](head[name], F.col(f"_far.{name}"))).otherwise(head[name])
+              for name in _MERGE}
+    return placed, merged
+
+
 def range_frame_metrics(trades: DataFrame, windows: Sequence[tuple[str, int]] = WINDOWS) -> DataFrame:
     """Trailing statistics at every instant that has a trade: one row per (symbol, ts).
 
@@ -148,32 +184,30 @@ def range_frame_metrics(trades: DataFrame, windows: Sequence[tuple[str, int]] =
     placed = (instants.withColumn("_home", F.explode(copies))
               .withColumns({"_at": at, "_chunk": chunk + F.col("_home")}))
 
+    # Moments around the chunk's mean price stay exact where plain sums of squares would cancel.
     whole = Window.partitionBy("symbol", "_chunk")
     centre = F.sum(F.col("_mean") * F.col("_k")).over(whole) / F.nullif(F.sum("_k").over(whole), F.lit(0))
     offset = F.col("_mean") - F.col("_centre")
-    moments = placed.withColumn("_centre", centre).withColumns({
+    rows = placed.withColumn("_centre", centre).withColumns({
         "_d1": offset * F.col("_k"),
         "_d2": (F.col("_var") + offset * offset) * F.col("_k"),
     })
-    columns, records = {}, []
+    records = []
     for i, (label, length) in enumerate(windows):
-        frame = whole.orderBy("_at").rangeBetween(-length * 1_000_000, 0)
-        for name, how in (("_n", F.sum), ("_k", F.sum), ("_d1", F.sum), ("_d2", F.sum), ("_vol", F.sum),
-                          ("_pv", F.sum), ("_min", F.min), ("_max", F.max)):
-            columns[f"{name}{i}"] = how(name).over(frame)
-        k, d1, d2 = F.col(f"_k{i}"), F.col(f"_d1{i}"), F.col(f"_d2{i}")
+        rows, stat = _frame(rows, length)
+        k, d1, d2 = stat["_k"], stat["_d1"], stat["_d2"]
         mean = F.col("_centre") + F.try_divide(d1, k)
         squares = F.greatest(d2 - F.try_divide(d1 * d1, k), F.lit(0.0))
-        total = F.coalesce(F.col(f"_vol{i}"), F.lit(0.0))
-        records.append(F.struct(
+        total = F.coalesce(stat["_vol"], F.lit(0.0))
+        rows = rows.withColumn(f"_record{i}", F.struct(
             F.lit(label).alias("window_size"),
             mean.alias("avg_price"),
             F.when(k > 1, F.sqrt(squares / F.greatest(k - 1, F.lit(1)))).otherwise(0.0).alias("std_dev"),
             total.alias("total_volume"),
-            F.col(f"_n{i}").alias("trade_count"),
-            _vwap(F.col(f"_pv{i}"), total, mean).alias("vwap"),
-            F.col(f"_min{i}").alias("min_price"),
-            F.col(f"_max{i}").alias("max_price"),
-        ))
-    return (moments.withColumns(columns).filter(F.col("_home") == 0)
-            .select("symbol", "ts", F.inline(F.array(*records))))
+            stat["_n"].alias("trade_count"),
+            _vwap(stat["_pv"], total, mean).alias("vwap"),
+            stat["_min"].alias("min_price"),
+            stat["_max"].alias("max_price"),
+        )).drop("_cell", "_head", "_tail", "_far")
+        records.append(F.col(f"_record{i}"))
+    return rows.filter(F.col("_home") == 0).select("symbol", "ts", F.inline(F.array(*records)))

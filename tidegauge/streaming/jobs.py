@@ -39,18 +39,22 @@ def run(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoin
 
 def detection(root: str, now: Callable[[], Column] = F.current_timestamp, forest: Forest | None = None,
               publish: Callable[[DataFrame], None] | None = None, windows=WINDOWS, model_window: str = "5m",
-              recent: Callable[[Column], DataFrame] | None = None) -> Callable[[DataFrame, int], None]:
+              recent: Callable[[Column], DataFrame] | None = None,
+              keep: bool = False) -> Callable[[DataFrame, int], None]:
     """Batch callback: store window metrics, run all detectors, store and publish anomalies.
 
     Each table is written to the batch's own partition, so a retried batch replaces its
     earlier rows. `recent(start)` may return stored trades from `start` on; the trailing
     windows then reach back over batch borders. Rows that do not fit the table are kept
     apart with a reason; any other failure fails the batch, which is then run again.
+    `keep` persists the batch while it is worked on: for sources that are dear to read
+    again, with a rate limit that bounds the batch.
     """
     def on_batch(trades: DataFrame, batch_id: int) -> None:
         if trades.isEmpty():
             return
-        trades = trades.persist()
+        if keep:
+            trades = trades.persist()
         try:
             seen = trades
             if recent is not None:
@@ -70,7 +74,8 @@ def detection(root: str, now: Callable[[], Column] = F.current_timestamp, forest
             found.unpersist()
             metrics.unpersist()
         finally:
-            trades.unpersist()
+            if keep:
+                trades.unpersist()
 
     return on_batch
 
