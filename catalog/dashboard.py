@@ -19,8 +19,9 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-N
 SELECT id, symbol, price, volume, ts AS trade_timestamp FROM ({v.trades_sql()})
 WHERE symbol = 'view' AND ts >= {NOW_SQL} - INTERVAL 7 DAY""", settle=False)
 def recent_trades(spark, sf):
-    rows = v.trades(spark, sf).withColumnRenamed("ts", "trade_timestamp")
-    return prices.recent_trades(rows, "view", v.newest_event(spark, sf), 7 * 24 * 60)
+    events = v.table(spark, sf, "events")
+    rows = v.trades_of(events, zoned=False).withColumnRenamed("ts", "trade_timestamp")
+    return prices.recent_trades(rows, "view", events.agg(F.max("ts")).scalar(), 7 * 24 * 60)
 
 
 @query(f"""
@@ -66,7 +67,7 @@ SELECT symbol, current_price, change, percent_change, high_price,
        low_price, open_price, prev_close, quoted_at
 FROM ({v.QUOTES_SQL}) WHERE quoted_at >= TIMESTAMP '2001-01-01' - INTERVAL 8760 HOUR""", settle=False)
 def quote_history(spark, sf):
-    now = F.lit("2001-01-01 00:00:00").cast("timestamp")
+    now = F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")
     rows = prices.quote_history(v.quotes(spark, sf), now, 8760)
     return rows.select(*prices.QUOTE_COLUMNS).orderBy("quoted_at")
 
@@ -100,7 +101,8 @@ SELECT id, symbol, scored_at, sentiment_score, 0.6::DOUBLE AS bullish_line,
        0.4::DOUBLE AS bearish_line
 FROM ({v.SENTIMENT_SQL}) WHERE scored_at >= {NOW_SQL} - INTERVAL 72 HOUR""", settle=False)
 def sentiment_history(spark, sf):
-    return prices.sentiment_history(v.sentiment(spark, sf), v.newest_event(spark, sf), 72)
+    now = v.table(spark, sf, "events").agg(F.max("ts")).scalar()
+    return prices.sentiment_history(v.sentiment(spark, sf), now, 72)
 
 
 # anomalies ------------------------------------------------------------------------------
@@ -172,6 +174,14 @@ def anomaly_cards(spark, sf):
     return anomalies.cards(_week(spark, sf), 50)
 
 
+@query(f"""
+SELECT id, symbol, detected_at, {", ".join(f"CAST(json_extract_string(context, '$.{k}') AS DOUBLE) AS {k}"
+                                           for k in anomalies.CONTEXT_KEYS["iqr"])}
+FROM ({v.ANOMALIES_SQL}) WHERE detection_method = 'iqr'""")
+def anomaly_context(spark, sf):
+    return anomalies.context_fields(v.anomalies(spark, sf), "iqr")
+
+
 # reports --------------------------------------------------------------------------------
 
 @query(f"""

@@ -19,11 +19,13 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def trades_of(events: DataFrame, symbol: str = "event_type", volume: str = "k") -> DataFrame:
+def trades_of(events: DataFrame, symbol: str = "event_type", volume: str = "k", zoned: bool = True) -> DataFrame:
+    """Times without zone as stored keep their filters in the scan; streams need zoned ones."""
+    moment = F.col("ts").cast("timestamp") if zoned else F.col("ts")
     amount = F.from_json("props", "k INT")["k"].cast("double") if volume == "k" else F.col(volume)
     return events.select(
         F.col("event_id").alias("id"), F.col(symbol).cast("string").alias("symbol"),
-        F.col("value").alias("price"), amount.alias("volume"), F.col("ts").cast("timestamp").alias("ts"))
+        F.col("value").alias("price"), amount.alias("volume"), moment.alias("ts"))
 
 
 def trades(spark: SparkSession, sf: str, symbol: str = "event_type", volume: str = "k") -> DataFrame:
@@ -53,8 +55,8 @@ def quotes(spark: SparkSession, sf: str) -> DataFrame:
         F.col("o_orderkey").alias("id"), F.col("o_orderpriority").alias("symbol"),
         price.alias("current_price"), move.alias("change"), (move / 100).alias("percent_change"),
         (price + 1).alias("high_price"), (price - 1).alias("low_price"), (price - move).alias("open_price"),
-        (price - move).alias("prev_close"), F.col("o_orderdate").cast("timestamp").alias("quoted_at"),
-        F.col("o_orderdate").cast("timestamp").alias("created_at"))
+        (price - move).alias("prev_close"), F.col("o_orderdate").alias("quoted_at"),
+        F.col("o_orderdate").alias("created_at"))
 
 
 def sentiment(spark: SparkSession, sf: str) -> DataFrame:
@@ -62,7 +64,7 @@ def sentiment(spark: SparkSession, sf: str) -> DataFrame:
     score = F.coalesce(F.nullif(k / 100, F.lit(0.0)), F.col("value") / 500)
     return table(spark, sf, "events").select(
         F.col("event_id").alias("id"), F.col("user_id").cast("string").alias("symbol"),
-        score.alias("sentiment_score"), F.col("ts").cast("timestamp").alias("scored_at"))
+        score.alias("sentiment_score"), F.col("ts").alias("scored_at"))
 
 
 def metrics(spark: SparkSession, sf: str) -> DataFrame:

@@ -2,18 +2,21 @@
 
 The model is data: a node table (one row per tree node, at most trees * (2 * sample - 1)
 rows), the feature scaling and the contamination threshold. Trees grow in parallel, each
-from its own hash-drawn sample; scoring walks all trees over Arrow batches.
+from its own hash-drawn sample; scoring walks all trees over Arrow batches
+of the five features; no other column leaves the JVM.
 """
 
 from __future__ import annotations
 
 import json
 import math
+import sys
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,6 +26,9 @@ from tidegauge.operators.sharding import GROUP_LIMIT, grouped_quantiles
 from tidegauge.runtime import cut
 from tidegauge.schemas import FEATURES, FOREST_NODE
 
+# Functions of this module travel to the Python workers by value: executors need no copy of the package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 # Forest size, contamination share, seed, rows per tree, least training rows.
 TREES = 100
 CONTAMINATION = 0.05
@@ -178,15 +184,14 @@ def isolation_scores(rows: DataFrame, forest: Forest) -> DataFrame:
     spark = rows.sparkSession
     shipped = spark.sparkContext.broadcast(_node_arrays(forest.nodes.toPandas()))
     norm = float(path_correction(np.array([forest.sample]))[0]) or 1.0
-    scaled = [((F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - m) / s).alias(f"_x{i}")
-              for i, (f, m, s) in enumerate(zip(FEATURES, forest.means, forest.scales))]
-    marks = [f"_x{i}" for i in range(len(FEATURES))]
-    columns = rows.columns
+    scaled = [(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - m) / s
+              for f, m, s in zip(FEATURES, forest.means, forest.scales)]
 
-    def walk(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    @F.pandas_udf("double")
+    def walk(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
         feature, split, length = shipped.value
-        for pdf in batches:
-            x = pdf[marks].to_numpy(dtype=float)
+        for columns in batches:
+            x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
             row, total = np.arange(len(x)), np.zeros(len(x))
             for f, s, path in zip(feature, split, length):
                 node = np.zeros(len(x), dtype=np.int64)
@@ -196,12 +201,10 @@ def isolation_scores(rows: DataFrame, forest: Forest) -> DataFrame:
                     node[moving] = 2 * here + 1 + (x[row[moving], f[here]] > s[here])
                     moving = f[node] >= 0
                 total += path[node]
-            out = pdf[columns].copy()
-            out["iso_score"] = np.exp2(-total / len(feature) / norm)
-            yield out
+            yield pd.Series(np.exp2(-total / len(feature) / norm))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields)
-    return rows.select("*", *scaled).mapInPandas(walk, f"{schema}, iso_score DOUBLE")
+    # Marked so that the optimizer keeps one evaluation instead of copying it into later filters.
+    return rows.withColumn("iso_score", walk.asNondeterministic()(*scaled))
 
 
 def isolation_verdicts(metrics: DataFrame, forest: Forest | None) -> DataFrame:

@@ -57,6 +57,22 @@ def cards(rows: DataFrame, limit: int = 50) -> DataFrame:
         "context", "detected_at"))
 
 
+# The context keys of each method.
+CONTEXT_KEYS = {
+    "zscore": ("z_score", "mean", "std", "threshold"),
+    "iqr": ("q1", "q3", "iqr", "lower_fence", "upper_fence", "k"),
+    "volume_spike": ("current_volume", "avg_volume", "ratio", "threshold"),
+}
+
+
+def context_fields(rows: DataFrame, method: str) -> DataFrame:
+    """Anomalies of one method with their context decoded into columns."""
+    schema = ", ".join(f"{key} DOUBLE" for key in CONTEXT_KEYS[method])
+    return (rows.filter(F.col("detection_method") == method)
+            .select("id", "symbol", "detected_at", F.from_json("context", schema).alias("c"))
+            .select("id", "symbol", "detected_at", "c.*"))
+
+
 def severity_counts(anomalies: DataFrame, since: Column | None = None) -> DataFrame:
     rows = anomalies if since is None else anomalies.filter(F.col("detected_at") >= since)
     return rows.groupBy("severity").agg(F.count(F.lit(1)).alias("cnt"))

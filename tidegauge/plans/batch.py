@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from tidegauge.operators.detectors import anomaly_events, last_verdicts
 from tidegauge.operators.iforest import Forest, isolation_verdicts
@@ -24,6 +25,6 @@ def events(trades: DataFrame, metrics: DataFrame, now: Column, forest: Forest |
 
 
 def log_rows(anomalies: DataFrame) -> DataFrame:
-    """Anomaly events in the columns of the anomaly table."""
-    named = anomalies.withColumnsRenamed({"price": "price_at_anomaly", "volume": "volume_at_anomaly"})
+    """Anomaly events in the columns of the anomaly table; an empty context is stored as null."""
+    named = anomalies.withColumn("context", F.nullif(F.col("context"), F.lit("{}"))).withColumnsRenamed({"price": "price_at_anomaly", "volume": "volume_at_anomaly"})
     return named.select(*[c for c, _ in ANOMALY_LOGS.columns if c in named.columns])

@@ -15,11 +15,12 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    "spark.sql.sources.partitionOverwriteMode": "dynamic",
 }
 
-# Streaming state larger than executor memory belongs on local disk, not on the heap.
-STREAM_SETTINGS = {
+# Only a new session takes these: finished checkpoints are removed with their DataFrames, and
+# streaming state larger than executor memory belongs on local disk, not on the heap.
+NEW_SESSION = {
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     "spark.sql.streaming.stateStore.providerClass":
         "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
@@ -29,7 +30,7 @@ def build_session(app: str = "tidegauge", master: str | None = None, **conf: str
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in {**SETTINGS, **STREAM_SETTINGS, **conf}.items():
+    for key, value in {**SETTINGS, **NEW_SESSION, **conf}.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
 

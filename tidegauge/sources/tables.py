@@ -56,17 +56,19 @@ def shape(rows: DataFrame, table: Table, now: Column) -> DataFrame:
 def append(rows: DataFrame, root: str, table: Table, now: Column, batch_id: int | None = None) -> None:
     """Write rows to the table.
 
+    Rows are rebalanced by day first: adaptive execution splits a day that is too large for
+    one file and merges small ones, so the number of files follows the size of the data.
     With `batch_id` the rows go to that batch's own partition and replace what an
     earlier attempt of the same batch left there, so a retried batch is written once.
     """
     key = [c for c in ("symbol", table.time) if c in dict(table.columns)]
     shaped = shape(rows, table, now)
     if batch_id is None:
-        (shaped.sortWithinPartitions(table.day, *key).write.mode("append")
+        (shaped.hint("rebalance", table.day).sortWithinPartitions(table.day, *key).write.mode("append")
          .partitionBy(table.day).parquet(table_path(root, table)))
         return
-    (shaped.withColumn("batch_id", F.lit(batch_id).cast("bigint")).sortWithinPartitions(*key)
-     .write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+    (shaped.hint("rebalance").sortWithinPartitions(*key)
+     .withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
      .partitionBy("batch_id").parquet(f"{table_path(root, table)}_by_batch"))
 
 
