@@ -32,6 +32,17 @@ def settled(value: Column, digits: int) -> Column:
     return F.round(F.round(value, digits + 5), digits)
 
 
+def moment_key(ts: Column, row_id: Column) -> Column:
+    """One number that orders like (ts, id).
+
+    A decimal has a fixed width in aggregation buffers, a struct has not: `min_by` over
+    this key stays a hash aggregate where a struct key would sort the input. The factor
+    exceeds the span of a 64-bit id.
+    """
+    factor = F.lit("20000000000000000000").cast("decimal(20,0)")
+    return F.unix_micros(ts).cast("decimal(18,0)") * factor + row_id.cast("bigint")
+
+
 def seconds(length: int) -> Column:
     return F.expr(f"INTERVAL '{int(length)}' SECOND")
 

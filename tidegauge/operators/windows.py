@@ -10,7 +10,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalars import seconds
+from tidegauge.functions.scalars import moment_key, seconds
+from tidegauge.operators.sharding import CHUNK_ROWS, largest_group
 from tidegauge.schemas import WINDOWS
 
 
@@ -62,12 +63,12 @@ def trailing_metrics(trades: DataFrame, windows: Sequence[tuple[str, int]] = WIN
 
 
 def _bars(grouped) -> DataFrame:
-    first, last = F.struct("ts", "id"), F.struct("ts", "id")
+    moment = moment_key(F.col("ts"), F.col("id"))
     return grouped.agg(
-        F.min_by("price", first).alias("open"),
+        F.min_by("price", moment).alias("open"),
         F.max("price").alias("high"),
         F.min("price").alias("low"),
-        F.max_by("price", last).alias("close"),
+        F.max_by("price", moment).alias("close"),
         F.sum("volume").alias("volume"),
         F.sum(F.col("price") * F.col("volume")).alias("_pv"),
         F.sum("price").alias("_sum"),
@@ -98,26 +99,27 @@ def ohlcv_levels(trades: DataFrame, windows: Sequence[tuple[str, int]] = WINDOWS
     base = windows[0][1]
     if any(length % base for _, length in windows):
         raise ValueError("the first window length must divide the others")
-    fine = _bars(trades.filter(F.col("symbol").isNotNull() & F.col("ts").isNotNull())
-                 .groupBy(F.window("ts", f"{base} seconds").alias("w"), "symbol"))
-    second = F.unix_seconds("w.start")
+    timed = trades.filter(F.col("symbol").isNotNull() & F.col("ts").isNotNull())
+    second = F.unix_seconds("ts")
+    # A plain number as window key: cheaper to hash and compare than a window struct.
+    fine = _bars(timed.withColumn("_start", second - F.pmod(second, F.lit(base))).groupBy("_start", "symbol"))
+    finest = fine.select("*", F.lit(windows[0][0]).alias("window_size"), F.lit(base).alias("_length"))
     levels = F.array(*[
-        F.struct(F.lit(label).alias("window_size"),
-                 (second - F.pmod(second, F.lit(length))).alias("start"),
-                 F.lit(length).alias("length"))
-        for label, length in windows])
-    placed = fine.withColumn("level", F.explode(levels))
-    merged = placed.groupBy("level", "symbol").agg(
-        F.min_by("open", "w.start").alias("open"),
+        F.struct(F.lit(label).alias("window_size"), F.lit(length).alias("_length"),
+                 (F.col("_start") - F.pmod(F.col("_start"), F.lit(length))).alias("_from"))
+        for label, length in windows[1:]])
+    merged = fine.select("*", F.inline(levels)).groupBy("window_size", "_length", "_from", "symbol").agg(
+        F.min_by("open", "_start").alias("open"),
         F.max("high").alias("high"),
         F.min("low").alias("low"),
-        F.max_by("close", "w.start").alias("close"),
+        F.max_by("close", "_start").alias("close"),
         *[F.sum(c).alias(c) for c in ("volume", "_pv", "_sum", "_prices", "trade_count")],
-    )
-    return _bar_columns(merged.withColumns({
-        "window_size": F.col("level.window_size"),
-        "window_start": F.timestamp_seconds("level.start"),
-        "window_end": F.timestamp_seconds(F.col("level.start") + F.col("level.length")),
+    ).withColumnRenamed("_from", "_start")
+    # Both branches read the same shuffled partial aggregate of the trades.
+    bars = finest.unionByName(merged) if len(windows) > 1 else finest
+    return _bar_columns(bars.withColumns({
+        "window_start": F.timestamp_seconds("_start"),
+        "window_end": F.timestamp_seconds(F.col("_start") + F.col("_length")),
     }), "window_size")
 
 
@@ -176,9 +178,11 @@ def range_frame_metrics(trades: DataFrame, windows: Sequence[tuple[str, int]] =
         F.min("price").alias("_min"),
         F.max("price").alias("_max"),
     )
-    reach = max(length for _, length in windows) * 1_000_000
-    width = 4 * reach
     at = F.unix_micros("ts")
+    reach = max(length for _, length in windows) * 1_000_000
+    # Long chunks copy fewer rows; the densest stretch of the data says how long they may be.
+    densest = largest_group(clean.select("symbol", F.floor(at / (4 * reach)).alias("stretch")), ["symbol", "stretch"])
+    width = 4 * reach * min(64, max(1, CHUNK_ROWS // max(1, densest)))
     chunk = F.floor(at / width)
     copies = F.when(F.pmod(at, F.lit(width)) >= width - reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
     placed = (instants.withColumn("_home", F.explode(copies))
@@ -202,7 +206,7 @@ def range_frame_metrics(trades: DataFrame, windows: Sequence[tuple[str, int]] =
         rows = rows.withColumn(f"_record{i}", F.struct(
             F.lit(label).alias("window_size"),
             mean.alias("avg_price"),
-            F.when(k > 1, F.sqrt(squares / F.greatest(k - 1, F.lit(1)))).otherwise(0.0).alias("std_dev"),
+            F.when((k > 1) & (stat["_min"] < stat["_max"]), F.sqrt(squares / F.greatest(k - 1, F.lit(1)))).otherwise(0.0).alias("std_dev"),
             total.alias("total_volume"),
             stat["_n"].alias("trade_count"),
             _vwap(stat["_pv"], total, mean).alias("vwap"),

@@ -26,12 +26,13 @@ def metrics_latest(metrics: DataFrame, symbol: str, window_size: str, limit: int
 
 
 def latest_quotes(quotes: DataFrame) -> DataFrame:
-    return latest_per_key(quotes, "symbol", ("quoted_at", "id")).select(
-        "symbol", "current_price", "change", "percent_change", "high_price", "low_price", "quoted_at")
+    shown = ("symbol", "current_price", "change", "percent_change", "high_price", "low_price", "quoted_at")
+    return latest_per_key(quotes.select("id", *shown), "symbol", ("quoted_at", "id")).select(*shown)
 
 
 def latest_sentiment(scores: DataFrame) -> DataFrame:
-    return latest_per_key(scores, "symbol", ("scored_at", "id")).select("symbol", "sentiment_score", "scored_at")
+    shown = ("symbol", "sentiment_score", "scored_at")
+    return latest_per_key(scores.select("id", *shown), "symbol", ("scored_at", "id")).select(*shown)
 
 
 def _watch_list(rows: DataFrame, symbols: Sequence[str]) -> DataFrame:
