@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.operators import windows
 from tidegauge.plans import batch
-from tidegauge.schemas import AGGREGATED_METRICS, ANOMALY_LOGS, TRADE_MSG
+from tidegauge.schemas import AGGREGATED_METRICS, ANOMALY_LOGS, RAW_TRADES, TRADE_MSG
 from tidegauge.sources import messages, tables
 from tidegauge.streaming import jobs
 
@@ -103,6 +103,29 @@ def test_bars_close_and_late_trades_drop(spark, tmp_path):
         [("00", 1.0, 3.0, 3.0, 2), ("03", 2.0, 2.0, 2.0, 1), ("06", 4.0, 4.0, 4.0, 1)]
 
 
+def test_feed_lands_once_per_batch(spark, tmp_path):
+    frame = lambda p: json.dumps({"type": "trade", "data": [{"s": "A", "p": p, "v": 1, "t": 1704067200000}] * 2})
+    write(f"{tmp_path}/in", "1", [frame(1.5), '{"type":"ping"}'])
+    write(f"{tmp_path}/in", "2", [frame(2.5)])
+    rows = messages.feed_trades(source(spark, f"{tmp_path}/in")).drop("trade_timestamp") \
+        .withColumnRenamed("ts", "trade_timestamp")
+    callback = jobs.landing(f"{tmp_path}/out", RAW_TRADES)
+    jobs.run(rows, callback, f"{tmp_path}/cp", once=True).awaitTermination()
+    stored = tables.read_batches(spark, f"{tmp_path}/out", RAW_TRADES).collect()
+    assert sorted((r["symbol"], float(r["price"]), r["batch_id"]) for r in stored) == \
+        [("A", 1.5, 0), ("A", 1.5, 0), ("A", 2.5, 1), ("A", 2.5, 1)]
+
+
+def test_sliding_bars_in_a_stream(spark, tmp_path):
+    write(f"{tmp_path}/in", "1", [message("A", 1.0, 1.0, 70), message("A", 3.0, 1.0, 130)])
+    write(f"{tmp_path}/in", "2", [message("A", 2.0, 1.0, 900)])
+    bars = jobs.bars(jobs.trade_stream(source(spark, f"{tmp_path}/in")), 120, 60)
+    jobs.store(bars, f"{tmp_path}/out", f"{tmp_path}/cp", once=True).awaitTermination()
+    got = spark.read.parquet(f"{tmp_path}/out").orderBy("window_start").collect()
+    assert [(str(r["window_start"])[14:16], r["open"], r["close"], r["trade_count"]) for r in got] == \
+        [("00", 1.0, 1.0, 1), ("01", 1.0, 3.0, 2), ("02", 3.0, 3.0, 1)]
+
+
 def test_news_once_over_batches(spark, tmp_path):
     article = lambda i, second: json.dumps({"id": i, "datetime": 1704067200 + second, "headline": "h"})
     write(f"{tmp_path}/in", "1", [article(1, 0), article(2, 1), article(1, 2)])

@@ -7,13 +7,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import rules
 from tidegauge.functions.scalars import finite, settled
 from tidegauge.operators.latest import latest_per_key
-from tidegauge.operators.sharding import GROUP_LIMIT, attach, grouped_quantiles, preceding_rows
+from tidegauge.operators.sharding import (GROUP_LIMIT, VALUE_LIMIT, attach, grouped_quantiles, largest_group,
+                                          preceding_rows)
 from tidegauge.runtime import cut
 
 STATISTICAL = ("zscore", "iqr", "volume_spike")
@@ -26,16 +27,40 @@ def clean_trades(trades: DataFrame) -> DataFrame:
         & F.col("price").isNotNull() & F.col("volume").isNotNull())
 
 
-def history_statistics(trades: DataFrame, quartiles: bool = True, group_limit: int = GROUP_LIMIT) -> DataFrame:
+def history_statistics(trades: DataFrame, quartiles: bool = True, group_limit: int = VALUE_LIMIT) -> DataFrame:
     """Per symbol: its last trade, and statistics of all trades before it.
 
-    The last trade is attached to the rows to leave it out of the history. No symbol is
-    sorted or gathered.
+    While every symbol is small, one shuffle by symbol serves both. Otherwise the last trade
+    is found and attached to the rows, and no symbol is sorted or gathered.
     """
     keyed = clean_trades(trades).select("symbol", "price", "volume", "ts", "id")
-    last = cut(latest_per_key(keyed, "symbol", ("ts", "id")).select(
-        "symbol", F.struct("price", "volume", "ts", "id").alias("current")))
-    border = last.select("symbol", F.col("current.ts").alias("_ts"), F.col("current.id").alias("_id"))
+    if largest_group(trades.filter(F.col("symbol").isNotNull()), ["symbol"]) <= group_limit:
+        return _ranked_statistics(keyed, quartiles)
+    return _attached_statistics(keyed, quartiles, group_limit)
+
+
+def _ranked_statistics(keyed: DataFrame, quartiles: bool) -> DataFrame:
+    newest = Window.partitionBy("symbol").orderBy(F.col("ts").desc(), F.col("id").desc())
+    ranked = keyed.withColumn("_rank", F.row_number().over(newest))
+    current, past = F.col("_rank") == 1, F.col("_rank") > 1
+    price, volume = F.when(past, F.col("price")), F.when(past, F.col("volume"))
+    wanted = [
+        F.max(F.when(current, F.col("price"))).alias("current_price"),
+        F.max(F.when(current, F.col("volume"))).alias("current_volume"),
+        F.count_if(past).alias("history_n"),
+        F.avg(price).alias("mean"),
+        F.stddev_samp(price).alias("std"),
+        F.avg(volume).alias("avg_volume"),
+    ]
+    if quartiles:
+        wanted.append(F.percentile(price, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
+    result = ranked.groupBy("symbol").agg(*wanted).filter(F.col("history_n") > 0)
+    return result.withColumns({"q1": F.col("_q")[0], "q3": F.col("_q")[1]}).drop("_q") if quartiles else result
+
+
+def _attached_statistics(keyed: DataFrame, quartiles: bool, group_limit: int) -> DataFrame:
+    last = cut(latest_per_key(keyed, "symbol", ("ts", "id")))
+    border = last.select("symbol", F.col("ts").alias("_ts"), F.col("id").alias("_id"))
     history = attach(keyed, border, ["symbol"], fixed=True).filter(
         (F.col("ts") < F.col("_ts")) | ((F.col("ts") == F.col("_ts")) & (F.col("id") < F.col("_id"))))
     known = history.groupBy("symbol").agg(
@@ -44,7 +69,8 @@ def history_statistics(trades: DataFrame, quartiles: bool = True, group_limit: i
         F.stddev_samp("price").alias("std"),
         F.avg("volume").alias("avg_volume"),
     )
-    result = last.select("symbol", "current").join(known, "symbol")
+    result = last.select("symbol", F.col("price").alias("current_price"),
+                         F.col("volume").alias("current_volume")).join(known, "symbol")
     if quartiles:
         fences = grouped_quantiles(history.select("symbol", "price"), ["symbol"], "price",
                                    (0.25, 0.75), ("q1", "q3"), group_limit)
@@ -53,10 +79,10 @@ def history_statistics(trades: DataFrame, quartiles: bool = True, group_limit: i
 
 
 def last_verdicts(trades: DataFrame, methods: Sequence[str] = STATISTICAL, threshold: float = 3.0,
-                  k: float = 1.5, volume_threshold: float = 5.0, group_limit: int = GROUP_LIMIT) -> DataFrame:
+                  k: float = 1.5, volume_threshold: float = 5.0, group_limit: int = VALUE_LIMIT) -> DataFrame:
     """One verdict per symbol and method on the symbol's last trade; symbols with one trade give none."""
     stats = history_statistics(trades, "iqr" in methods, group_limit)
-    price, volume, n = F.col("current.price"), F.col("current.volume"), F.col("history_n")
+    price, volume, n = F.col("current_price"), F.col("current_volume"), F.col("history_n")
     made = _verdicts(methods, price, volume, n, threshold, k, volume_threshold)
     return stats.select("symbol", F.inline(F.array(*made)))
 

@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from tidegauge.functions import rules
 from tidegauge.operators.latest import newest_n
-from tidegauge.operators.sharding import GROUP_LIMIT, grouped_quantiles
+from tidegauge.operators.sharding import VALUE_LIMIT, grouped_quantiles
 from tidegauge.runtime import cut
 from tidegauge.schemas import FEATURES, FOREST_NODE
 
@@ -143,7 +143,7 @@ def path_correction(size: np.ndarray) -> np.ndarray:
 
 
 def fit(rows: DataFrame, keys: Sequence[str], trees: int = TREES, sample: int = SAMPLE,
-        contamination: float = CONTAMINATION, group_limit: int = GROUP_LIMIT) -> Forest | None:
+        contamination: float = CONTAMINATION, group_limit: int = VALUE_LIMIT) -> Forest | None:
     """Fit on metric rows identified by `keys`; None below the least number of rows."""
     rows = cut(rows.select(*keys, *FEATURES))
     total = rows.count()

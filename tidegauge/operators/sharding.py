@@ -16,6 +16,7 @@ from pyspark.sql.window import WindowSpec
 from tidegauge.runtime import cut
 
 GROUP_LIMIT = 2_000_000       # rows of one key that one task may sort
+VALUE_LIMIT = 50_000          # values of one key that one in-memory percentile may hold
 LOOKUP_ROWS = 500_000         # broadcast bounds, both are checked
 LOOKUP_BYTES = 64 * 1024 * 1024
 CHUNK_ROWS = 1_000_000
@@ -107,7 +108,7 @@ def preceding_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], row
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                      names: Sequence[str], group_limit: int = GROUP_LIMIT) -> DataFrame:
+                      names: Sequence[str], group_limit: int = VALUE_LIMIT) -> DataFrame:
     """Exact quantiles per key with linear interpolation.
 
     Rows are first counted per (key, value), which folds ties on the map side. Keys with

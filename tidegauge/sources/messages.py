@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge import schemas
 from tidegauge.functions.scalars import finite, iso_utc, or_default, parse_time
@@ -28,6 +29,12 @@ def write_topic(messages: DataFrame, servers: str, topic: str) -> None:
      .option("topic", topic).save())
 
 
+def stream_to_topic(messages: DataFrame, servers: str, topic: str, checkpoint: str) -> StreamingQuery:
+    """Streaming sink for `key`, `value` rows."""
+    return (messages.writeStream.format("kafka").option("kafka.bootstrap.servers", servers)
+            .option("topic", topic).option("checkpointLocation", checkpoint).start())
+
+
 def decode(messages: DataFrame, schema: str) -> DataFrame:
     """Parse `value`; text that is not JSON gives a row of nulls, extra fields are dropped."""
     return messages.select(F.from_json(F.col("value").cast("string"), schema).alias("d")).select("d.*")

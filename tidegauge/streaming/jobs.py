@@ -13,7 +13,7 @@ from tidegauge.operators import quality
 from tidegauge.operators.iforest import Forest
 from tidegauge.operators.windows import ohlcv, trailing_metrics
 from tidegauge.plans import batch as plans
-from tidegauge.schemas import AGGREGATED_METRICS, ANOMALY_LOGS, WINDOWS
+from tidegauge.schemas import AGGREGATED_METRICS, ANOMALY_LOGS, WINDOWS, Table
 from tidegauge.sources import tables
 from tidegauge.sources.messages import decode_trades, encode
 
@@ -80,6 +80,14 @@ def detection(root: str, now: Callable[[], Column] = F.current_timestamp, forest
     return on_batch
 
 
+def landing(root: str, table: Table, now: Callable[[], Column] = F.current_timestamp) -> Callable[[DataFrame, int], None]:
+    """Batch callback: append normalised rows to a table, each batch once."""
+    def on_batch(rows: DataFrame, batch_id: int) -> None:
+        tables.append(rows, root, table, now(), batch_id)
+
+    return on_batch
+
+
 def bars(trades: DataFrame, length: int, slide: int | None = None) -> DataFrame:
     """Event-time bars of a watermarked trade stream; closed windows are emitted, late trades dropped."""
     return ohlcv(trades, length, slide)
