@@ -32,6 +32,14 @@ def settled(value: Column, digits: int) -> Column:
     return F.round(F.round(value, digits + 5), digits)
 
 
+def sorted_quantile(values: Column, p: float) -> Column:
+    """Quantile of an ascending array with linear interpolation; null for an empty one."""
+    exact = (F.size(values) - 1) * F.lit(float(p))
+    low = F.get(values, F.floor(exact).cast("int"))
+    high = F.get(values, F.ceil(exact).cast("int"))
+    return low + (high - low) * (exact - F.floor(exact))
+
+
 def moment_key(ts: Column, row_id: Column) -> Column:
     """One number that orders like (ts, id).
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.functions import rules
-from tidegauge.functions.scalars import finite, settled
+from tidegauge.functions.scalars import finite, settled, sorted_quantile
 from tidegauge.operators.latest import latest_per_key
 from tidegauge.operators.sharding import (GROUP_LIMIT, VALUE_LIMIT, attach, grouped_quantiles, largest_group,
                                           preceding_rows)
@@ -106,13 +106,15 @@ def rolling_verdicts(trades: DataFrame, rows: int = 20, methods: Sequence[str] =
         columns["mean"] = lambda w: F.avg("price").over(w)
         columns["std"] = lambda w: F.stddev_samp("price").over(w)
     if "iqr" in methods:
-        columns["_q"] = lambda w: F.percentile("price", F.array(F.lit(0.25), F.lit(0.75))).over(w)
+        # A short frame is collected and sorted once for both quartiles.
+        columns["_sorted"] = lambda w: F.sort_array(F.collect_list("price").over(w))
     if "volume_spike" in methods:
         columns["avg_volume"] = lambda w: F.avg("volume").over(w)
     base = clean_trades(trades).select("id", "symbol", "ts", "price", "volume")
     framed = preceding_rows(base, ["symbol"], ["ts", "id"], rows, columns, group_limit, **chunking)
     if "iqr" in methods:
-        framed = framed.withColumns({"q1": F.col("_q")[0], "q3": F.col("_q")[1]})
+        framed = framed.withColumns({"q1": sorted_quantile(F.col("_sorted"), 0.25),
+                                     "q3": sorted_quantile(F.col("_sorted"), 0.75)})
     made = _verdicts(methods, F.col("price"), F.col("volume"), F.col("history_n"), threshold, k, volume_threshold)
     return framed.select("id", "symbol", "ts", "price", "volume", F.inline(F.array(*made)))
 
