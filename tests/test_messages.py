@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tidegauge import schemas
 from tidegauge.operators import quality
+from tidegauge.plans import prices
 from tidegauge.sources import messages, tables
 
 NOW = "2024-01-02 03:04:05"
@@ -116,6 +117,9 @@ def test_append_rounds_half_up_and_prunes_days(spark, tmp_path):
     assert [r["id"] for r in recent.collect()] == [2]
     plan = recent._jdf.queryExecution().executedPlan().toString()
     assert "PartitionFilters: [isnotnull(trade_timestamp_day" in plan
+    asked = prices.recent_trades(stored, "A", F.to_timestamp(F.lit("2024-01-03 10:30:00")))
+    assert [r["id"] for r in asked.collect()] == [2]
+    assert "PartitionFilters: [isnotnull(trade_timestamp_day" in asked._jdf.queryExecution().executedPlan().toString()
 
 
 def test_batch_writes_are_idempotent(spark, tmp_path):

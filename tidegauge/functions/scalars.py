@@ -5,7 +5,7 @@ from __future__ import annotations
 from functools import reduce
 from operator import and_
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidegauge.schemas import SEVERITIES
@@ -60,6 +60,12 @@ def iso_utc(ts: Column) -> Column:
     return F.date_format(ts, "yyyy-MM-dd'T'HH:mm:ss.SSSxxx")
 
 
+def at_or_after(rows: DataFrame, time: str, start: Column) -> Column:
+    """Rows from `start` on; a stored table's day column joins in, so that older partitions are not read."""
+    recent, day = F.col(time) >= start, f"{time}_day"
+    return recent & (F.col(day) >= F.to_date(start)) if day in rows.columns else recent
+
+
 def parse_time(text: Column) -> Column:
     """Timestamp from ISO text; null when it does not parse."""
     return F.try_to_timestamp(text)

@@ -31,8 +31,13 @@ def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
 
 
 def _broadcastable(lookup: DataFrame, rows: int, size: int) -> bool:
-    texts = [F.coalesce(F.octet_length(c), F.lit(0)) for c, kind in lookup.dtypes if kind == "string"]
-    width = sum(texts, F.lit(16 * (len(lookup.columns) + 1)))
+    """Whether the lookup's row count and bytes, both measured, stay within the bounds."""
+    width = F.lit(16 * (len(lookup.columns) + 1))
+    for name, kind in lookup.dtypes:
+        if kind == "string":
+            width = width + F.coalesce(F.octet_length(name), F.lit(0))
+        elif kind.startswith(("array", "map", "struct")):
+            width = width + F.coalesce(F.octet_length(F.to_json(F.struct(name))), F.lit(0))
     seen = lookup.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(width), F.lit(0)).alias("b")).first()
     return seen["n"] <= rows and seen["b"] <= size
 

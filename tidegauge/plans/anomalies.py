@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalars import (DASH, all_of, bubble_size, chart_height, equals_unless_all, fixed,
+from tidegauge.functions.scalars import (DASH, all_of, at_or_after, bubble_size, chart_height, equals_unless_all, fixed,
                                          seconds, severity_rank, title_words)
 from tidegauge.schemas import SEVERITIES
 
@@ -16,7 +16,7 @@ COLUMNS = ("id", "symbol", "anomaly_type", "severity", "detection_method", "anom
 def newest(anomalies: DataFrame, since: Column, symbol: str | None = None, severity: str | None = None,
            method: str | None = None, limit: int = 500) -> DataFrame:
     """Newest anomalies under the given filters; None or "All" leaves a filter out."""
-    wanted = all_of([F.col("detected_at") >= since,
+    wanted = all_of([at_or_after(anomalies, "detected_at", since),
                      *equals_unless_all("symbol", symbol),
                      *equals_unless_all("severity", severity),
                      *equals_unless_all("detection_method", method)])
@@ -74,7 +74,7 @@ def context_fields(rows: DataFrame, method: str) -> DataFrame:
 
 
 def severity_counts(anomalies: DataFrame, since: Column | None = None) -> DataFrame:
-    rows = anomalies if since is None else anomalies.filter(F.col("detected_at") >= since)
+    rows = anomalies if since is None else anomalies.filter(at_or_after(anomalies, "detected_at", since))
     return rows.groupBy("severity").agg(F.count(F.lit(1)).alias("cnt"))
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalars import clamp_unit, fixed, or_default, seconds, sentiment_band
+from tidegauge.functions.scalars import at_or_after, clamp_unit, fixed, or_default, seconds, sentiment_band
 from tidegauge.operators.latest import latest_per_key, percent_change, rebased
 
 QUOTE_COLUMNS = ("symbol", "current_price", "change", "percent_change", "high_price", "low_price",
@@ -16,7 +16,7 @@ QUOTE_COLUMNS = ("symbol", "current_price", "change", "percent_change", "high_pr
 
 def recent_trades(trades: DataFrame, symbol: str, now: Column, minutes: int = 60) -> DataFrame:
     return (trades.filter((F.col("symbol") == symbol)
-                          & (F.col("trade_timestamp") >= now - seconds(minutes * 60)))
+                          & at_or_after(trades, "trade_timestamp", now - seconds(minutes * 60)))
             .orderBy("trade_timestamp", "id"))
 
 
@@ -53,7 +53,7 @@ def ticker_snapshot(quotes: DataFrame, symbols: Sequence[str]) -> DataFrame:
 
 
 def quote_history(quotes: DataFrame, now: Column, hours: int = 1, symbols: Sequence[str] | None = None) -> DataFrame:
-    recent = quotes.filter(F.col("quoted_at") >= now - seconds(hours * 3600))
+    recent = quotes.filter(at_or_after(quotes, "quoted_at", now - seconds(hours * 3600)))
     if symbols is not None:
         recent = recent.filter(F.col("symbol").isin(*symbols))
     return recent
@@ -83,7 +83,7 @@ def sentiment_gauge(scores: DataFrame, symbols: Sequence[str] | None = None) ->
 
 def sentiment_history(scores: DataFrame, now: Column, hours: int = 6) -> DataFrame:
     """Scores of the last hours in time order, with the two reference lines."""
-    return (scores.filter(F.col("scored_at") >= now - seconds(hours * 3600))
+    return (scores.filter(at_or_after(scores, "scored_at", now - seconds(hours * 3600)))
             .select("id", "symbol", "scored_at", "sentiment_score",
                     F.lit(0.6).alias("bullish_line"), F.lit(0.4).alias("bearish_line"))
             .orderBy("scored_at", "id"))

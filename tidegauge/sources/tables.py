@@ -1,7 +1,7 @@
 """Stored tables as parquet folders partitioned by UTC day.
 
 Appends sort rows inside their files, so that symbol and time filters skip row groups.
-Time filters go through `since`, which adds the day predicate the partition pruning needs.
+Time filters add the day predicate that partition pruning needs.
 """
 
 from __future__ import annotations
@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidegauge.functions.scalars import at_or_after
 from tidegauge.schemas import TABLES, Table
 
 
@@ -80,4 +81,4 @@ def read_batches(spark: SparkSession, root: str, table: Table) -> DataFrame:
 
 def since(rows: DataFrame, table: Table, start: Column) -> DataFrame:
     """Rows at or after `start`; whole day partitions before it are pruned."""
-    return rows.filter((F.col(table.day) >= F.to_date(start)) & (F.col(table.time) >= start))
+    return rows.filter(at_or_after(rows, table.time, start))
