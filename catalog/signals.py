@@ -165,7 +165,7 @@ SELECT symbol, window_size, window_start, window_end, {v.half_up("avg_price", 6)
 FROM ({_TOP_SQL})""")
 def latest_per_symbol_topn(spark, sf):
     rows = v.metrics(spark, sf)
-    return latest.newest_n(rows, "symbol", [F.col("window_start").desc()], 500, ["window_start"])
+    return latest.newest_n(rows, "symbol", [F.col("window_start").desc()], 500)
 
 
 @query(" UNION ALL ".join(

@@ -56,12 +56,19 @@ def test_salted_join_equals_broadcast(skewed, how):
     _, rows = skewed
     lookup = rows.filter("symbol <> 'S1'").groupBy("symbol").agg(F.count("*").alias("n"))
     small = sharding.attach(rows, lookup, ["symbol"], how)
-    large = sharding.attach(rows, lookup, ["symbol"], how, rows=0)
+    large = sharding.attach(rows, lookup, ["symbol"], how, rows=0, share=300)
     assert "BroadcastHashJoin" in small._jdf.queryExecution().toString()
     assert sorted(map(tuple, small.select(sorted(small.columns)).collect()), key=str) == \
         sorted(map(tuple, large.select(sorted(large.columns)).collect()), key=str)
 
 
+def test_salted_join_spreads_the_hot_key(skewed):
+    frame, rows = skewed
+    joined = sharding.attach(rows, rows.groupBy("symbol").count(), ["symbol"], rows=0, share=100)
+    plan = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "_salt" in plan and joined.count() == len(frame)
+
+
 def test_last_verdicts_do_not_depend_on_the_path(skewed):
     _, rows = skewed
     plain = sorted(map(tuple, last_verdicts(rows).collect()), key=str)

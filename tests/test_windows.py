@@ -94,7 +94,7 @@ def test_latest_and_series_ends(skewed):
 
 def test_newest_n(skewed):
     frame, rows = skewed
-    got = latest.newest_n(rows, "symbol", [F.col("ts").desc(), F.col("id").desc()], 5, ["id"])
+    got = latest.newest_n(rows, "symbol", [F.col("ts").desc(), F.col("id").desc()], 5)
     want = frame.sort_values(["second", "id"]).groupby("symbol").tail(5)
     assert {r["id"] for r in got.collect()} == set(want["id"])
 

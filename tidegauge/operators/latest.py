@@ -7,10 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.operators.sharding import SALTS, attach
+from tidegauge.operators.sharding import attach
 from tidegauge.runtime import cut
 
 
+TASK_GROUPS = 256
+
+
 def latest_per_key(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
     """The row with the greatest `order` of each key; `order` starts with the time column.
 
@@ -26,18 +29,18 @@ def latest_per_key(rows: DataFrame, key: str, order: Sequence[str]) -> DataFrame
             .agg(F.max_by(whole, F.struct(*order)).alias("r")).select("r.*"))
 
 
-def newest_n(rows: DataFrame, key: str, order: Sequence[Column], n: int, spread: Sequence[str]) -> DataFrame:
+def newest_n(rows: DataFrame, key: str, order: Sequence[Column], n: int) -> DataFrame:
     """The newest `n` rows of each key.
 
-    Each salt of a key keeps its own newest `n` first, so the last ranking of a key sees
-    at most `n` rows per salt, whatever the size of the key.
+    Every task first keeps `n` rows per key of what it reads. Those are ranked within groups
+    of tasks, and only the winners of the groups meet in the last ranking of a key.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
-    first = Window.partitionBy(key, "_salt").orderBy(*order)
+    grouped = rows.withColumn("_group", F.pmod(F.spark_partition_id(), F.lit(TASK_GROUPS)))
+    first = Window.partitionBy(key, "_group").orderBy(*order)
     final = Window.partitionBy(key).orderBy(*order)
-    kept = salted.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= n)
+    kept = grouped.withColumn("_rank", F.row_number().over(first)).filter(F.col("_rank") <= n)
     return (kept.withColumn("_rank", F.row_number().over(final)).filter(F.col("_rank") <= n)
-            .drop("_rank", "_salt"))
+            .drop("_rank", "_group"))
 
 
 def series_ends(rows: DataFrame, key: str, value: str, order: Sequence[str]) -> DataFrame:

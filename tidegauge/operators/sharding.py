@@ -20,7 +20,6 @@ VALUE_LIMIT = 50_000          # values of one key that one in-memory percentile
 LOOKUP_ROWS = 500_000         # broadcast bounds, both are checked
 LOOKUP_BYTES = 64 * 1024 * 1024
 CHUNK_ROWS = 1_000_000
-SALTS = 64
 
 _ROW_INDEX_MASK = (1 << 33) - 1
 
@@ -43,20 +42,30 @@ def _broadcastable(lookup: DataFrame, rows: int, size: int) -> bool:
 
 
 def attach(left: DataFrame, lookup: DataFrame, on: Sequence[str], how: str = "inner",
-           rows: int = LOOKUP_ROWS, size: int = LOOKUP_BYTES, fixed: bool = False) -> DataFrame:
+           rows: int = LOOKUP_ROWS, size: int = LOOKUP_BYTES, share: int = GROUP_LIMIT,
+           fixed: bool = False) -> DataFrame:
     """Join a per-key lookup (unique on `on`) to a large, possibly skewed side.
 
     The lookup is materialised once and measured. Within the bound it is broadcast and
-    the large side does not move; beyond it each key is spread over salts, so a hot key
-    is shared by many tasks. `fixed` says that the lookup is materialised already.
+    the large side does not move; beyond it the join is a shuffle in which every key with
+    more than `share` rows is spread over as many salts as it has shares. `fixed` says that the
+    lookup is materialised already.
     """
     lookup = lookup if fixed else cut(lookup)
     if _broadcastable(lookup, rows, size):
         return left.join(F.broadcast(lookup), list(on), how)
-    salted = left.withColumn("_salt", F.pmod(F.xxhash64(*left.columns), F.lit(SALTS)))
-    copies = lookup.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))) \
-        .withColumn("_salt", F.col("_salt").cast("bigint"))
-    return salted.join(copies, [*on, "_salt"], how).drop("_salt")
+    counts = cut(left.groupBy(*on).agg(F.count(F.lit(1)).alias("_rows")))
+    total = counts.agg(F.sum("_rows")).first()[0] or 0
+    # At most LOOKUP_ROWS keys can exceed this share of all rows, so the hot keys can be broadcast.
+    share = max(share, total // LOOKUP_ROWS + 1)
+    hot = F.broadcast(counts.filter(F.col("_rows") > share).select(
+        *on, F.ceil(F.col("_rows") / share).cast("bigint").alias("_salts")))
+    salts = F.coalesce("_salts", F.lit(1).cast("bigint"))
+    spread = (left.withColumn("_mix", F.xxhash64(*left.columns)).join(hot, list(on), "left")
+              .withColumn("_salt", F.pmod("_mix", salts)).drop("_mix", "_salts"))
+    copies = (lookup.join(hot, list(on), "left")
+              .withColumn("_salt", F.explode(F.sequence(F.lit(0).cast("bigint"), salts - 1))).drop("_salts"))
+    return spread.join(copies, [*on, "_salt"], how).drop("_salt")
 
 
 def range_segments(df: DataFrame, order: Sequence[str]) -> DataFrame:
