@@ -90,6 +90,20 @@ def test_windows_reach_back_over_batches(spark, tmp_path):
     assert {r["window_size"]: r["trade_count"] for r in got.collect()} == {"1m": 1, "5m": 2, "15m": 2}
 
 
+def test_windows_reach_back_to_landed_trades(spark, tmp_path):
+    write(f"{tmp_path}/in", "1", [message("A", 50.0, 1.0, 0), message("A", 60.0, 1.0, 100)])
+    write(f"{tmp_path}/in", "2", [message("A", 70.0, 1.0, 240)])
+    trades = jobs.trade_stream(source(spark, f"{tmp_path}/in"))
+    jobs.run(jobs.trade_rows(trades), jobs.landing(f"{tmp_path}/out", RAW_TRADES), f"{tmp_path}/cp1", once=True) \
+        .awaitTermination()
+    callback = jobs.detection(f"{tmp_path}/out", recent=jobs.stored_trades(spark, f"{tmp_path}/out"))
+    jobs.run(trades, callback, f"{tmp_path}/cp2", once=True).awaitTermination()
+    got = tables.read_batches(spark, f"{tmp_path}/out", AGGREGATED_METRICS).collect()
+    assert {(r["batch_id"], r["window_size"]): (r["trade_count"], float(r["avg_price"])) for r in got} == {
+        (0, "1m"): (1, 60.0), (0, "5m"): (2, 55.0), (0, "15m"): (2, 55.0),
+        (1, "1m"): (1, 70.0), (1, "5m"): (3, 60.0), (1, "15m"): (3, 60.0)}
+
+
 def test_bars_close_and_late_trades_drop(spark, tmp_path):
     write(f"{tmp_path}/in", "1", [message("A", 1.0, 1.0, 10), message("A", 3.0, 1.0, 50)])
     write(f"{tmp_path}/in", "2", [message("A", 2.0, 1.0, 200)])

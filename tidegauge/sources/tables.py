@@ -59,7 +59,7 @@ def append(rows: DataFrame, root: str, table: Table, now: Column, batch_id: int
 
     Rows are rebalanced by day first: adaptive execution splits a day that is too large for
     one file and merges small ones, so the number of files follows the size of the data.
-    With `batch_id` the rows go to that batch's own partition and replace what an
+    With `batch_id` the rows go to that batch's own folder and replace whatever an
     earlier attempt of the same batch left there, so a retried batch is written once.
     """
     key = [c for c in ("symbol", table.time) if c in dict(table.columns)]
@@ -68,9 +68,9 @@ def append(rows: DataFrame, root: str, table: Table, now: Column, batch_id: int
         (shaped.hint("rebalance", table.day).sortWithinPartitions(table.day, *key).write.mode("append")
          .partitionBy(table.day).parquet(table_path(root, table)))
         return
-    (shaped.hint("rebalance").sortWithinPartitions(*key)
-     .withColumn("batch_id", F.lit(batch_id).cast("bigint")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy("batch_id").parquet(f"{table_path(root, table)}_by_batch"))
+    (shaped.hint("rebalance", table.day).sortWithinPartitions(table.day, *key)
+     .write.mode("overwrite").option("partitionOverwriteMode", "static")
+     .partitionBy(table.day).parquet(f"{table_path(root, table)}_by_batch/batch_id={int(batch_id)}"))
 
 
 def read_batches(spark: SparkSession, root: str, table: Table) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
@@ -13,7 +13,7 @@ from tidegauge.operators import quality
 from tidegauge.operators.iforest import Forest
 from tidegauge.operators.windows import ohlcv, trailing_metrics
 from tidegauge.plans import batch as plans
-from tidegauge.schemas import AGGREGATED_METRICS, ANOMALY_LOGS, WINDOWS, Table
+from tidegauge.schemas import AGGREGATED_METRICS, ANOMALY_LOGS, RAW_TRADES, WINDOWS, Table
 from tidegauge.sources import tables
 from tidegauge.sources.messages import decode_trades, encode
 
@@ -29,6 +29,21 @@ def trade_stream(messages: DataFrame, delay: str = DELAY) -> DataFrame:
             .withWatermark("ts", delay))
 
 
+def trade_rows(trades: DataFrame) -> DataFrame:
+    """Decoded trades in the columns of the trade table."""
+    return trades.select("id", "symbol", "price", "volume", F.col("ts").alias("trade_timestamp"), "conditions")
+
+
+def stored_trades(spark: SparkSession, root: str) -> Callable[[Column], DataFrame]:
+    """Reader of landed trades from a moment on, for windows that reach back over batches."""
+    def recent(start: Column) -> DataFrame:
+        rows = tables.since(tables.read_batches(spark, root, RAW_TRADES), RAW_TRADES, start)
+        return rows.select("id", "symbol", F.col("price").cast("double").alias("price"),
+                           F.col("volume").cast("double").alias("volume"), F.col("trade_timestamp").alias("ts"))
+
+    return recent
+
+
 def run(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str,
         once: bool = False) -> StreamingQuery:
     """Start a per-batch job: every trigger interval, or over what is available and then stop."""
@@ -58,9 +73,10 @@ def detection(root: str, now: Callable[[], Column] = F.current_timestamp, forest
         try:
             seen = trades
             if recent is not None:
-                start = trades.agg(F.max("ts")).scalar() - seconds(max(length for _, length in windows))
+                end = trades.agg(F.max("ts")).scalar()
+                stored = recent(end - seconds(max(length for _, length in windows))).filter(F.col("ts") <= end)
                 shared = ["id", "symbol", "price", "volume", "ts"]
-                seen = trades.select(*shared).unionByName(recent(start).select(*shared)).dropDuplicates(["id", "ts"])
+                seen = trades.select(*shared).unionByName(stored.select(*shared)).dropDuplicates(["id", "ts"])
             metrics = trailing_metrics(seen, windows).persist()
             tables.append(metrics, root, AGGREGATED_METRICS, now(), batch_id)
 
