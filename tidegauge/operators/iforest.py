@@ -166,14 +166,19 @@ def fit(rows: DataFrame, keys: Sequence[str], trees: int = TREES, sample: int =
     return Forest(nodes, means, scales, sample, border.first()["border"])
 
 
-def _node_arrays(nodes: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Dense per-tree arrays of feature, split and path length at a leaf."""
+def _node_arrays(nodes: pd.DataFrame) -> tuple[np.ndarray, ...]:
+    """Dense per-tree arrays: feature, split, first child and path length of every node.
+
+    A leaf is its own child and has an infinite split, so a walk may take spare steps.
+    """
     shape = (int(nodes["tree"].max()) + 1, int(nodes["node"].max()) + 1)
-    feature, split, length = np.full(shape, -1, dtype=np.int32), np.zeros(shape), np.zeros(shape)
-    at = (nodes["tree"].to_numpy(), nodes["node"].to_numpy())
-    feature[at], split[at] = nodes["feature"], nodes["split"]
-    length[at] = nodes["depth"].to_numpy() + path_correction(nodes["size"].to_numpy())
-    return feature, split, length
+    feature, split, length = np.zeros(shape, dtype=np.int64), np.full(shape, np.inf), np.zeros(shape)
+    child = np.broadcast_to(np.arange(shape[1]), shape).copy()
+    tree, node, inner = nodes["tree"].to_numpy(), nodes["node"].to_numpy(), nodes["feature"].to_numpy() >= 0
+    at = (tree[inner], node[inner])
+    feature[at], split[at], child[at] = nodes["feature"][inner], nodes["split"][inner], 2 * node[inner] + 1
+    length[tree, node] = nodes["depth"].to_numpy() + path_correction(nodes["size"].to_numpy())
+    return feature, split, child, length
 
 
 def isolation_scores(rows: DataFrame, forest: Forest) -> DataFrame:
@@ -182,24 +187,22 @@ def isolation_scores(rows: DataFrame, forest: Forest) -> DataFrame:
     The node table is bounded by the forest's size, so it is shipped to every executor.
     """
     spark = rows.sparkSession
-    shipped = spark.sparkContext.broadcast(_node_arrays(forest.nodes.toPandas()))
+    nodes = forest.nodes.toPandas()
+    shipped, levels = spark.sparkContext.broadcast(_node_arrays(nodes)), int(nodes["depth"].max())
     norm = float(path_correction(np.array([forest.sample]))[0]) or 1.0
     scaled = [(F.coalesce(F.col(f).cast("double"), F.lit(0.0)) - m) / s
               for f, m, s in zip(FEATURES, forest.means, forest.scales)]
 
     @F.pandas_udf("double")
     def walk(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
-        feature, split, length = shipped.value
+        feature, split, child, length = shipped.value
         for columns in batches:
             x = np.column_stack([c.to_numpy(dtype=float) for c in columns])
-            row, total = np.arange(len(x)), np.zeros(len(x))
-            for f, s, path in zip(feature, split, length):
+            flat, row, total = x.ravel(), np.arange(len(x)) * x.shape[1], np.zeros(len(x))
+            for f, s, c, path in zip(feature, split, child, length):
                 node = np.zeros(len(x), dtype=np.int64)
-                moving = f[node] >= 0
-                while moving.any():
-                    here = node[moving]
-                    node[moving] = 2 * here + 1 + (x[row[moving], f[here]] > s[here])
-                    moving = f[node] >= 0
+                for _ in range(levels):
+                    node = c[node] + (flat[row + f[node]] > s[node])
                 total += path[node]
             yield pd.Series(np.exp2(-total / len(feature) / norm))
 

@@ -164,8 +164,9 @@ def range_frame_metrics(trades: DataFrame, windows: Sequence[tuple[str, int]] =
 
     Trades of one instant share their frames, so they are folded first (a burst at one
     instant costs one row). A symbol is then cut into time chunks; an instant is copied
-    into the next chunk when a frame over there can reach it. No task sees more than one
-    chunk plus one frame of a symbol.
+    into the next chunk when a frame over there can reach it. A task sees the distinct instants
+    of one chunk plus one frame of a symbol, and streams them; a chunk is never shorter than
+    four times the longest frame.
     """
     clean = trades.filter(F.col("symbol").isNotNull() & F.col("ts").isNotNull())
     instants = clean.groupBy("symbol", "ts").agg(

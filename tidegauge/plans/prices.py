@@ -36,6 +36,7 @@ def latest_sentiment(scores: DataFrame) -> DataFrame:
 
 
 def _watch_list(rows: DataFrame, symbols: Sequence[str]) -> DataFrame:
+    """The watched symbols as rows. Latest rows filtered to them are as few, so they may be broadcast."""
     return rows.sparkSession.createDataFrame([(s,) for s in symbols], "symbol STRING")
 
 
@@ -45,7 +46,7 @@ def ticker_snapshot(quotes: DataFrame, symbols: Sequence[str]) -> DataFrame:
     seen = F.col("quoted_at").isNotNull()
     price = or_default(F.col("current_price"), F.lit(0.0))
     change = or_default(F.col("percent_change"), F.lit(0.0))
-    return F.broadcast(_watch_list(quotes, symbols)).join(latest, "symbol", "left").select(
+    return _watch_list(quotes, symbols).join(F.broadcast(latest), "symbol", "left").select(
         "symbol",
         fixed("$%.2f", F.when(seen, price)).alias("price"),
         F.when(seen, F.printf(F.lit("%+.2f%%"), change)).otherwise("no data").alias("delta"),
@@ -72,9 +73,11 @@ def price_change(quotes: DataFrame) -> DataFrame:
 
 def sentiment_gauge(scores: DataFrame, symbols: Sequence[str] | None = None) -> DataFrame:
     """Gauge values per symbol; 50 percent when the score is 0 or missing."""
-    latest = latest_sentiment(scores)
-    if symbols is not None:
-        latest = F.broadcast(_watch_list(scores, symbols)).join(latest, "symbol", "left")
+    if symbols is None:
+        latest = latest_sentiment(scores)
+    else:
+        known = latest_sentiment(scores.filter(F.col("symbol").isin(*symbols)))
+        latest = _watch_list(scores, symbols).join(F.broadcast(known), "symbol", "left")
     value = clamp_unit(or_default(F.col("sentiment_score").cast("double"), F.lit(0.5))) * 100
     return latest.select("symbol", value.alias("percent")).select(
         "symbol", "percent", sentiment_band(F.col("percent")).alias("band"),
