@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from public_tokenizers import path as vocabulary
 
-from tidegauge.llm import compression, fingerprints, langid, licenses, packing, pieces, suffix, tokencount, warc
+from tidegauge.llm import bagminhash, compression, fingerprints, langid, licenses, packing, pieces, suffix, tokencount, warc
 from tidegauge.llm.texts import load
 from tidegauge.runtime import prepare
 
@@ -34,6 +34,10 @@ def op5_language_id(spark: SparkSession, sf: str) -> DataFrame:
     return langid.identify(docs, langid.train(docs))
 
 
+def op6_bagminhash(spark: SparkSession, sf: str) -> DataFrame:
+    return bagminhash.near_duplicates(load(prepare(spark), sf, "documents"))
+
+
 def op7_fingerprints(spark: SparkSession, sf: str) -> DataFrame:
     return fingerprints.edited_likeness(load(prepare(spark), sf, "documents"))
 
@@ -51,6 +55,6 @@ def op10_quality_rules(spark: SparkSession, sf: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_best_fit_packing, op2_suffix_dedup, op3_sentencepiece, op4_license_scan, op5_language_id, op7_fingerprints, op8_warc,
-    op9_token_counts, op10_quality_rules)}
+    op1_best_fit_packing, op2_suffix_dedup, op3_sentencepiece, op4_license_scan, op5_language_id, op6_bagminhash,
+    op7_fingerprints, op8_warc, op9_token_counts, op10_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tidegauge.llm.texts import bound_batches, map_batches, record_batch, written
+from tidegauge.llm.texts import bound_batches, map_batches, numbered, record_batch, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -379,11 +379,6 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, grou
             .unionByName(_counted_spans(groups.filter(F.col("size") > group), length)))
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The documents written once, with a number for each row in `__row`."""
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
-
-
 def _with_spans(rows: DataFrame, text: str, length: int, how: str, *others: str) -> DataFrame:
     """row, raw, the repeated strings' starts as `spans`, and other columns."""
     raw = rows.select(F.col("__row").alias("row"),
