@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidegauge.llm.texts import MEMO_WORDS, map_batches, numbered, written
@@ -29,6 +29,10 @@ WORDS = 5
 SIMILARITY = 0.8
 # A pair at the least similarity shares no band with a chance of (1 - 0.8 ** ROWS) ** BANDS, below 4 in a million.
 ROWS, BANDS = 4, 24
+# Parts of the shingles' hash values for which texts count their shingles, to bound overlaps.
+PARTS = 64
+# Multisets that a task keeps while it compares pairs.
+KEPT_SETS = 1000
 # Most new centres of a bucket in a round.
 MOST_CENTRES = 512
 
@@ -125,11 +129,14 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return common / (total - common) if total else 1.0
 
 
-_SKETCH = pa.schema([("row", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SKETCH = pa.schema([("row", pa.int64()), ("digest", pa.binary()), ("n", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
 
 def sketches(rows: DataFrame, words: int = WORDS, bands_: int = BANDS, per_band: int = ROWS) -> DataFrame:
-    """Per row: a digest of its words, and the hash values of its bands; rows: row BIGINT, text STRING."""
+    """Per row: a digest of its words, the number of its shingles, and the hash values of its bands.
+
+    rows: row BIGINT, text STRING.
+    """
 
     def make():
         shingler = Shingles(words)
@@ -145,7 +152,7 @@ def sketches(rows: DataFrame, words: int = WORDS, bands_: int = BANDS, per_band:
             found = bands(times, per_band).view(np.int64).tolist()
             return {"row": batch.column(0),
                     "digest": [hashlib.blake2b("\0".join(t).encode("utf-8", "surrogatepass"), digest_size=16).digest() for t in texts],
-                    "bands": [b if n else [] for b, n in zip(found, sizes)]}
+                    "n": [int(x[1].sum()) for x in sets], "bands": [b if n else [] for b, n in zip(found, sizes)]}
 
         return work
 
@@ -167,7 +174,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, least: float, words: int) -> D
 
         def own(key, text):
             if key not in kept:
-                if len(kept) > 64:
+                if len(kept) > KEPT_SETS:
                     kept.clear()
                 kept[key] = multiset(shingler.of(text.split()))
             return kept[key]
@@ -205,34 +212,137 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
+_SHINGLE = pa.schema([("id", pa.int64()), ("shingle", pa.int64()), ("w", pa.int64())])
+_COUNTED = pa.schema([("id", pa.int64()), ("text", pa.string()), ("n", pa.int64()), ("degree", pa.int64()),
+                      ("parts", pa.list_(pa.int32()))])
+
+
+def _counted(texts: DataFrame, words: int) -> DataFrame:
+    """Texts (id, text, n, degree) with the number of their shingles in each part."""
+
+    def make():
+        shingler = Shingles(words)
+
+        def work(batch):
+            found = [np.bincount((shingler.of(t.split()) % _U(PARTS)).astype(np.int64), minlength=PARTS).astype(np.int32)
+                     for t in batch.column(1).to_pylist()]
+            return {**dict(zip(_COUNTED.names, batch.columns)), "parts": found}
+
+        return work
+
+    return map_batches(texts.select(*_COUNTED.names[:4]), _COUNTED, make)
+
+
+def _shingled(texts: DataFrame, words: int) -> DataFrame:
+    """Distinct shingles of texts (id, text) with their weights."""
+
+    def make():
+        shingler = Shingles(words)
+
+        def work(batch):
+            sets = [multiset(shingler.of(t.split())) for t in batch.column(1).to_pylist()]
+            ids = np.repeat(np.array(batch.column(0).to_pylist(), np.int64), [len(x[0]) for x in sets])
+            return {"id": ids, "shingle": np.concatenate([x[0] for x in sets]).view(np.int64),
+                    "w": np.concatenate([x[1] for x in sets])}
+
+        return work
+
+    return map_batches(texts.select("id", "text"), _SHINGLE, make)
+
+
+_SLACK = 1e-6
+
+
+def _total(counts: str | Column) -> Column:
+    return F.aggregate(counts, F.lit(0).cast("bigint"), lambda total, n: total + n)
+
+
+def _fits(least: float) -> Column:
+    """Whether a centre and a member of its bucket may be similar enough: the sum over parts of the smaller
+    number of shared shingles is at least their overlap."""
+    overlap = _total(F.zip_with("centre.parts", "parts", lambda a, b: F.least(a, b)))
+    return ((F.col("centre.n") <= F.col("reach")) & (F.col("n") <= F.col("centre.reach"))
+            & (overlap * ((1 + least) / least) + _SLACK >= F.col("n") + F.col("centre.n")))
+
+
+def _hopeful(members: DataFrame, texts: DataFrame, labels: DataFrame | None, least: float, words: int) -> DataFrame:
+    """Members (bucket, id, rank) that may still be linked to another class of their bucket, with n and reach.
+
+    Shingles that only one of the texts has can't be common to two. What is left of a text bounds its overlap with
+    any other, and two texts of n and m shingles need an overlap of least / (1 + least) * (n + m). So a
+    text reaches only texts of up to `reach` shingles, and the smallest text and longest reach among
+    the other classes of a bucket tell which of its members reach nobody. Nothing is decided about pairs that may be similar enough.
+    """
+    own = texts.join(members.select("id").distinct(), "id")
+    single = (_shingled(own, words).groupBy("shingle").agg(F.count(F.lit(1)).alias("texts"), F.min("id").alias("id"), F.min("w").alias("w"))
+              .filter("texts = 1").groupBy("id", F.expr(f"cast(shingle & {PARTS - 1} as int)").alias("part")).agg(F.sum("w").alias("w"))
+              .groupBy("id").agg(F.map_from_entries(F.collect_list(F.struct("part", "w"))).alias("single")))
+    left = F.transform("parts", lambda total, part: (total - F.coalesce(F.try_element_at("single", part), F.lit(0))).cast("int"))
+    bound = written(own.join(single, "id", "left").select("id", "n", left.alias("parts")).withColumn("shared", _total("parts"))
+                    .filter(F.col("shared") + _SLACK >= F.col("n") * least)
+                    .select("id", "n", "parts", (F.col("shared") * (1 + least) / least - F.col("n") + _SLACK).alias("reach")), "bounds")
+    named = members.select("bucket", "id", "rank").join(bound, "id")
+    if labels is not None:
+        named = named.join(labels, "id", "left")
+    own = F.col("id") if labels is None else F.coalesce("component", "id")
+    held = written(named.select("bucket", "id", "rank", "n", "parts", "reach", own.alias("of")), "held")
+    # Of each bucket the smallest text and the longest reach, and the same among all classes but that one's.
+    classes = held.groupBy("bucket", "of").agg(F.min("n").alias("n"), F.max("reach").alias("reach"))
+    tops = classes.groupBy("bucket").agg(F.min(F.struct("n", "of")).alias("small"), F.max(F.struct("reach", "of")).alias("long"))
+    rest = classes.join(tops, "bucket").groupBy("bucket").agg(
+        F.first("small").alias("small"), F.first("long").alias("long"),
+        F.min(F.when(F.col("of") != F.col("small.of"), F.col("n"))).alias("small_other"),
+        F.max(F.when(F.col("of") != F.col("long.of"), F.col("reach"))).alias("long_other"))
+    smallest = F.when(F.col("of") == F.col("small.of"), F.col("small_other")).otherwise(F.col("small.n"))
+    longest = F.when(F.col("of") == F.col("long.of"), F.col("long_other")).otherwise(F.col("long.reach"))
+    return (held.join(rest, "bucket").filter((smallest <= F.col("reach")) & (F.col("n") <= longest))
+            .select("bucket", "id", "rank", "n", "parts", "reach"))
+
+
+def _several(members: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """Members of buckets that hold more than one class, ranked anew."""
+    named = members if labels is None else members.join(labels, "id", "left")
+    own = F.col("id") if labels is None else F.coalesce("component", "id")
+    classes = named.groupBy("bucket", own.alias("of")).agg(F.count(F.lit(1)).alias("size"))
+    several = (classes.groupBy("bucket").agg(F.count(F.lit(1)).alias("classes"), F.max(F.struct("size", "of")).alias("most"))
+               .filter("classes > 1").select("bucket", F.col("most.of").alias("most")))
+    # The largest class comes last as centres: once the others were compared with it, it is alone.
+    return (named.join(several, "bucket").withColumn("rank", F.struct((own == F.col("most")).alias("l"), "rank.d", "rank.i"))
+            .select(*members.columns))
+
+
 def linked_classes(rows: DataFrame, least: float = SIMILARITY, words: int = WORDS, bands_: int = BANDS,
                    per_band: int = ROWS) -> DataFrame:
     """(row, class) of every row; the class is one of its rows. rows: row BIGINT, text STRING, fixed.
 
     Rows with equal words are one class from the start, and one of them stands for all. The others meet in buckets. In
-    each round the members of a bucket are compared with its next centres, those that meet most others first;
-    twice as many centres as in the round before. Members of one class are not compared again, and
-    a bucket is done when its members are of one class or all its pairs across classes were compared.
+    each round the members of a bucket are compared with its next centres, those that meet most others first and its
+    largest class last; each round takes more centres than the one before. Members of one class are not compared again, and those that
+    provably reach no other member leave. A bucket is done when its members are of one class or all its
+    pairs across classes were compared.
     """
     sketched = written(sketches(rows, words, bands_, per_band), "sketches")
-    whole = written(sketched.groupBy("digest").agg(F.min("row").alias("id"), F.min("bands").alias("bands")), "texts")
+    whole = written(sketched.groupBy("digest").agg(F.min("row").alias("id"), F.min("n").alias("n"), F.min("bands").alias("bands")), "texts")
     met = whole.select("id", F.posexplode("bands").alias("band", "key"))
     sizes = met.groupBy("band", "key").agg(F.count(F.lit(1)).alias("size")).filter("size > 1")
     members = written(met.join(sizes, ["band", "key"]).select(F.xxhash64("band", "key").alias("bucket"), "id", "size"), "members")
     # Those who meet many come first: an original meets all its near copies, which need not meet each other.
     degree = members.groupBy("id").agg(F.sum("size").alias("degree"))
-    texts = written(rows.join(degree.select(F.col("id").alias("row")), "row").select(F.col("row").alias("id"), "text"), "near")
-    open_ = written(members.select("bucket", "id").join(degree, "id").select(
-        "bucket", "id", F.struct((-F.col("degree")).alias("d"), F.col("id").alias("i")).alias("rank")), "open")
+    near = degree.join(whole.select("id", "n"), "id").select(F.col("id").alias("row"), "n", "degree")
+    texts = written(_counted(rows.join(near, "row").select(F.col("row").alias("id"), "text", "n", "degree"), words), "near")
+    rank = F.struct(F.lit(False).alias("l"), (-F.col("degree")).alias("d"), F.col("id").alias("i"))
+    open_ = written(members.select("bucket", "id").join(texts.drop("text"), "id").select(
+        "bucket", "id", rank.alias("rank"), "n", "parts", (F.col("n") / least + _SLACK).alias("reach")), "open")
     labels = links = None
     centres = 1
     while not open_.isEmpty():
         # Row numbers up to a literal: each task passes on no more rows of a bucket than centres are wanted.
         order = F.row_number().over(Window.partitionBy("bucket").orderBy("rank"))
-        chosen = written(open_.select("bucket", "rank", order.alias("n")).filter(F.col("n") <= centres)
-                         .select("bucket", F.col("rank").alias("centre")), "centres")
+        chosen = written(open_.select("bucket", "rank", "n", "parts", "reach", order.alias("place")).filter(F.col("place") <= centres)
+                         .select("bucket", F.struct("rank", "n", "parts", "reach").alias("centre")), "centres")
         # Each centre is compared with the members behind it; those before were centres in earlier rounds.
-        pairs = open_.join(chosen, "bucket").filter("centre < rank").select(F.col("centre.i").alias("x"), F.col("id").alias("y"))
+        behind = (chosen["bucket"] == open_["bucket"]) & (F.col("centre.rank") < F.col("rank")) & _fits(least)
+        pairs = open_.join(chosen, behind).select(F.col("centre.rank.i").alias("x"), F.col("id").alias("y")).distinct()
         if labels is not None:
             pairs = _across(pairs, labels)
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
@@ -240,15 +350,11 @@ def linked_classes(rows: DataFrame, least: float = SIMILARITY, words: int = WORD
         links = found if links is None else links.unionByName(found)
         if not found.isEmpty():
             labels = components(links)
-        last = chosen.groupBy("bucket").agg(F.max("centre").alias("last"))
+        last = chosen.groupBy("bucket").agg(F.max("centre.rank").alias("last"))
         rest = open_.join(last, "bucket").filter("rank > last").select("bucket", "id", "rank")
-        # Members of one class need no more comparisons: a bucket stays open while it has members of several.
-        named = rest if labels is None else rest.join(labels, "id", "left")
-        own = F.col("id") if labels is None else F.coalesce("component", "id")
-        several = (named.groupBy("bucket").agg(F.min(own).alias("low"), F.max(own).alias("high"))
-                   .filter("low < high").select("bucket"))
-        open_ = written(rest.join(several, "bucket"), "open")
-        centres = min(2 * centres, MOST_CENTRES)
+        rest = written(_several(rest, labels), "rest")
+        open_ = rest if rest.isEmpty() else written(_several(_hopeful(rest, texts, labels, least, words), labels), "open")
+        centres = min(8 * centres, MOST_CENTRES)
     named = sketched.select("row", "digest").join(whole.select("digest", "id"), "digest")
     if labels is None:
         return named.select("row", F.col("id").alias("class"))
