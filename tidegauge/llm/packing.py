@@ -8,8 +8,11 @@ packing also goes to the next island. A block's best packing over all islands is
 
 from __future__ import annotations
 
+import os
+import re
 import sys
 import zlib
+from array import array
 
 import numpy as np
 import pandas as pd
@@ -29,10 +32,11 @@ ISLANDS = 3
 EPOCHS = 2
 POPULATION = 4
 CHILDREN = 5
+_MARK = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
 
 
 class Tokens(dict):
-    """Memo from white-space-free parts of texts to their ids as little-endian bytes.
+    """Memo from parts of texts without spaces to their ids as little-endian bytes.
 
     The vocabulary's normaliser and pre-tokeniser never join characters across a space or line break, so
     parts between them have the ids that they have in the whole text.
@@ -40,19 +44,31 @@ class Tokens(dict):
 
     def __init__(self, vocabulary: str):
         super().__init__({"": b""})
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self.tokenizer = Tokenizer.from_str(vocabulary)
 
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        """The text cut at spaces, line breaks, and between a letter and a mark that ends its part.
+
+        A mark never joins a letter in front of it, and letters of these alphabets are lower-cased one by one,
+        so equal words in other places and cases share an entry. A text with a special token's start stays as it is.
+        """
+        if "<|" not in text and (not text or text.isascii() or max(text) < "\u0130"):
+            text = _MARK.sub(r" \1", text.lower())
+        return text.replace("\n", " ").split(" ")
+
     def learn(self, parts: set[str]) -> None:
-        if len(self) > MEMO_WORDS:
-            self.clear()
-            self[""] = b""
-        new = sorted(parts.difference(self))
-        for part, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False) if new else ()):
-            self[part] = np.array(found.ids, "<u4").tobytes()
+        """Ids of parts that the memo lacks."""
+        new = list(parts.difference(self))
+        for at in range(0, len(new), 4096):
+            some = new[at:at + 4096]
+            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
+                self[part] = array("I", found.ids).tobytes()
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").split(" ") for t in texts]
+        split = [self.parts(t) for t in texts]
         fresh = set()
         for parts in split:
             fresh.update(parts)
