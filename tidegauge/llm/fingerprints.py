@@ -140,7 +140,7 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """Fingerprints of each text, of its edited text, and their likeness to each other and the next document.
 
     The next document follows by descending id, after the last comes the first; rows with equal ids follow by
-    text, null ids come last, and a single document is its own next one. The last third of the code points, rounded
+    a hash of the text, null ids come last, and a single document is its own next one. The last third of the code points, rounded
     down, is replaced by as many of the next document's first ones, or all it has. A null text is empty;
     two texts without words are alike (1), one of them and another text are not (0).
 
@@ -148,8 +148,9 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     row are stored, and one row per range goes through a second step.
     """
     bound_batches(docs.sparkSession)
-    order = [F.col("doc_id").desc_nulls_last(), F.col("text").asc()]
-    texts = keyed_texts(docs, key, text).repartitionByRange(*order).sortWithinPartitions(*order)
+    # Ranges are found from a sample of ids and hash values that passes through the driver, never of texts.
+    order = [F.col("doc_id").desc_nulls_last(), F.xxhash64("text").asc()]
+    texts = keyed_texts(docs, key, text).repartitionByRange(*order).sortWithinPartitions(*order, "text")
 
     def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler, before, number = None, None, TaskContext.get().partitionId()

@@ -147,15 +147,15 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, key: str = "page
     rows = written(pages.select(
         F.col(key).cast("bigint").alias("page_id"), F.col(url).cast("string").alias("url"),
         F.encode(F.coalesce(F.col(html).cast("string"), F.lit("")), "UTF-8").alias("payload"),
-        F.monotonically_increasing_id().alias("row_id")).withColumn("sha", F.sha1("payload")), "pages")
+        F.monotonically_increasing_id().alias("row_id")).withColumns(
+        {"sha": F.sha1("payload"), "size": F.octet_length("payload")}), "pages")
     order = F.struct(F.col("page_id").isNull().alias("no"), "page_id", "row_id")
-    firsts = (rows.filter(F.octet_length("payload") >= least).groupBy("sha").agg(
+    firsts = (rows.filter(F.col("size") >= least).groupBy("sha").agg(
         F.min(order).alias("first"), F.count(F.lit(1)).alias("copies")).filter("copies > 1")
         .select("sha", F.col("first.page_id").alias("first_page"), F.col("first.row_id").alias("first_row")))
-    size = rows.agg(F.sum(F.octet_length("payload"))).first()[0] or 0
-    files = max(spark.sparkContext.defaultParallelism, size // ARCHIVE + 1)
+    mean = rows.agg(F.avg("size")).first()[0] or 0
     linked = rows.join(firsts, "sha", "left").withColumn(
-        "first_row", F.when(F.octet_length("payload") >= least, F.col("first_row"))).select(
+        "first_row", F.when(F.col("size") >= least, F.col("first_row"))).select(
         "page_id", "url", "payload", "row_id", F.coalesce("first_row", "row_id").alias("first_row"), "first_page",
         F.unhex("sha").alias("sha"))
     schema = pa.schema([("member", pa.binary())])
@@ -164,15 +164,15 @@ def write_archives(pages: DataFrame, path: str, least: int = 0, key: str = "page
         for batch in batches:
             for row in batch.to_pylist():
                 row["digest"] = base64.b32encode(row["sha"]).decode()
-                for member in members(row):
-                    if member[-1]:
-                        raise ValueError("a member does not end with a zero byte")
-                    yield pa.RecordBatch.from_arrays([pa.array([member[:-1]], pa.binary())], schema=schema)
-
-    # Dealt out by a hash of the row, so that archives are of like size and segments of a record stay together.
-    dealt = linked.repartition(int(files), F.xxhash64("row_id"))
-    (dealt.mapInArrow(pack, from_arrow_schema(schema)).select(F.col("member").cast("string").alias("value"))
-     .write.option("lineSep", "\0").option("compression", "none").text(path))
+                packed = list(members(row))
+                if any(member[-1] for member in packed):
+                    raise ValueError("a member does not end with a zero byte")
+                yield pa.RecordBatch.from_arrays([pa.array([b"".join(packed)[:-1]], pa.binary())], schema=schema)
+
+    # A row holds all members of its record, so segments stay together wherever a file ends.
+    (linked.mapInArrow(pack, from_arrow_schema(schema)).select(F.col("member").cast("string").alias("value"))
+     .write.option("lineSep", "\0").option("compression", "none")
+     .option("maxRecordsPerFile", int(ARCHIVE // (mean + 1)) + 1).text(path))
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:
