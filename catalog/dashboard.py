@@ -6,6 +6,8 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.registry import query
+from tidegauge.operators.sharding import segment_starts
+from tidegauge.runtime import cut
 from tidegauge.functions.scalars import confidence_band, seconds
 from tidegauge.plans import anomalies, health, prices, reports
 
@@ -15,6 +17,21 @@ PRIORITIES = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW", "6-N
 
 # prices ---------------------------------------------------------------------------------
 
+def _position():
+    """Place of a row in a result of few ordered rows, which are one partition."""
+    return F.monotonically_increasing_id() + 1
+
+
+def in_order(rows):
+    """An ordered result of any length with each row's place in it: the index in its partition after those before."""
+    numbered = rows.withColumn("_part", F.spark_partition_id()).withColumn(
+        "_index", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))
+    fixed = cut(numbered)
+    starts = segment_starts(fixed.withColumnRenamed("_part", "_seg"), F.lit(1))
+    return (fixed.join(F.broadcast(starts), fixed["_part"] == starts["_seg"])
+            .withColumn("position", F.col("_start") + F.col("_index") + 1))
+
+
 @query(f"""
 SELECT id, symbol, price, volume, ts AS trade_timestamp FROM ({v.trades_sql()})
 WHERE symbol = 'view' AND ts >= {NOW_SQL} - INTERVAL 7 DAY""", settle=False)
@@ -25,11 +42,11 @@ def recent_trades(spark, sf):
 
 
 @query(f"""
-SELECT symbol, window_size, window_start, window_end, {v.half_up("avg_price", 6)} AS avg_price, {v.half_up("std_dev", 6)} AS std_dev,
-       {v.half_up("total_volume", 6)} AS total_volume, trade_count, {v.half_up("vwap", 6)} AS vwap, min_price, max_price
+SELECT row_number() OVER (ORDER BY window_start DESC) AS position, symbol, window_size, window_start, window_end,
+       {v.half_up("avg_price", 6)} AS avg_price, {v.half_up("std_dev", 6)} AS std_dev, {v.half_up("total_volume", 6)} AS total_volume, trade_count, {v.half_up("vwap", 6)} AS vwap, min_price, max_price
 FROM ({v.METRICS_SQL}) WHERE symbol = 'view' AND window_size = '5m' ORDER BY window_start DESC LIMIT 100""")
 def metrics_latest(spark, sf):
-    return prices.metrics_latest(v.metrics(spark, sf), "view", "5m", 100)
+    return prices.metrics_latest(v.metrics(spark, sf), "view", "5m", 100).withColumn("position", _position())
 
 
 _LATEST_QUOTE_SQL = f"""
@@ -63,13 +80,13 @@ def ticker_snapshot(spark, sf):
 
 
 @query(f"""
-SELECT symbol, current_price, change, percent_change, high_price,
+SELECT row_number() OVER (ORDER BY quoted_at, id) AS position, symbol, current_price, change, percent_change, high_price,
        low_price, open_price, prev_close, quoted_at
 FROM ({v.QUOTES_SQL}) WHERE quoted_at >= TIMESTAMP '2001-01-01' - INTERVAL 8760 HOUR""", settle=False)
 def quote_history(spark, sf):
     now = F.lit("2001-01-01 00:00:00").cast("timestamp_ntz")
     rows = prices.quote_history(v.quotes(spark, sf), now, 8760)
-    return rows.select(*prices.QUOTE_COLUMNS).orderBy("quoted_at")
+    return in_order(rows).select("position", *prices.QUOTE_COLUMNS)
 
 
 @query(f"""
@@ -185,7 +202,9 @@ def anomaly_context(spark, sf):
 # reports --------------------------------------------------------------------------------
 
 @query(f"""
-SELECT r.id, r.anomaly_log_id, r.symbol, r.root_cause_type, r.summary, {v.half_up("r.confidence_score", 6)} AS confidence_score,
+SELECT row_number() OVER (ORDER BY r.generated_at DESC, r.id DESC) AS position, r.evidence, r.agent_model, r.tokens_used,
+       md5(r.full_report) AS full_report, md5(array_to_string(string_split(r.summary, chr(10)), '|')) AS recommendations,
+       r.id, r.anomaly_log_id, r.symbol, r.root_cause_type, r.summary, {v.half_up("r.confidence_score", 6)} AS confidence_score,
        r.generated_at, a.severity, a.anomaly_type, a.detection_method, a.price_at_anomaly,
        a.detected_at AS anomaly_detected_at,
        printf('%d%%', round(confidence_score * 100)::INTEGER) || CASE WHEN confidence_score >= 0.7 THEN ' (High)'
@@ -195,7 +214,11 @@ FROM (SELECT * FROM ({v.REPORTS_SQL}) ORDER BY generated_at DESC, id DESC LIMIT
 LEFT JOIN ({v.REPORTED_SQL}) a ON r.anomaly_log_id = a.id""")
 def report_list(spark, sf):
     rows = reports.newest(v.reports(spark, sf), v.reported_anomalies(spark, sf))
-    return reports.labelled(rows).drop("recommendations", "tokens_used")
+    # Long texts are compared by digest; the position shows the order of the result.
+    shown = {"full_report": F.md5(F.col("full_report").cast("binary")),
+             "recommendations": F.md5(F.array_join("recommendations", "|").cast("binary")),
+             "tokens_used": F.col("tokens_used").cast("bigint"), "position": _position()}
+    return reports.labelled(rows).withColumns(shown)
 
 
 @query(f"""

@@ -10,6 +10,7 @@ from tidegauge import schemas
 from tidegauge.operators import quality
 from tidegauge.sources import messages, tables
 from tidegauge.runtime import scratch_path
+from tidegauge.streaming import jobs
 
 MILLIS = "%Y-%m-%dT%H:%M:%S.%g"
 
@@ -141,3 +142,37 @@ def table_roundtrip(spark, sf):
     stored = tables.read_table(spark, root, schemas.RAW_TRADES)
     return stored.select("id", "symbol", F.col("price").cast("double").alias("price"),
                          F.col("volume").cast("double").alias("volume"), "trade_timestamp")
+
+
+def _stamped(spark, sf, **fields):
+    return v.table(spark, sf, "events").select(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("value"))
+
+
+@query("""
+SELECT event_id AS id, event_type AS headline, to_timestamp(1700000000 + event_id)::TIMESTAMP AS published_at FROM events""", settle=False)
+def decode_news(spark, sf):
+    texts = _stamped(spark, sf, id=F.col("event_id"), headline=F.col("event_type"), datetime=F.lit(1_700_000_000) + F.col("event_id"))
+    return messages.decode_news(texts).select("id", "headline", "published_at")
+
+
+@query("""
+SELECT CAST(user_id AS VARCHAR) AS symbol, value AS price, date_trunc('milliseconds', ts) AS detected_at FROM events""", settle=False)
+def decode_anomalies(spark, sf):
+    moment = F.date_format(F.col("ts").cast("timestamp"), "yyyy-MM-dd'T'HH:mm:ss.SSSxxx")
+    texts = _stamped(spark, sf, symbol=F.col("user_id").cast("string"), price=F.col("value"), detected_at=moment)
+    return messages.decode_anomalies(texts).select("symbol", "price", "detected_at")
+
+
+@query("""
+SELECT l_orderkey AS id, l_linenumber AS line, 'overflow price' AS reject_reason FROM lineitem WHERE l_extendedprice * 2000 > 99999999.99995
+UNION ALL SELECT l_orderkey, l_linenumber, NULL FROM lineitem WHERE l_extendedprice * 2000 <= 99999999.99995""", settle=False)
+def landing_rejects(spark, sf):
+    """Trades landed by a batch, with those that do not fit kept apart."""
+    root = scratch_path(spark, "landing")
+    rows = v.table(spark, sf, "lineitem").select(
+        F.col("l_orderkey").alias("id"), F.col("l_returnflag").alias("symbol"), (F.col("l_extendedprice") * 2000).alias("price"),
+        F.col("l_linenumber").cast("double").alias("volume"), F.date_trunc("year", "l_shipdate").alias("trade_timestamp"))
+    jobs.landing(root, schemas.RAW_TRADES)(rows, 0)
+    line = F.col("volume").cast("bigint").alias("line")
+    stored = tables.read_batches(spark, root, schemas.RAW_TRADES).select("id", line, F.lit(None).cast("string").alias("reject_reason"))
+    return stored.unionByName(spark.read.parquet(jobs.rejects(root, schemas.RAW_TRADES)).select("id", line, "reject_reason"))

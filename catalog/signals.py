@@ -185,6 +185,18 @@ def iforest_train(spark, sf):
     return _forest(spark, sf).nodes
 
 
+@query(f"""
+SELECT t AS tree, least(256, n) AS root_rows, least(256, n) AS leaf_rows, true AS shallow, true AS binary
+FROM range(100) r(t), (SELECT count(*) AS n FROM ({_TOP_SQL}))""")
+def iforest_shape(spark, sf):
+    """What holds for every tree, however its splits were drawn."""
+    leaf = F.col("feature") < 0
+    return _forest(spark, sf).nodes.groupBy(F.col("tree").cast("bigint").alias("tree")).agg(
+        F.max(F.when(F.col("node") == 0, F.col("size"))).cast("bigint").alias("root_rows"),
+        F.sum(F.when(leaf, F.col("size"))).cast("bigint").alias("leaf_rows"),
+        (F.max("depth") <= 8).alias("shallow"), (F.count_if(leaf) == F.count_if(~leaf) + 1).alias("binary"))
+
+
 @query()
 def iforest_flags(spark, sf):
     found = iforest.isolation_verdicts(v.metrics(spark, sf), _forest(spark, sf))

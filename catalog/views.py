@@ -104,7 +104,9 @@ def reports(spark: SparkSession, sf: str) -> DataFrame:
         F.col("doc_id").alias("id"), F.col("doc_id").alias("anomaly_log_id"), F.col("source").alias("symbol"),
         F.col("text").alias("summary"), ((F.col("n_chars") % 101) / 100).alias("confidence_score"),
         F.col("lang").alias("root_cause_type"), F.split("text", "\n").alias("recommendations"),
-        F.col("n_chars").cast("int").alias("tokens_used"), report_day("doc_id").alias("generated_at"))
+        F.col("n_chars").cast("int").alias("tokens_used"), F.concat(F.lit("Report: "), F.col("text")).alias("full_report"),
+        F.concat(F.lit("source "), F.col("source")).alias("evidence"), F.col("lang").alias("agent_model"),
+        report_day("doc_id").alias("generated_at"))
 
 
 def reported_anomalies(spark: SparkSession, sf: str) -> DataFrame:
@@ -238,7 +240,7 @@ REPORT_TIME = "TIMESTAMP '2023-11-14 22:13:20'"
 
 REPORTS_SQL = f"""
 SELECT doc_id AS id, doc_id AS anomaly_log_id, source AS symbol, text AS summary, (n_chars % 101) / 100.0::DOUBLE AS confidence_score,
-       lang AS root_cause_type, n_chars AS tokens_used, {REPORT_TIME} + to_seconds(doc_id * 60) AS generated_at
+       lang AS root_cause_type, n_chars AS tokens_used, 'Report: ' || text AS full_report, 'source ' || source AS evidence, lang AS agent_model, {REPORT_TIME} + to_seconds(doc_id * 60) AS generated_at
 FROM documents"""
 
 REPORTED_SQL = f"""

@@ -1,5 +1,7 @@
 import json
 
+import pytest
+
 from pyspark.sql import functions as F
 
 from tidegauge import schemas
@@ -106,13 +108,15 @@ def test_references(spark):
 
 def test_append_rounds_half_up_and_prunes_days(spark, tmp_path):
     rows = spark.createDataFrame(
-        [(1, "A", 1.00005, 2.0, "2024-01-01 10:00:00"), (2, "A", 1.5, 1e17, "2024-01-03 10:00:00")],
+        [(1, "A", 1.00005, 2.0, "2024-01-01 10:00:00"), (2, "A", 1.5, 1e15, "2024-01-03 10:00:00")],
         "id BIGINT, symbol STRING, price DOUBLE, volume DOUBLE, trade_timestamp STRING") \
         .withColumn("trade_timestamp", F.to_timestamp("trade_timestamp"))
     tables.append(rows, str(tmp_path), schemas.RAW_TRADES, now())
     stored = tables.read_table(spark, str(tmp_path), schemas.RAW_TRADES)
     kept = {r["id"]: (float(r["price"]), r["volume"]) for r in stored.collect()}
-    assert kept[1][0] == 1.0001 and kept[2] == (1.5, None)
+    assert kept[1][0] == 1.0001 and kept[2][0] == 1.5
+    with pytest.raises(Exception, match="does not fit"):
+        tables.append(rows.withColumn("volume", F.lit(1e17)), str(tmp_path), schemas.RAW_TRADES, now())
     recent = tables.since(stored, schemas.RAW_TRADES, F.to_timestamp(F.lit("2024-01-02 00:00:00")))
     assert [r["id"] for r in recent.collect()] == [2]
     plan = recent._jdf.queryExecution().executedPlan().toString()
@@ -137,3 +141,10 @@ def test_create_tables_twice(spark, tmp_path):
     assert spark.sql("SHOW TABLES IN market").count() == 7
     assert dict(spark.table("market.anomaly_logs").dtypes)["anomaly_score"] == "decimal(10,6)"
     spark.sql("DROP DATABASE market CASCADE")
+
+
+@pytest.mark.parametrize("decoded", [messages.decode_trades, messages.feed_trades, lambda m: messages.sentiment_rows(messages.decode_sentiment(m), now()),
+                                     lambda m: messages.quote_rows(messages.decode_quotes(m), now())])
+def test_texts_are_parsed_once(spark, decoded):
+    plan = decoded(texts(spark, "{}"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json") == 1

@@ -14,6 +14,8 @@ def con():
 @pytest.mark.parametrize("name", sorted(entry.queries()))
 def test_query_matches_sql(spark, con, name):
     query = entry.queries()[name]
+    if name in entry.TEXT_QUERIES:
+        pytest.skip("tested with its subpackage")
     if name in entry.oracle_sql():
         assert compare(spark, con, SF, query, entry.oracle_sql()[name]) == ""
     else:
@@ -26,4 +28,4 @@ def test_entry(spark):
 
 def test_every_sql_belongs_to_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
-    assert set(entry.queries()) - set(entry.oracle_sql()) == {"iforest_train", "iforest_flags"}
+    assert set(entry.queries()) - set(entry.oracle_sql()) - set(entry.TEXT_QUERIES) == {"iforest_train", "iforest_flags"}

@@ -3,7 +3,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidegauge.operators import sharding
-from tidegauge.operators.detectors import last_verdicts, rolling_verdicts
+from tidegauge.operators.detectors import history_statistics, last_verdicts, rolling_verdicts
 
 
 def test_positions_are_dense_and_sorted(skewed):
@@ -84,3 +84,29 @@ def test_rolling_verdicts_do_not_depend_on_the_path(skewed):
     assert len(plain) > 30
     assert [(r["id"], r["detection_method"], round(r["anomaly_score"], 9)) for r in plain] == \
         [(r["id"], r["detection_method"], round(r["anomaly_score"], 9)) for r in split]
+
+
+@pytest.mark.parametrize("copies", [1, 2, 4])
+def test_copies_of_the_newest_trade_count_alike_on_both_paths(spark, copies):
+    old = [("A", 100.0 + i % 3 / 10, 10.0, i, i) for i in range(9)] + [("B", 5.0, 1.0, 1, 1)]
+    rows = spark.createDataFrame(old + [("A", 400.0, 20.0, 50, 50)] * copies + [("B", 5.0, 1.0, 1, 1)] * (copies - 1),
+                                 "symbol STRING, price DOUBLE, volume DOUBLE, second BIGINT, id BIGINT") \
+        .withColumn("ts", F.timestamp_seconds("second"))
+    both = [sorted((r["symbol"], r["history_n"], *[None if x is None else round(x, 9) for x in (r["mean"], r["std"], r["avg_volume"], r["q1"], r["q3"])])
+                   for r in history_statistics(rows, group_limit=limit).collect()) for limit in (10**6, 0)]
+    assert both[0] == both[1] and ("A", 8 + copies) in {r[:2] for r in both[0]}
+
+
+def test_a_null_key_has_quantiles_on_both_paths(spark):
+    rows = spark.createDataFrame([(None, 1.0), (None, 3.0), ("X", 5.0)], "symbol STRING, price DOUBLE")
+    both = [sorted(map(tuple, sharding.grouped_quantiles(rows, ["symbol"], "price", (0.5,), ("m",), group_limit=limit).collect()), key=str)
+            for limit in (10**6, 0)]
+    assert both[0] == both[1] == [("X", 5.0), (None, 2.0)]
+
+
+@pytest.mark.parametrize("odd", [float("inf"), float("-inf"), float("nan")])
+def test_odd_prices_flag_nothing(spark, odd):
+    rows = spark.createDataFrame([("A", 100.0 + i % 3 if i != 4 else odd, 10.0, i, i) for i in range(12)],
+                                 "symbol STRING, price DOUBLE, volume DOUBLE, second BIGINT, id BIGINT") \
+        .withColumn("ts", F.timestamp_seconds("second"))
+    assert [r for limit in (10**6, 0) for r in last_verdicts(rows, group_limit=limit).collect() if r["is_anomaly"]] == []

@@ -75,7 +75,7 @@ def test_score_that_does_not_fit_is_kept_apart(spark, tmp_path):
     rows = messages.decode_trades(spark.read.text(f"{tmp_path}/in")).withColumn("id", F.monotonically_increasing_id())
     jobs.detection(f"{tmp_path}/out")(rows, 0)
     assert tables.read_batches(spark, f"{tmp_path}/out", ANOMALY_LOGS).count() == 0
-    kept = spark.read.parquet(f"{tmp_path}/out/rejected_anomalies").collect()
+    kept = spark.read.parquet(jobs.rejects(f"{tmp_path}/out", ANOMALY_LOGS)).collect()
     assert {r["reject_reason"] for r in kept} == {"overflow anomaly_score"}
 
 
@@ -152,3 +152,35 @@ def test_news_once_over_batches(spark, tmp_path):
 
 def test_trade_schema_is_what_the_decoder_uses(spark):
     assert spark.createDataFrame([], TRADE_MSG).columns == ["symbol", "price", "volume", "trade_timestamp", "conditions"]
+
+
+def test_equal_fills_count_twice(spark, tmp_path):
+    write(f"{tmp_path}/in", "1", [message("A", 50.0, 3.0, 10)] * 2)
+    rows = messages.decode_trades(spark.read.text(f"{tmp_path}/in")).withColumn("id", F.xxhash64("symbol", "price"))
+    none = rows.filter("false")
+    callback = jobs.detection(f"{tmp_path}/out", recent=lambda start: rows.filter(F.col("ts") >= start).unionByName(none))
+    callback(rows, 0)
+    got = tables.read_batches(spark, f"{tmp_path}/out", AGGREGATED_METRICS).filter("window_size = '1m'").first()
+    assert (got["trade_count"], float(got["total_volume"])) == (2, 6.0)
+
+
+def test_another_query_keeps_its_batches(spark, tmp_path):
+    rows = spark.createDataFrame([(1, "A", 1.0, 2.0)], "id BIGINT, symbol STRING, price DOUBLE, volume DOUBLE") \
+        .withColumn("trade_timestamp", F.current_timestamp())
+    for query in ("one", "two", "two"):
+        tables.append(rows, str(tmp_path), RAW_TRADES, F.current_timestamp(), 7, query)
+    assert tables.read_batches(spark, str(tmp_path), RAW_TRADES).count() == 2
+
+
+def test_a_renewed_checkpoint_starts_beside_the_old_rows(spark, tmp_path):
+    write(f"{tmp_path}/in", "1", [message("A", 1.0, 1.0, 10)])
+    trades = jobs.trade_rows(jobs.trade_stream(source(spark, f"{tmp_path}/in")))
+    for checkpoint in ("a", "b"):
+        jobs.run(trades, jobs.landing(f"{tmp_path}/out", RAW_TRADES), f"{tmp_path}/{checkpoint}", once=True).awaitTermination()
+    assert tables.read_batches(spark, f"{tmp_path}/out", RAW_TRADES).count() == 2
+
+
+def test_the_place_in_a_topic_is_the_identity(spark):
+    rows = spark.createDataFrame([(message("A", 1.0, 1.0, 10), "t", 0, i) for i in range(2)],
+                                 "value STRING, topic STRING, partition INT, offset BIGINT")
+    assert jobs.trade_stream(rows).select("id").distinct().count() == 2

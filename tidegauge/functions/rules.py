@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalars import settled
+from tidegauge.functions.scalars import finite, settled
 
 MIN_SPREAD = 1e-9
 
@@ -35,7 +35,7 @@ def _context(**fields: Column) -> Column:
 
 def zscore(value: Column, n: Column, mean: Column, std: Column,
            threshold: float = 3.0, kind: str = "price_spike") -> Column:
-    z = F.when((n >= 5) & (std >= MIN_SPREAD), (value - mean) / std)
+    z = finite(F.when((n >= 5) & (std >= MIN_SPREAD) & finite(std).isNotNull(), (value - mean) / std))
     size = F.abs(z)
     severity = (F.when(size >= 5, "critical").when(size >= 4, "high").when(size >= 3, "medium").otherwise("low"))
     context = _context(z_score=z, mean=mean, std=std, threshold=F.lit(float(threshold)))
@@ -45,7 +45,7 @@ def zscore(value: Column, n: Column, mean: Column, std: Column,
 def iqr(value: Column, n: Column, q1: Column, q3: Column,
         k: float = 1.5, kind: str = "price_outlier") -> Column:
     spread = q3 - q1
-    usable = (n >= 5) & (spread >= MIN_SPREAD)
+    usable = (n >= 5) & (spread >= MIN_SPREAD) & finite(spread).isNotNull() & finite(value).isNotNull()
     lower, upper = q1 - spread * k, q3 + spread * k
     score = F.when(usable, F.greatest(value - upper, lower - value) / spread)
     severity = F.when(score >= 9, "critical").when(score >= 6, "high").when(score >= 3, "medium").otherwise("low")
@@ -54,7 +54,7 @@ def iqr(value: Column, n: Column, q1: Column, q3: Column,
 
 
 def volume_spike(value: Column, n: Column, mean: Column, threshold: float = 5.0) -> Column:
-    ratio = F.when((n >= 3) & (mean >= MIN_SPREAD), value / mean)
+    ratio = finite(F.when((n >= 3) & (mean >= MIN_SPREAD) & finite(mean).isNotNull(), value / mean))
     severity = (F.when(ratio >= threshold * 4, "critical").when(ratio >= threshold * 2, "high")
                 .when(ratio >= threshold * 1.5, "medium").otherwise("low"))
     context = _context(current_volume=value, avg_volume=mean, ratio=ratio, threshold=F.lit(float(threshold)))

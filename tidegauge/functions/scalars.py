@@ -14,8 +14,8 @@ DASH = "—"
 
 
 def finite(value: Column) -> Column:
-    """NaN becomes null, so that averages skip it."""
-    return F.when(~F.isnan(value), value)
+    """NaN and infinities become null, so that averages skip them. NaN is above every number in Spark's order."""
+    return F.when(F.abs(value) < F.lit(float("inf")), value)
 
 
 def or_default(value: Column, default: Column) -> Column:

@@ -18,6 +18,8 @@ from tidegauge.operators.sharding import (GROUP_LIMIT, VALUE_LIMIT, attach, grou
 from tidegauge.runtime import cut
 
 STATISTICAL = ("zscore", "iqr", "volume_spike")
+# Order of a symbol's trades; the history of the newest one is all rows but exactly one copy of it.
+MOMENT = ("ts", "id", "price", "volume")
 
 
 def clean_trades(trades: DataFrame) -> DataFrame:
@@ -40,7 +42,7 @@ def history_statistics(trades: DataFrame, quartiles: bool = True, group_limit: i
 
 
 def _ranked_statistics(keyed: DataFrame, quartiles: bool) -> DataFrame:
-    newest = Window.partitionBy("symbol").orderBy(F.col("ts").desc(), F.col("id").desc())
+    newest = Window.partitionBy("symbol").orderBy(*[F.col(c).desc() for c in MOMENT])
     ranked = keyed.withColumn("_rank", F.row_number().over(newest))
     current, past = F.col("_rank") == 1, F.col("_rank") > 1
     price, volume = F.when(past, F.col("price")), F.when(past, F.col("volume"))
@@ -59,21 +61,31 @@ def _ranked_statistics(keyed: DataFrame, quartiles: bool) -> DataFrame:
 
 
 def _attached_statistics(keyed: DataFrame, quartiles: bool, group_limit: int) -> DataFrame:
-    last = cut(latest_per_key(keyed, "symbol", ("ts", "id")))
-    border = last.select("symbol", F.col("ts").alias("_ts"), F.col("id").alias("_id"))
-    history = attach(keyed, border, ["symbol"], fixed=True).filter(
-        (F.col("ts") < F.col("_ts")) | ((F.col("ts") == F.col("_ts")) & (F.col("id") < F.col("_id"))))
-    known = history.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("history_n"),
-        F.avg("price").alias("mean"),
-        F.stddev_samp("price").alias("std"),
-        F.avg("volume").alias("avg_volume"),
-    )
-    result = last.select("symbol", F.col("price").alias("current_price"),
-                         F.col("volume").alias("current_volume")).join(known, "symbol")
+    last = cut(latest_per_key(keyed, "symbol", MOMENT))
+    border = last.select("symbol", F.struct(*MOMENT).alias("_border"))
+    placed = attach(keyed, border, ["symbol"], fixed=True).withColumn("_at", F.struct(*MOMENT))
+    before = placed.filter(F.col("_at") < F.col("_border")).drop("_at", "_border")
+    # Copies of the newest row are all alike, so their number stands for them.
+    copies = (placed.filter(F.col("_at") == F.col("_border")).groupBy("symbol")
+              .agg((F.count(F.lit(1)) - 1).alias("_copies")))
+    known = before.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("_n"), F.avg("price").alias("_mean"), F.var_pop("price").alias("_var"),
+        F.sum("volume").alias("_volume"))
+    joined = last.select("symbol", F.col("price").alias("current_price"), F.col("volume").alias("current_volume")) \
+        .join(copies, "symbol").join(known, "symbol", "left")
+    n, k, price = F.coalesce("_n", F.lit(0)), F.col("_copies"), F.col("current_price")
+    total = (n + k).cast("double")
+    apart = price - F.coalesce("_mean", price)
+    squares = F.coalesce(F.col("_var") * n, F.lit(0.0)) + apart * apart * n * k / total
+    result = joined.filter(n + k > 0).select(
+        "symbol", "current_price", "current_volume", (n + k).alias("history_n"),
+        (F.coalesce("_mean", price) + apart * k / total).alias("mean"),
+        F.when(n + k > 1, F.sqrt(squares / (total - 1))).alias("std"),
+        ((F.coalesce("_volume", F.lit(0.0)) + F.col("current_volume") * k) / total).alias("avg_volume"))
     if quartiles:
-        fences = grouped_quantiles(history.select("symbol", "price"), ["symbol"], "price",
-                                   (0.25, 0.75), ("q1", "q3"), group_limit)
+        weighted = before.select("symbol", "price", F.lit(1).cast("bigint").alias("_w")).unionByName(
+            joined.filter(k > 0).select("symbol", price.alias("price"), k.alias("_w")))
+        fences = grouped_quantiles(weighted, ["symbol"], "price", (0.25, 0.75), ("q1", "q3"), group_limit, "_w")
         result = result.join(fences, "symbol")
     return result
 
@@ -139,9 +151,12 @@ def batch_means(trades: DataFrame) -> DataFrame:
 
 
 def anomaly_events(verdicts: DataFrame, trades: DataFrame, detected_at: Column) -> DataFrame:
-    """Flagged verdicts as anomaly messages: rounded, with the batch means and detection time."""
-    means = batch_means(clean_trades(trades))
-    return flagged(verdicts).join(means, "symbol").select(
+    """Flagged verdicts as anomaly messages: rounded, with the batch means and detection time.
+
+    Each mean is over the symbol's finite values of that column; without any it is null, and the verdict stays.
+    """
+    finite_rows = trades.withColumns({"price": finite(F.col("price")), "volume": finite(F.col("volume"))})
+    return flagged(verdicts).join(batch_means(finite_rows), "symbol", "left").select(
         "symbol", "anomaly_type", "severity", "detection_method",
         settled(F.col("anomaly_score"), 6).alias("anomaly_score"),
         settled(F.col("price"), 4).alias("price"),

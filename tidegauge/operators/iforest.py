@@ -74,7 +74,7 @@ def training_rows(metrics: DataFrame, window_size: str = "5m", per_symbol: int =
     chosen = metrics.filter((F.col("window_size") == window_size) & F.col("symbol").isNotNull())
     if symbols is not None:
         chosen = chosen.filter(F.col("symbol").isin(list(symbols)))
-    return newest_n(chosen, "symbol", [F.col("window_start").desc()], per_symbol)
+    return newest_n(chosen, "symbol", [F.col("window_start").desc(), *[F.col(c).desc() for c in ("id",) if c in chosen.columns]], per_symbol)
 
 
 def features(rows: DataFrame) -> DataFrame:

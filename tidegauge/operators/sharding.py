@@ -122,8 +122,10 @@ def preceding_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], row
 
 
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                      names: Sequence[str], group_limit: int = VALUE_LIMIT) -> DataFrame:
-    """Exact quantiles per key with linear interpolation.
+                      names: Sequence[str], group_limit: int = VALUE_LIMIT, weight: str | None = None) -> DataFrame:
+    """Exact quantiles per key with linear interpolation; a null key is a key like others.
+
+    `weight` names a column that says how many rows a row stands for.
 
     Rows are first counted per (key, value), which folds ties on the map side. Keys with
     few distinct values use the built-in percentile weighted by those counts. Otherwise
@@ -131,7 +133,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     the wanted ranks are picked by a conditional aggregate.
     """
     tally = cut(df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-                .groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n")))
+                .groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n")))
     if largest_group(tally, keys) <= group_limit:
         found = tally.groupBy(*keys).agg(
             F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), F.col("_n")).alias("_q"))
@@ -143,7 +145,11 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
               .join(F.broadcast(segment_starts(segments, F.col("_n"))), "_seg")
               .select(*keys, value, "_n", (F.col("_start") + F.col("_upto") - F.col("_n")).alias("_before")))
     groups = ranked.groupBy(*keys).agg(F.min("_before").alias("_first"), F.sum("_n").alias("_total"))
-    placed = attach(ranked, groups, keys).withColumn("_rank", F.col("_before") - F.col("_first"))
+    # Joined by a text and a flag per key, so that null keys meet too.
+    codes = {f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(keys)}
+    codes |= {f"_z{i}": F.col(k).isNull() for i, k in enumerate(keys)}
+    placed = (attach(ranked.withColumns(codes), groups.withColumns(codes).drop(*keys), list(codes))
+              .withColumn("_rank", F.col("_before") - F.col("_first")))
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_rank") <= rank) & (rank < F.col("_rank") + F.col("_n")), F.col(value)))

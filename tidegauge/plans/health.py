@@ -43,7 +43,7 @@ def counts_text(counts: DataFrame) -> DataFrame:
 
 def component_status(tables: dict[str, DataFrame]) -> DataFrame:
     """RUNNING for a component whose table has rows, NO DATA otherwise."""
-    counts = table_counts({name: t for name, t in tables.items() if name in COMPONENTS})
+    counts = table_counts({name: t.limit(1) for name, t in tables.items() if name in COMPONENTS})
     name = F.element_at(F.create_map(*[F.lit(x) for pair in COMPONENTS.items() for x in pair]), F.col("table_name"))
     return counts.select(name.alias("component"),
                          F.when(F.col("row_count") > 0, "RUNNING").otherwise("NO DATA").alias("status"))

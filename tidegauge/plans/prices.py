@@ -22,7 +22,7 @@ def recent_trades(trades: DataFrame, symbol: str, now: Column, minutes: int = 60
 
 def metrics_latest(metrics: DataFrame, symbol: str, window_size: str, limit: int = 100) -> DataFrame:
     return (metrics.filter((F.col("symbol") == symbol) & (F.col("window_size") == window_size))
-            .orderBy(F.col("window_start").desc()).limit(limit))
+            .orderBy(F.col("window_start").desc(), *[F.col(c).desc() for c in ("id",) if c in metrics.columns]).limit(limit))
 
 
 def latest_quotes(quotes: DataFrame) -> DataFrame:
@@ -54,10 +54,11 @@ def ticker_snapshot(quotes: DataFrame, symbols: Sequence[str]) -> DataFrame:
 
 
 def quote_history(quotes: DataFrame, now: Column, hours: int = 1, symbols: Sequence[str] | None = None) -> DataFrame:
+    """Quotes of the last hours in time order, ties by id."""
     recent = quotes.filter(at_or_after(quotes, "quoted_at", now - seconds(hours * 3600)))
     if symbols is not None:
         recent = recent.filter(F.col("symbol").isin(*symbols))
-    return recent
+    return recent.orderBy("quoted_at", "id")
 
 
 def normalised_prices(quotes: DataFrame) -> DataFrame:

@@ -18,10 +18,11 @@ def with_anomaly(reports: DataFrame, anomalies: DataFrame) -> DataFrame:
 
 
 def newest(reports: DataFrame, anomalies: DataFrame, symbol: str | None = None, limit: int = 100) -> DataFrame:
-    """Newest reports. The limit is taken first: the join neither drops nor repeats reports."""
-    chosen = (reports.filter(all_of(equals_unless_all("symbol", symbol)))
-              .orderBy(F.col("generated_at").desc(), F.col("id").desc()).limit(limit))
-    return with_anomaly(chosen, anomalies)
+    """Newest reports, newest first. The limit is taken before the join, which neither drops nor repeats reports
+    but may change their order, so they are ordered again."""
+    order = F.col("generated_at").desc(), F.col("id").desc()
+    chosen = reports.filter(all_of(equals_unless_all("symbol", symbol))).orderBy(*order).limit(limit)
+    return with_anomaly(chosen, anomalies).orderBy(*order)
 
 
 def labelled(reports: DataFrame) -> DataFrame:

@@ -5,6 +5,8 @@ Inputs carry the message text in a column `value` (a Kafka source or landed JSON
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -35,14 +37,18 @@ def stream_to_topic(messages: DataFrame, servers: str, topic: str, checkpoint: s
             .option("topic", topic).option("checkpointLocation", checkpoint).start())
 
 
-def decode(messages: DataFrame, schema: str) -> DataFrame:
-    """Parse `value`; text that is not JSON gives a row of nulls, extra fields are dropped."""
-    return messages.select(F.from_json(F.col("value").cast("string"), schema).alias("d")).select("d.*")
+def decode(messages: DataFrame, schema: str, keep: Sequence[str] = ()) -> DataFrame:
+    """Parse `value`; text that is not JSON gives a row of nulls, extra fields are dropped.
+
+    The parsed fields leave through a generator, over which no filter moves: each text is parsed once.
+    `keep` names columns of the messages to keep.
+    """
+    return messages.select(*keep, F.inline(F.array(F.from_json(F.col("value").cast("string"), schema))))
 
 
-def decode_trades(messages: DataFrame) -> DataFrame:
-    """Trades with event time `ts`; rows without symbol or parseable time are dropped, NaN is null."""
-    return (decode(messages, schemas.TRADE_MSG)
+def decode_trades(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    """Trades with event time `ts`; rows without symbol or parseable time are dropped, NaN and infinities are null."""
+    return (decode(messages, schemas.TRADE_MSG, keep)
             .withColumns({"ts": parse_time(F.col("trade_timestamp")),
                           "price": finite(F.col("price")),
                           "volume": finite(F.col("volume")),
@@ -115,9 +121,11 @@ def sentiment_rows(messages: DataFrame, now: Column) -> DataFrame:
 
 def first_arrivals(articles: DataFrame, arrival: list[str], key: str = "id") -> DataFrame:
     """Each article once, the first to arrive; articles without id count as one."""
-    columns = [F.col(c) for c in articles.columns]
-    first = F.min_by(F.struct(*columns), F.struct(*arrival)).alias("r")
-    return articles.groupBy(F.col(key).alias("_key")).agg(first).select("r.*")
+    first = articles.groupBy(key).agg(F.min(F.struct(*arrival)).alias("_first"))
+    at = first.select(F.col(key).alias("_key"), "_first")
+    # Only keys and arrivals are aggregated; whole articles meet their first arrival and ties among few rows.
+    met = articles.join(at, articles[key].eqNullSafe(at["_key"]) & (F.struct(*arrival) == at["_first"])).drop("_first", "_key")
+    return met.dropDuplicates([key])
 
 
 def encode(rows: DataFrame, key: str | None, columns: list[str] | None = None) -> DataFrame:

@@ -13,6 +13,15 @@ from tidegauge.functions.scalars import at_or_after
 from tidegauge.schemas import TABLES, Table
 
 
+# The query's name for batches that no streaming query writes.
+DIRECT = "direct"
+
+
+def query_id(spark: SparkSession) -> str:
+    """Identity of the streaming query whose batch is being written; it lives as long as the query's checkpoint."""
+    return spark.sparkContext.getLocalProperty("sql.streaming.queryId") or DIRECT
+
+
 def create_tables(spark: SparkSession, root: str, database: str | None = None) -> None:
     """Create every missing table in the session catalog, located under `root`."""
     prefix = f"{database}." if database else ""
@@ -34,9 +43,8 @@ def read_table(spark: SparkSession, root: str, table: Table) -> DataFrame:
 def shape(rows: DataFrame, table: Table, now: Column) -> DataFrame:
     """Bring rows to the table's columns and types.
 
-    Decimals round half up; a value that does not fit becomes null (see
-    `quality.storage_check`). Missing columns are null, a missing `id` is a hash of the
-    row, a missing `created_at` is `now`.
+    Decimals round half up; a value that does not fit fails the write, so rows are split with
+    `quality.split` before. Missing columns are null, a missing `id` is a hash of the row, a missing `created_at` is `now`.
     """
     have = set(rows.columns)
     identity = F.xxhash64(*[F.col(c) for c in rows.columns])
@@ -50,17 +58,22 @@ def shape(rows: DataFrame, table: Table, now: Column) -> DataFrame:
             column = now
         else:
             column = F.lit(None)
-        stored.append(column.try_cast(kind).alias(name))
+        shaped = column.try_cast(kind)
+        if name in have and kind.startswith("DECIMAL"):
+            shaped = F.when(column.isNotNull() & shaped.isNull(), F.raise_error(F.lit(f"{table.name}.{name} does not fit {kind}"))
+                            .cast(kind)).otherwise(shaped)
+        stored.append(shaped.alias(name))
     return rows.select(*stored).withColumn(table.day, F.to_date(table.time))
 
 
-def append(rows: DataFrame, root: str, table: Table, now: Column, batch_id: int | None = None) -> None:
+def append(rows: DataFrame, root: str, table: Table, now: Column, batch_id: int | None = None,
+           query: str = DIRECT) -> None:
     """Write rows to the table.
 
     Rows are rebalanced by day first: adaptive execution splits a day that is too large for
     one file and merges small ones, so the number of files follows the size of the data.
-    With `batch_id` the rows go to that batch's own folder and replace whatever an
-    earlier attempt of the same batch left there, so a retried batch is written once.
+    With `batch_id` the rows go to the folder of that query and batch and replace whatever an earlier attempt of
+    the same batch left there, so a retried batch is written once and another query's batches stay.
     """
     key = [c for c in ("symbol", table.time) if c in dict(table.columns)]
     shaped = shape(rows, table, now)
@@ -70,12 +83,12 @@ def append(rows: DataFrame, root: str, table: Table, now: Column, batch_id: int
         return
     (shaped.hint("rebalance", table.day).sortWithinPartitions(table.day, *key)
      .write.mode("overwrite").option("partitionOverwriteMode", "static")
-     .partitionBy(table.day).parquet(f"{table_path(root, table)}_by_batch/batch_id={int(batch_id)}"))
+     .partitionBy(table.day).parquet(f"{table_path(root, table)}_by_batch/query={query}/batch_id={int(batch_id)}"))
 
 
 def read_batches(spark: SparkSession, root: str, table: Table) -> DataFrame:
     """Rows written per batch, all attempts resolved."""
-    return (spark.read.schema(f"{table.ddl()}, {table.day} DATE, batch_id BIGINT")
+    return (spark.read.schema(f"{table.ddl()}, {table.day} DATE, query STRING, batch_id BIGINT")
             .parquet(f"{table_path(root, table)}_by_batch"))
 
 

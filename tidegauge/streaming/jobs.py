@@ -23,10 +23,14 @@ DELAY = "30 seconds"
 
 
 def trade_stream(messages: DataFrame, delay: str = DELAY) -> DataFrame:
-    """Decoded trades with a watermark on event time; equal trades share an id."""
-    return (decode_trades(messages)
-            .withColumn("id", F.xxhash64("symbol", "trade_timestamp", "price", "volume"))
-            .withWatermark("ts", delay))
+    """Decoded trades with a watermark on event time.
+
+    A message's place in its topic is its identity. Other sources have no place, so there equal trades share an id.
+    """
+    place = [c for c in ("topic", "partition", "offset") if c in messages.columns]
+    named = decode_trades(messages, place)
+    return (named.withColumn("id", F.xxhash64(*(place or ("symbol", "trade_timestamp", "price", "volume"))))
+            .drop(*place).withWatermark("ts", delay))
 
 
 def trade_rows(trades: DataFrame) -> DataFrame:
@@ -55,36 +59,37 @@ def run(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoin
 def detection(root: str, now: Callable[[], Column] = F.current_timestamp, forest: Forest | None = None,
               publish: Callable[[DataFrame], None] | None = None, windows=WINDOWS, model_window: str = "5m",
               recent: Callable[[Column], DataFrame] | None = None,
-              keep: bool = False) -> Callable[[DataFrame, int], None]:
+              keep: bool = True) -> Callable[[DataFrame, int], None]:
     """Batch callback: store window metrics, run all detectors, store and publish anomalies.
 
     Each table is written to the batch's own partition, so a retried batch replaces its
     earlier rows. `recent(start)` may return stored trades from `start` on; the trailing
     windows then reach back over batch borders. Rows that do not fit the table are kept
     apart with a reason; any other failure fails the batch, which is then run again.
-    `keep` persists the batch while it is worked on: for sources that are dear to read
-    again, with a rate limit that bounds the batch.
+    `keep` persists the batch while it is worked on, so that the source is read once; bound the batch
+    by the source's rate limit.
     """
     def on_batch(trades: DataFrame, batch_id: int) -> None:
-        if trades.isEmpty():
-            return
         if keep:
             trades = trades.persist()
         try:
+            if trades.isEmpty():
+                return
             seen = trades
             if recent is not None:
                 end = trades.agg(F.max("ts")).scalar()
                 stored = recent(end - seconds(max(length for _, length in windows))).filter(F.col("ts") <= end)
                 shared = ["id", "symbol", "price", "volume", "ts"]
-                seen = trades.select(*shared).unionByName(stored.select(*shared)).dropDuplicates(["id", "ts"])
+                # Trades of this batch may be landed already; equal fills within the batch all count.
+                earlier = stored.select(*shared).join(trades.select("id", "ts").distinct(), ["id", "ts"], "left_anti")
+                seen = trades.select(*shared).unionByName(earlier.select(*shared))
+            query, moment = tables.query_id(trades.sparkSession), now()
             metrics = trailing_metrics(seen, windows).persist()
-            tables.append(metrics, root, AGGREGATED_METRICS, now(), batch_id)
+            _store(metrics, root, AGGREGATED_METRICS, moment, batch_id, query)
 
             verdicts = plans.all_verdicts(trades, metrics, forest, model_window)
-            found = plans.anomaly_events(verdicts, trades, now()).persist()
-            accepted, rejected = quality.split(plans.log_rows(found), ANOMALY_LOGS)
-            tables.append(accepted, root, ANOMALY_LOGS, now(), batch_id)
-            rejected.write.mode("overwrite").parquet(f"{root}/rejected_anomalies/batch_id={batch_id}")
+            found = plans.anomaly_events(verdicts, trades, moment).persist()
+            _store(plans.log_rows(found), root, ANOMALY_LOGS, moment, batch_id, query)
             if publish is not None:
                 publish(encode(found, "symbol"))
             found.unpersist()
@@ -99,11 +104,27 @@ def detection(root: str, now: Callable[[], Column] = F.current_timestamp, forest
 def landing(root: str, table: Table, now: Callable[[], Column] = F.current_timestamp) -> Callable[[DataFrame, int], None]:
     """Batch callback: append normalised rows to a table, each batch once."""
     def on_batch(rows: DataFrame, batch_id: int) -> None:
-        tables.append(rows, root, table, now(), batch_id)
+        rows = rows.persist()
+        try:
+            _store(rows, root, table, now(), batch_id, tables.query_id(rows.sparkSession))
+        finally:
+            rows.unpersist()
 
     return on_batch
 
 
+def rejects(root: str, table: Table) -> str:
+    """Folder of the rows that did not fit the table, with their reasons."""
+    return f"{root}/rejected_{table.name}"
+
+
+def _store(rows: DataFrame, root: str, table: Table, now: Column, batch_id: int, query: str) -> None:
+    """Write a batch's rows to the table, and those that do not fit, with a reason, to its rejects."""
+    accepted, rejected = quality.split(rows, table)
+    tables.append(accepted, root, table, now, batch_id, query)
+    rejected.write.mode("overwrite").parquet(f"{rejects(root, table)}/query={query}/batch_id={batch_id}")
+
+
 def bars(trades: DataFrame, length: int, slide: int | None = None) -> DataFrame:
     """Event-time bars of a watermarked trade stream; closed windows are emitted, late trades dropped."""
     return ohlcv(trades, length, slide)
