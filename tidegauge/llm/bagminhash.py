@@ -296,7 +296,7 @@ def _hopeful(members: DataFrame, texts: DataFrame, labels: DataFrame | None, lea
     smallest = F.when(F.col("of") == F.col("small.of"), F.col("small_other")).otherwise(F.col("small.n"))
     longest = F.when(F.col("of") == F.col("long.of"), F.col("long_other")).otherwise(F.col("long.reach"))
     return (held.join(rest, "bucket").filter((smallest <= F.col("reach")) & (F.col("n") <= longest))
-            .select("bucket", "id", "rank", "n", "parts", "reach"))
+            .select("bucket", "id", "rank", "n", "parts", "reach", "of"))
 
 
 def _several(members: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -308,7 +308,7 @@ def _several(members: DataFrame, labels: DataFrame | None) -> DataFrame:
                .filter("classes > 1").select("bucket", F.col("most.of").alias("most")))
     # The largest class comes last as centres: once the others were compared with it, it is alone.
     return (named.join(several, "bucket").withColumn("rank", F.struct((own == F.col("most")).alias("l"), "rank.d", "rank.i"))
-            .select(*members.columns))
+            .withColumn("of", own).select(*members.columns, *([] if "of" in members.columns else ["of"])))
 
 
 def linked_classes(rows: DataFrame, least: float = SIMILARITY, words: int = WORDS, bands_: int = BANDS,
@@ -332,19 +332,17 @@ def linked_classes(rows: DataFrame, least: float = SIMILARITY, words: int = WORD
     texts = written(_counted(rows.join(near, "row").select(F.col("row").alias("id"), "text", "n", "degree"), words), "near")
     rank = F.struct(F.lit(False).alias("l"), (-F.col("degree")).alias("d"), F.col("id").alias("i"))
     open_ = written(members.select("bucket", "id").join(texts.drop("text"), "id").select(
-        "bucket", "id", rank.alias("rank"), "n", "parts", (F.col("n") / least + _SLACK).alias("reach")), "open")
+        "bucket", "id", rank.alias("rank"), "n", "parts", (F.col("n") / least + _SLACK).alias("reach"), F.col("id").alias("of")), "open")
     labels = links = None
     centres = 1
     while not open_.isEmpty():
         # Row numbers up to a literal: each task passes on no more rows of a bucket than centres are wanted.
         order = F.row_number().over(Window.partitionBy("bucket").orderBy("rank"))
-        chosen = written(open_.select("bucket", "rank", "n", "parts", "reach", order.alias("place")).filter(F.col("place") <= centres)
-                         .select("bucket", F.struct("rank", "n", "parts", "reach").alias("centre")), "centres")
+        chosen = written(open_.select("bucket", "rank", "n", "parts", "reach", "of", order.alias("place")).filter(F.col("place") <= centres)
+                         .select("bucket", F.struct("rank", "n", "parts", "reach", "of").alias("centre")), "centres")
         # Each centre is compared with the members behind it; those before were centres in earlier rounds.
-        behind = (chosen["bucket"] == open_["bucket"]) & (F.col("centre.rank") < F.col("rank")) & _fits(least)
-        pairs = open_.join(chosen, behind).select(F.col("centre.rank.i").alias("x"), F.col("id").alias("y")).distinct()
-        if labels is not None:
-            pairs = _across(pairs, labels)
+        behind = (chosen["bucket"] == open_["bucket"]) & (F.col("centre.rank") < F.col("rank")) & (F.col("centre.of") != F.col("of")) & _fits(least)
+        pairs = open_.join(chosen, behind).select(F.col("centre.rank.i").alias("x"), F.col("id").alias("y"))
         pairs = pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
         found = written(_verified(pairs, texts, least, words).select("a", "b"), "links")
         links = found if links is None else links.unionByName(found)
@@ -361,13 +359,6 @@ def linked_classes(rows: DataFrame, least: float = SIMILARITY, words: int = WORD
     return named.join(labels, "id", "left").select("row", F.coalesce("component", "id").alias("class"))
 
 
-def _across(pairs: DataFrame, labels: DataFrame) -> DataFrame:
-    """Pairs (x, y) whose ends are not of one class yet."""
-    for end in ("x", "y"):
-        pairs = pairs.join(labels.select(F.col("id").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
-    return pairs.filter(F.coalesce("of_x", "x") != F.coalesce("of_y", "y"))
-
-
 def _chosen(docs: DataFrame, key: str, text: str, **how) -> tuple[DataFrame, DataFrame]:
     """The numbered documents, and (row, class, first, first_id): each row's class and the row that stands for it."""
     rows = numbered(docs)
