@@ -21,7 +21,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.texts import MEMO_WORDS, map_batches, numbered, written
+from tidegauge.llm.texts import MEMO_WORDS, map_batches, numbered, settled, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -362,8 +362,8 @@ def linked_classes(rows: DataFrame, least: float = SIMILARITY, words: int = WORD
 def _chosen(docs: DataFrame, key: str, text: str, **how) -> tuple[DataFrame, DataFrame]:
     """The numbered documents, and (row, class, first, first_id): each row's class and the row that stands for it."""
     rows = numbered(docs)
-    classes = written(linked_classes(
-        rows.select(F.col("__row").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text")), **how), "classes")
+    texts = rows.select(F.col("__row").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+    classes = settled(docs.sparkSession, lambda: linked_classes(texts, **how), "classes")
     keyed = classes.join(rows.select(F.col("__row").alias("row"), F.col(key).cast("bigint").alias("doc_id")), "row")
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     firsts = keyed.groupBy("class").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n_class"))

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tidegauge.llm.texts import bound_batches, map_batches, numbered, record_batch, written
+from tidegauge.llm.texts import bound_batches, map_batches, numbered, record_batch, settled, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -383,8 +383,8 @@ def _with_spans(rows: DataFrame, text: str, length: int, how: str, *others: str)
     """row, raw, the repeated strings' starts as `spans`, and other columns."""
     raw = rows.select(F.col("__row").alias("row"),
                       F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("raw"), *others)
-    spans = repeated_spans(raw, length).groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans"))
-    return raw.join(spans, "row", how)
+    spans = settled(rows.sparkSession, lambda: repeated_spans(raw, length), "spans")
+    return raw.join(spans.groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "row", how)
 
 
 def covered(size: int, spans: list[dict] | None, length: int = LENGTH) -> np.ndarray:

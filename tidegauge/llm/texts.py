@@ -67,14 +67,38 @@ def filter_batches(rows: DataFrame, make: Callable[[], Callable]) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+# Folders written inside each running `settled`.
+_FOLDERS: list[list[str]] = []
+
+
 def written(rows: DataFrame, label: str) -> DataFrame:
     """The rows stored once in the shared folder: fixed for all later reads, and lineage is cut."""
     spark = rows.sparkSession
     path = scratch_path(spark, label)
+    if _FOLDERS:
+        _FOLDERS[-1].append(path)
     rows.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(rows.schema).parquet(path)
 
 
+def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> DataFrame:
+    """The rows of `make()` stored; what `make` itself stored on the way is deleted, as nothing needs it any more."""
+    _FOLDERS.append([])
+    try:
+        rows = make()
+        path = scratch_path(spark, label)
+        rows.write.option("compression", "zstd").parquet(path)
+    finally:
+        used = _FOLDERS.pop()
+        hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+        for folder in used:
+            place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(folder)
+            place.getFileSystem(hadoop).delete(place, True)
+    if _FOLDERS:
+        _FOLDERS[-1].append(path)
+    return spark.read.schema(rows.schema).parquet(path)
+
+
 def numbered(docs: DataFrame) -> DataFrame:
     """The documents written once, with a number for each row in `__row`."""
     return written(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
