@@ -214,6 +214,10 @@ def test_languages_of_odd_texts(odd):
     assert [rows[i]["lang_pred"] for i in (1, 2, 9)] == ["und"] * 3 and rows[4]["lang_pred"] == "en"
 
 
+def test_numerals_are_no_letters():
+    assert langid.stretches("x² Ⅳ") == ["x²", "ⅳ"] and langid.stretches("12 ² ① Ⅳ ½") == [] == langid.stretches(None)
+
+
 def shingles(text):
     words = text.split()
     return collections.Counter(zip(*[words[i:] for i in range(min(5, len(words)))])) if words else collections.Counter()

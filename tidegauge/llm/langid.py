@@ -32,8 +32,9 @@ _LETTERS = re.compile(r"[^\W\d_]{1,%d}" % STRETCH)
 
 
 def stretches(text: str | None) -> list[str]:
-    """All letters of a text in stretches, lower-cased."""
-    return _LETTERS.findall(text.lower()) if text else []
+    """All letters of a text in stretches, lower-cased; none for a text of numerals such as Roman ones or powers alone."""
+    found = _LETTERS.findall(text.lower()) if text else []
+    return found if any(c.isalpha() for word in found for c in word) else []
 
 
 @dataclass(frozen=True)
