@@ -209,6 +209,17 @@ def test_gru_gradients_and_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in found.collect())
 
 
+def test_language_sample_ignores_copies_and_partitions(documents):
+    how = langid.Training(docs=20, words=300, epochs=1)
+    known = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~langid.held_out("doc_id"))
+    one = known.orderBy("doc_id").limit(1)
+    copies = one.withColumn("doc_id", F.explode(F.sequence(F.lit(1_000_000), F.lit(1_000_600)).cast("array<bigint>")))
+    first = langid.train(known.repartition(7), how)
+    many = langid.train(known.unionByName(copies).coalesce(1), how)
+    assert first.langs == many.langs
+    assert all(np.array_equal(getattr(x, n), getattr(y, n)) for (x, n), (y, _) in zip(first.weights(), many.weights()))
+
+
 def test_languages_of_odd_texts(odd):
     rows = {r["doc_id"]: r for r in langid.identify(odd, langid.train(odd)).collect()}
     assert [rows[i]["lang_pred"] for i in (1, 2, 9)] == ["und"] * 3 and rows[4]["lang_pred"] == "en"

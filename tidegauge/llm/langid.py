@@ -246,14 +246,27 @@ def train(docs: DataFrame, how: Training = Training(), key: str = "doc_id", text
           lang: str = "lang") -> Network | None:
     """Fit on documents that are not held out and have a language; None without any.
 
-    Only a bounded sample per language reaches the driver, the same whatever the partitioning.
+    Only a bounded sample of different texts per language reaches the driver, the same whatever the partitioning.
+    A first pass counts hash values by their order of magnitude, so that a second one draws little more than
+    the sample, however many tasks read the documents and however often a text is repeated.
     """
     known = docs.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"),
                         F.substring(F.col(text).cast("string"), 1, how.chars).alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("k"))
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64("text", F.lit(how.seed)), "text")
-    rows = (known.drop("k").withColumn("n", F.row_number().over(draw)).filter(F.col("n") <= how.docs)
-            .orderBy("lang", "n").collect())
+    drawn = known.select("lang", "text", F.xxhash64("text", F.lit(how.seed)).bitwiseAND(F.lit(2 ** 63 - 1)).alias("h"))
+    drawn = drawn.withColumn("level", F.floor(F.log2(F.greatest("h", F.lit(1)))))
+    # At most 64 levels of a language; the counts are estimates, so twice the sample is asked for.
+    levels = drawn.groupBy("lang", "level").agg(F.approx_count_distinct("h").alias("n"))
+    below = F.sum("n").over(Window.partitionBy("lang").orderBy("level")) - F.col("n")
+    cuts = (levels.withColumn("below", below).filter(F.col("below") < 2 * how.docs)
+            .groupBy("lang").agg(F.max("level").alias("cut")).orderBy("lang").collect())
+    if not cuts:
+        return None
+    cut = F.create_map(*[F.lit(x) for r in cuts for x in (r["lang"], r["cut"])])
+    draw = Window.partitionBy("lang").orderBy("h", "text")
+    rows = (drawn.filter(F.col("level") <= F.try_element_at(cut, F.col("lang")))
+            .groupBy("lang", "h").agg(F.min("text").alias("text"))
+            .withColumn("n", F.row_number().over(draw)).filter(F.col("n") <= how.docs).orderBy("lang", "n").collect())
     words = [(w.encode(), r["lang"]) for r in rows for w in stretches(r["text"])]
     if not words:
         return None
