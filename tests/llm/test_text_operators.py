@@ -361,6 +361,38 @@ def test_compression_bands():
     assert not ratios.verdict(prose.encode()[:9000] + b"For " * 4000)[0] and ratios.verdict(b"short")[0]
 
 
+def test_bands_from_all_documents_reject_beyond_the_base_rules(spark):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(3, 9))) for _ in range(2000)]
+    clean = [" ".join(rng.choice(words, rng.integers(150, 700))) for _ in range(500)]
+    junk = [" | ".join("#" + x + "$" for x in rng.choice(words, rng.integers(150, 400))) for _ in range(12)]
+    half = [t[:len(t) // 2] + base64.b85encode(rng.bytes(800)).decode() + " " + t[len(t) // 2:] for t in clean[:6]]
+    rows = [*clean, *junk, *half, *[clean[7]] * 900]
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id BIGINT, text STRING").repartition(4)
+    bands = compression.measured(docs)
+    assert bands == compression.measured(docs.repartition(7)) == compression.measured(docs.dropDuplicates(["text"]))
+    # The limits by hand: quartiles of the ratios in each run of length classes that holds 200 texts.
+    ratios, by_class = compression.Ratios(compression.Bands()), collections.defaultdict(list)
+    different = [t.encode() for t in set(rows) if not compression.base_facts(t)[0].base_failed]
+    for raw in different:
+        e = len(raw).bit_length() - 1
+        by_class[4 * e + len(raw) * 4 // 2 ** e - 4].append(round(1000 * ratios.ratio(raw)))
+    first, pool, want = None, [], []
+    for number in sorted(by_class):
+        first, pool = number if first is None else first, pool + by_class[number]
+        if len(pool) >= 200:
+            want, first, pool = [*want, [first, pool]], None, []
+    want[-1][1] += pool
+    for (number, low, high), (first, held) in zip(bands.whole, want, strict=True):
+        a, b = (np.quantile(held, q, method="inverted_cdf") / 1000 for q in (0.25, 0.75))
+        assert number == first and np.allclose((low, high), (a - max(1.5 * (b - a), 0.02), b + max(1.5 * (b - a), 0.02)))
+    facts = {r["doc_id"]: r for r in compression.quality_facts(docs).collect()}
+    assert not any(facts[i]["base_failed"] for i in range(500, 518))
+    assert not any(facts[i]["kept"] for i in range(500, 512)) and sum(facts[i]["kept"] for i in range(500)) > 480
+    assert all(facts[i]["kept"] for i in range(518, 1418)) == facts[7]["kept"]
+    assert sorted(r["doc_id"] for r in compression.keep_quality(docs).collect()) == sorted(i for i, r in facts.items() if r["kept"])
+
+
 def test_pipeline_keeps_columns_and_clean_documents(spark, odd, documents):
     docs = documents
     for name, stage in corpus_pipeline.STAGES:

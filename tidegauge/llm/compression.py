@@ -2,20 +2,23 @@
 
 The ratio of compressed to raw bytes is taken over the whole text and over consecutive chunks. Text that
 compresses far too well repeats itself, text that hardly compresses is noise. What is normal depends
-on the length, so each length class has its own band.
+on the length, so each length class has its own band, taken from the ratios of all different documents that
+the base rules keep: their quartiles, widened by a multiple of the distance between them.
 """
 
 from __future__ import annotations
 
 import sys
 from collections import Counter
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 import zstandard
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tidegauge.llm.texts import filter_batches, keyed_texts, map_batches
 
@@ -35,14 +38,60 @@ class Bands:
 
     Chunks have `chunk` bytes, the last one up to twice as many; a text is rejected when chunks outside
     `chunk_band` hold more than `share` of its bytes. Texts shorter than the first class have no verdict.
+
+    `whole` and `parts` narrow these limits for texts and for chunks, by length class as `length_class` numbers
+    them; `measured` finds them. A limit lies `fence` or `chunk_fence` times the distance of the quartiles outside
+    of them, `margin` at least. Classes are joined until they hold `enough` ratios; with fewer in all, nothing narrows.
     """
 
     level: int = 3
     limits: tuple[tuple[int, float, float], ...] = (
         (128, 0.20, 1.05), (256, 0.25, 0.95), (512, 0.25, 0.90), (1024, 0.22, 0.85), (4096, 0.18, 0.80), (16384, 0.15, 0.80))
-    chunk: int = 4096
+    chunk: int = 1024
     chunk_band: tuple[float, float] = (0.18, 0.80)
     share: float = 0.4
+    fence: float = 1.5
+    chunk_fence: float = 2.0
+    margin: float = 0.02
+    enough: int = 200
+    whole: tuple[tuple[int, float, float], ...] = ()
+    parts: tuple[tuple[int, float, float], ...] = ()
+
+
+# Ratios are counted in steps of this size.
+STEPS = 1000
+
+
+def length_class(size: int) -> int:
+    """Four classes of equal width for each doubling of the length."""
+    octave = max(2, size.bit_length() - 1)
+    return 4 * octave + ((size >> (octave - 2)) & 3)
+
+
+def fences(counts: dict[int, Counter], width: float, margin: float, enough: int) -> tuple[tuple[int, float, float], ...]:
+    """First length class, smallest and largest ratio of each run of classes, from the counts of ratios by class."""
+    runs: list[tuple[int, Counter]] = []
+    for number in sorted(counts):
+        if runs and runs[-1][1].total() < enough:
+            runs[-1][1].update(counts[number])
+        else:
+            runs.append((number, Counter(counts[number])))
+    if len(runs) > 1 and runs[-1][1].total() < enough:
+        runs[-2][1].update(runs.pop()[1])
+    found = []
+    for number, held in runs:
+        if held.total() >= enough:
+            steps = np.array(sorted(held))
+            below = np.cumsum([held[x] for x in steps])
+            low, high = (steps[np.searchsorted(below, q * below[-1])] / STEPS for q in (0.25, 0.75))
+            reach = max(width * (high - low), margin)
+            found.append((number, float(low - reach), float(high + reach)))
+    return tuple(found)
+
+
+def _within(limits: tuple[tuple[int, float, float], ...], size: int, ratio: float) -> bool:
+    band = [(a, b) for first, a, b in limits if length_class(size) >= first]
+    return not band or band[-1][0] <= ratio <= band[-1][1]
 
 
 class Ratios:
@@ -52,18 +101,19 @@ class Ratios:
     def ratio(self, raw: bytes) -> float:
         return len(self.packer.compress(raw)) / len(raw) if raw else 1.0
 
+    def chunks(self, raw: bytes) -> list[tuple[int, float]]:
+        """Bytes and ratio of each chunk; none for a text shorter than two."""
+        size, chunk = len(raw), self.bands.chunk
+        ends = [*range(chunk, size - chunk + 1, chunk), size] if size >= 2 * chunk else []
+        return [(end - start, self.ratio(raw[start:end])) for start, end in zip([0, *ends], ends)]
+
     def verdict(self, raw: bytes) -> tuple[bool, float, float]:
         """Whether the text is within its bands, its ratio, and the share of bytes in chunks outside."""
-        whole, (low, high), odd = self.ratio(raw), self.bands.chunk_band, 0
-        size, chunk = len(raw), self.bands.chunk
-        count = max(1, size // chunk)
-        if count > 1:
-            for i in range(count):
-                part = raw[i * chunk:(i + 1) * chunk if i < count - 1 else size]
-                odd += 0 if low <= self.ratio(part) <= high else len(part)
+        whole, (low, high), size = self.ratio(raw), self.bands.chunk_band, len(raw)
+        odd = sum(n for n, ratio in self.chunks(raw) if not (low <= ratio <= high and _within(self.bands.parts, n, ratio)))
         share = odd / size if size else 0.0
         band = [(a, b) for least, a, b in self.bands.limits if size >= least]
-        inside = not band or band[-1][0] <= whole <= band[-1][1]
+        inside = not band or (band[-1][0] <= whole <= band[-1][1] and _within(self.bands.whole, size, whole))
         return inside and share <= self.bands.share, whole, share
 
 
@@ -99,12 +149,46 @@ def base_facts(text: str | None) -> tuple[Facts, bytes]:
     return facts, raw
 
 
+def measured(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -> Bands:
+    """The bands with limits from the ratios of all different documents that the base rules keep.
+
+    Equal texts count once, by a 128-bit hash, so that copies do not narrow a band. What reaches the driver is one
+    number per length class and step of the ratio.
+    """
+    schema = pa.schema([("hash", pa.binary()), ("kinds", pa.list_(pa.int32())), ("steps", pa.list_(pa.int32()))])
+
+    def make():
+        ratios = Ratios(bands)
+
+        def work(batch):
+            made = {name: [] for name in schema.names}
+            for value in batch.column(0).to_pylist():
+                facts, raw = base_facts(value)
+                if not facts.base_failed:
+                    chunks = ratios.chunks(raw)
+                    made["hash"].append(xxhash.xxh128_digest(raw))
+                    made["kinds"].append([2 * length_class(len(raw)), *[2 * length_class(n) + 1 for n, _ in chunks]])
+                    made["steps"].append([round(STEPS * r) for r in (ratios.ratio(raw), *[r for _, r in chunks])])
+            return made
+
+        return work
+
+    seen = map_batches(docs.select(F.col(text).cast("string").alias("text")), schema, make).distinct()
+    pairs = seen.select(F.explode(F.arrays_zip("kinds", "steps")).alias("x"))
+    counts: tuple[dict[int, Counter], dict[int, Counter]] = ({}, {})
+    for kind, step, n in pairs.groupBy("x.kinds", "x.steps").count().collect():
+        counts[kind % 2].setdefault(kind // 2, Counter())[step] += n
+    return replace(bands, whole=fences(counts[0], bands.fence, bands.margin, bands.enough),
+                   parts=fences(counts[1], bands.chunk_fence, bands.margin, bands.enough))
+
+
 def quality_facts(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: base counts, base_failed, kept, the ratio and the share of odd chunks.
 
     A null or empty text has no words and fails; its ratio is 1. Equal rows give equal rows. `kept` is false
-    where the base rules fail, else whether whole text and chunks lie within the bands.
+    where the base rules fail, else whether whole text and chunks lie within the measured bands.
     """
+    bands = measured(docs, bands, text)
     schema = pa.schema([("doc_id", pa.int64()), *[(c, pa.int64()) for c in (
         "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")],
         ("base_failed", pa.bool_()), ("kept", pa.bool_()), ("ratio", pa.float64()), ("odd_share", pa.float64())])
@@ -131,7 +215,7 @@ def quality_facts(docs: DataFrame, bands: Bands = Bands(), key: str = "doc_id",
 
 def keep_quality(docs: DataFrame, bands: Bands = Bands(), text: str = "text") -> DataFrame:
     """The documents that `quality_facts` keeps, with all their columns; no row is moved."""
-    at = docs.columns.index(text)
+    at, bands = docs.columns.index(text), measured(docs, bands, text)
 
     def make():
         ratios = Ratios(bands)
