@@ -305,6 +305,35 @@ def test_fingerprints_follow_the_order_of_ids(odd, documents):
     assert single["near_next"] == 1.0
 
 
+def test_fingerprints_of_long_texts_estimate_jaccard(spark):
+    sampler = fingerprints.Sampler()
+    r, c, b = (np.concatenate(x) for x in zip(*([y.copy() for y in sampler.draws(np.arange(at, at + 90, dtype=np.uint64))] for at in range(0, 1800, 90))))
+    for x in (r, c):
+        assert abs(x.mean() - 2) < 0.02 and abs(x.var() - 2) < 0.05 and abs((x < 1).mean() - (1 - 2 / np.e)) < 0.01
+    assert abs(b.mean() - 0.5) < 0.01 and abs(b.var() - 1 / 12) < 0.002 and 0 <= b.min() and b.max() < 1
+    assert np.abs(np.corrcoef([r.ravel(), c.ravel(), b.ravel()]) - np.eye(3)).max() < 0.01
+    rng, rows = np.random.default_rng(3), []
+    for n in (20_000, 65_536, 200_000):
+        for _ in range(2):
+            rows.append((-len(rows), " ".join(map(str, rng.integers(0, 10 ** 9, n)))))
+        # Repeated pairs have weights, and half of the text is shared with the one before.
+        rows.append((-len(rows), rows[-1][1][:len(rows[-1][1]) // 2] + " " + " ".join(map(str, rng.integers(0, 150, n // 2)))))
+    got = {r["doc_id"]: r for r in fingerprints.edited_likeness(spark.createDataFrame(rows, "doc_id BIGINT, text STRING")).collect()}
+    bags, errors = [], []
+    for at, (key, text) in enumerate(rows):
+        other = rows[(at + 1) % len(rows)][1]
+        cut = len(text) // 3
+        bags = [collections.Counter(zip(t.split(), t.split()[1:])) for t in (text, text[:len(text) - cut] + other[:cut], other)]
+        for name, near in (("near_edited", bags[1]), ("near_next", bags[2])):
+            true = (bags[0] & near).total() / (bags[0] | near).total()
+            assert abs(got[key][name] - true) < (0.15 if true > 0.01 else 0.03)
+            errors.append(got[key][name] - true)
+    assert abs(np.mean(errors)) < 0.03
+    # Fingerprints do not depend on what the memo holds.
+    codes = sampler.codes(rows[0][1].split())
+    assert (fingerprints.Sampler(memo=2).sample(codes) == sampler.sample(codes)).all() and (sampler.sample(codes) == sampler.sample(codes)).all()
+
+
 PAGES = [(5, "u", "<p>x</p>"), (2, "u\nv", "<p>x</p>"), (2, None, "<p>x</p>"), (9, "w", None), (None, "n", ""), (4, "l", "é" * 300)]
 
 

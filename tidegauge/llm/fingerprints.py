@@ -5,7 +5,8 @@ a term draws r and c from a gamma distribution and b uniformly; with t = floor(l
 y = exp(r (t - b)) the term with the smallest c / (y exp(r)) is the sample, together with t. Two texts draw
 the same sample with a chance equal to the generalised Jaccard similarity of their weighted terms.
 
-Terms are hashed into a fixed number of slots, whose draws are computed once per task.
+The draws come from a counter-based generator: each is a function of the term's 64-bit hash and the place alone, so
+texts of any length are compared term by term. Terms are drawn for in chunks, which bounds memory; a task keeps the values of terms it met lately.
 """
 
 from __future__ import annotations
@@ -27,16 +28,22 @@ from tidegauge.llm.texts import MEMO_WORDS, bound_batches, keyed_texts, map_batc
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PLACES = 128
-SLOTS = 1 << 16
+# Terms of weight one whose values a task keeps, and terms drawn for at a time.
+MEMO_TERMS = 1 << 16
+CHUNK = 96
 SEED = 20_011
 # One byte of each sample is kept; unequal samples agree on it with this chance.
 _CHANCE = 1 / 256
 _WORD = np.uint64(0x9E3779B97F4A7C15)
 
 
+_MIX = ((np.uint64(30), np.uint64(0xBF58476D1CE4E5B9)), (np.uint64(27), np.uint64(0x94D049BB133111EB)))
+_BYTE = np.uint32(255)
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    for shift, factor in _MIX:
+        x = (x ^ (x >> shift)) * factor
     return x ^ (x >> np.uint64(31))
 
 
@@ -49,17 +56,68 @@ class _Codes(dict):
 
 
 class Sampler:
-    """Draws of all slots, and fingerprints from them."""
-
-    def __init__(self, places: int = PLACES, slots: int = SLOTS, seed: int = SEED):
-        rng = np.random.default_rng(seed)
-        shape = slots, places
-        self.r = rng.standard_gamma(2.0, shape, np.float32)
-        self.log_c = np.log(rng.standard_gamma(2.0, shape, np.float32))
-        self.b = rng.random(shape, np.float32)
-        # A weight of one has t = 0 everywhere: its ln(c) - r (t - b) - r.
-        self.once = self.log_c + self.r * self.b - self.r
-        self.slots, self.memo = slots, _Codes()
+    """Draws of terms, and fingerprints from them."""
+
+    def __init__(self, places: int = PLACES, memo: int = MEMO_TERMS, seed: int = SEED):
+        self.keys = np.random.default_rng(seed).integers(0, 1 << 64, (2, places), np.uint64)
+        # The lowest bits of a hash are its place in the memo; no hash equals what a free place holds.
+        self.held, self.mask = np.arange(1, memo + 1, dtype=np.uint64), np.uint64(memo - 1)
+        self.kept = np.empty((memo, places), np.float32)
+        # Room for the draws of one chunk, used again each time.
+        self.mixed, self.spare = np.empty((2, CHUNK, places), np.uint64)
+        self.bits, self.low = np.empty((2, CHUNK, places), np.uint32)
+        self.drawn = np.empty((4, CHUNK, places), np.float32)
+        self.memo = _Codes()
+
+    def draws(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """r, c and b of each term and place, up to CHUNK terms; the arrays hold until the next draws.
+
+        Two 64-bit numbers give four uniform numbers of 24 bits for r and c, and what is left of them b. The logarithm of
+        two uniform numbers' product is gamma distributed with shape 2, its sign turned.
+        """
+        n = len(terms)
+        x, spare, bits, low = self.mixed[:n], self.spare[:n], self.bits[:n], self.low[:n]
+        r, c, b, other = self.drawn[:, :n]
+        for key, out in zip(self.keys, (r, c)):
+            np.add(terms[:, None], key, out=x)
+            for shift, factor in _MIX:
+                np.right_shift(x, shift, out=spare)
+                np.bitwise_xor(x, spare, out=x)
+                np.multiply(x, factor, out=x)
+            np.right_shift(x, np.uint64(31), out=spare)
+            np.bitwise_xor(x, spare, out=x)
+            halves = x.view(np.uint32)
+            for at, place in ((0, out), (1, other)):
+                np.right_shift(halves[:, at::2], np.uint32(8), out=bits)
+                np.copyto(place, bits.view(np.int32), casting="unsafe")
+                np.add(place, np.float32(0.5), out=place)
+            np.multiply(out, other, out=out)
+            np.multiply(out, np.float32(2 ** -48), out=out)
+            np.log(out, out=out)
+            np.negative(out, out=out)
+            np.maximum(out, np.float32(2 ** -24), out=out)
+            # Eight low bits of each half of the first number, and of the second one's first half.
+            if out is r:
+                np.left_shift(halves[:, 0::2] & _BYTE, np.uint32(16), out=low)
+                np.bitwise_or(low, (halves[:, 1::2] & _BYTE) << np.uint32(8), out=low)
+            else:
+                np.bitwise_or(low, halves[:, 0::2] & _BYTE, out=low)
+        np.copyto(b, low.view(np.int32), casting="unsafe")
+        np.multiply(b, np.float32(2 ** -24), out=b)
+        return r, c, b
+
+    def once(self, terms: np.ndarray) -> np.ndarray:
+        """ln(c) - r (t - b) - r of terms with a weight of one, for which t = 0; rows are in no certain order."""
+        at = (terms & self.mask).astype(np.int64)
+        known = self.held[at] == terms
+        if known.all():
+            return self.kept[at]
+        r, c, b = self.draws(terms[~known])
+        made = np.log(c) + r * b - r
+        rows = np.concatenate([self.kept[at[known]], made])
+        places, first = np.unique(at[~known], return_index=True)
+        self.held[places], self.kept[places] = terms[~known][first], made[first]
+        return rows
 
     def codes(self, words: list[str]) -> np.ndarray:
         if len(self.memo) > MEMO_WORDS:
@@ -72,19 +130,17 @@ class Sampler:
             return np.zeros(0, np.uint8)
         # Pairs of neighbouring words are the terms; a single word is a term of its own.
         pairs = codes[:-1] * _WORD + codes[1:] if len(codes) > 1 else codes
-        slots, weights = np.unique((_mixed(pairs) % np.uint64(self.slots)).astype(np.int64), return_counts=True)
+        terms, weights = np.unique(_mixed(pairs), return_counts=True)
         single = weights == 1
-        ones, many = slots[single], slots[~single]
-        best = np.full(self.r.shape[1], np.inf, np.float32)
-        for at in range(0, len(ones), 1024):
-            best = np.minimum(best, self.once[ones[at:at + 1024]].min(axis=0))
-        if len(many):
-            logs = np.log(weights[~single].astype(np.float32))
-            for at in range(0, len(many), 1024):
-                own = many[at:at + 1024]
-                r, b = self.r[own], self.b[own]
-                t = np.floor(logs[at:at + 1024, None] / r + b)
-                best = np.minimum(best, (self.log_c[own] - r * (t - b) - r).min(axis=0))
+        ones, many = terms[single], terms[~single]
+        best = np.full(self.keys.shape[1], np.inf, np.float32)
+        for at in range(0, len(ones), CHUNK):
+            best = np.minimum(best, self.once(ones[at:at + CHUNK]).min(axis=0))
+        logs = np.log(weights[~single].astype(np.float32))
+        for at in range(0, len(many), CHUNK):
+            r, c, b = self.draws(many[at:at + CHUNK])
+            t = np.floor(logs[at:at + CHUNK, None] / r + b)
+            best = np.minimum(best, (np.log(c) - r * (t - b) - r).min(axis=0))
         # The smallest value is a function of the sampled term and t, so it stands for both.
         return (_mixed(best.view(np.uint32).astype(np.uint64) * _WORD) >> np.uint64(56)).astype(np.uint8)
 
