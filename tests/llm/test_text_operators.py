@@ -188,6 +188,34 @@ def test_license_join_is_exact():
         assert bool(found) == (best >= 0.6) and (not found or max(found.values()) == best)
 
 
+def test_every_license_of_a_block_counts(spark):
+    gpl, lgpl = "This work is licensed under the GNU General Public License, version ", "This work is licensed under the GNU Lesser General Public License. "
+    texts = {
+        gpl + "2 or version 3.": "gpl-2,gpl-3", gpl + "3.": "gpl-3", gpl + "2.": "gpl-2", lgpl: "lgpl", lgpl + gpl + "2.": "gpl-2,lgpl",
+        gpl + "3. " + lgpl: "gpl-3,lgpl", gpl + "2. " + lgpl + gpl + "3.": "gpl-2,gpl-3,lgpl", "Licensed under CC BY 4.0": "cc-by",
+        "Licensed under CC BY-SA 4.0": "cc-by-sa", "Licensed under CC BY 4.0. Licensed under CC BY-SA 4.0": "cc-by,cc-by-sa",
+        "Licensed under CC BY-SA 4.0 or CC BY 4.0.": "cc-by,cc-by-sa", "Released under the MIT license. " + gpl + "2": "gpl-2,mit"}
+    # Wherever the blocks' edges fall.
+    cases = [("some other words " * (n // 3) + "x " * (n % 3) + t + " and more words" * 9, want) for t, want in texts.items() for n in range(0, 45)]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id BIGINT, text STRING")
+    got = {r["doc_id"]: r["labels"] for r in licenses.license_scan(rows).collect()}
+    assert [(t, got[i]) for i, (t, _) in enumerate(cases) if got[i] != cases[i][1]] == []
+    # Against brute force: a template that the block holds whole, in its own words, counts; none below the threshold does.
+    index, rng = licenses.TemplateIndex(licenses.Scan(), {}), np.random.default_rng(6)
+    bodies = [(label, licenses.words_of(body)) for label, body in licenses.TEMPLATES]
+    for _ in range(500):
+        block = [w for i in rng.integers(0, len(bodies), 3) for w in bodies[i][1]][:40]
+        found = index.block_labels(block)
+        joined = b" " + b" ".join(block) + b" "
+        whole = {label for label, body in bodies if b" " + b" ".join(body) + b" " in joined}
+        shares = [(label, len(set(body) & set(block)) / len(set(body))) for label, body in bodies]
+        # Words that no other met template has decide: a set of words held whole counts, unless it is a part of a larger one.
+        met = [(label, set(body)) for (label, body), (_, share) in zip(bodies, shares) if share == 1]
+        alone = {label for label, body in met if not any(body < other for _, other in met)}
+        assert whole | alone <= set(found) <= {label for label, share in shares if share >= 0.9}
+        assert all(share == max(s for x, s in shares if x == label) for label, share in found.items())
+
+
 def test_gru_gradients_and_accuracy(spark):
     network = langid.Network(["a", "b"], 5, 3)
     for owner, name in network.weights():

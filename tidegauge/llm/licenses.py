@@ -4,6 +4,9 @@ Both sides are sets of words. Tokens are ordered by how many documents hold them
 hold enough of a template only if it has one of the template's rarest tokens (prefix filter), has enough
 template tokens at all (length filter), and enough of both lists is left after the first common token
 (positional filter). What passes is compared whole, so the join is exact.
+
+Every template that a block holds to the threshold counts, but for near twins: of two templates that are mostly
+the same words, one is left out if the other stands there with all that sets it apart, and some of its own is missing.
 """
 
 from __future__ import annotations
@@ -76,6 +79,12 @@ class TemplateIndex:
         rarest = sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w))
         self.rank = {w: i for i, w in enumerate(rarest)}
         self.templates, self.prefixes = [], {}
+        bodies = [words_of(body) for _, body in scan.templates]
+        near = [zip(b, b[1:]) for b in bodies]
+        features = [(set(b), set(n)) for b, n in zip(bodies, near)]
+        # What sets a template apart from one that is mostly the same words: its own words, or else its own word pairs.
+        self.apart = {(i, j): a - b or p - q for i, (a, p) in enumerate(features) for j, (b, q) in enumerate(features)
+                      if i != j and 2 * len(a & b) > min(len(a), len(b))}
         for number, (label, tokens) in enumerate(sets):
             order = sorted(self.rank[w] for w in tokens)
             need = max(1, math.ceil(scan.threshold * len(order) - 1e-9))
@@ -84,14 +93,11 @@ class TemplateIndex:
                 self.prefixes.setdefault(token, []).append((number, place))
         self.triggers = {w for w, r in self.rank.items() if r in self.prefixes}
 
-    def block_labels(self, block: list[bytes]) -> dict[str, float]:
-        """Labels whose template the block holds, with the share held.
-
-        Of templates that are mostly the same words, only the one that the block holds best counts, and of
-        equally held ones the longest: a text under version 3 is not also one under version 2.
-        """
+    def met(self, block: list[bytes]) -> list[tuple[float, int, int]]:
+        """Share held, words and number of each template that the block holds to the threshold, best and longest first."""
         own = sorted({self.rank[w] for w in block if w in self.rank})
-        tried, met = set(), []
+        tried: set[int] = set()
+        met: list[tuple[float, int, int]] = []
         for at, token in enumerate(own):
             for number, place in self.prefixes.get(token, ()):
                 if number in tried:
@@ -103,15 +109,36 @@ class TemplateIndex:
                     continue
                 held = len(set(order).intersection(own))
                 if held >= need:
-                    met.append((held / len(order), len(order), label, set(order)))
+                    met.append((held / len(order), len(order), number))
+        return sorted(met, key=lambda m: (-m[0], -m[1], m[2]))
+
+    def block_labels(self, block: list[bytes], around: list[bytes] | None = None) -> dict[str, float]:
+        """Labels whose template the block holds, with the largest share held.
+
+        A template is left out if one that is mostly the same words counts in the block and its surroundings, all words
+        that set that one apart are there, and some that set this one apart are not: a text under version 3 is not also
+        one under version 2, unless it names both. A template without words of its own has word pairs of its own:
+        `by 4` sets CC BY 4.0 apart from CC BY-SA 4.0.
+        """
+        met = self.met(block)
+        if not met:
+            return {}
+        around = block if around is None else around
+        there = {*around, *zip(around, around[1:])}
+        chosen: list[int] = []
+        for _, _, number in self.met(around):
+            if not any(self._outdone(number, other, there) for other in chosen):
+                chosen.append(number)
         found: dict[str, float] = {}
-        chosen: list[set[int]] = []
-        for share, size, label, tokens in sorted(met, key=lambda m: (-m[0], -m[1], m[2])):
-            if all(2 * len(tokens & other) <= min(size, len(other)) for other in chosen):
-                chosen.append(tokens)
+        for share, _, number in met:
+            if number in chosen:
+                label = self.templates[number][0]
                 found[label] = max(found.get(label, 0.0), share)
         return found
 
+    def _outdone(self, number: int, other: int, there: set) -> bool:
+        return (number, other) in self.apart and self.apart[other, number] <= there and not self.apart[number, other] <= there
+
     def labels(self, words: list[bytes]) -> dict[str, float]:
         """Labels of all blocks of a text."""
         half = self.scan.block // 2
@@ -121,7 +148,9 @@ class TemplateIndex:
                 starts.update((i // half * half, max(0, i // half - 1) * half))
         found: dict[str, float] = {}
         for start in starts:
-            for label, share in self.block_labels(words[start:start + self.scan.block]).items():
+            # A passage that the block's edge cuts lies whole in its surroundings.
+            around = words[max(0, start - half):start + self.scan.block + half]
+            for label, share in self.block_labels(words[start:start + self.scan.block], around).items():
                 found[label] = max(found.get(label, 0.0), share)
         return found
 
