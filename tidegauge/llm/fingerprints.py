@@ -5,8 +5,10 @@ a term draws r and c from a gamma distribution and b uniformly; with t = floor(l
 y = exp(r (t - b)) the term with the smallest c / (y exp(r)) is the sample, together with t. Two texts draw
 the same sample with a chance equal to the generalised Jaccard similarity of their weighted terms.
 
-The draws come from a counter-based generator: each is a function of the term's 64-bit hash and the place alone, so
-texts of any length are compared term by term. Terms are drawn for in chunks, which bounds memory; a task keeps the values of terms it met lately.
+At weight one, t is 0 and the value is c exp(-r (1 - b)), which is exponentially distributed. So the draws start from
+there: with A, B and E exponential and independent, c = A + B, r = E + ln(c / A) and b = E / r are gamma, gamma and uniform and
+independent of each other, and A is the value at weight one. A rises with one uniform number, the term's hash at the place,
+so terms of weight one, nearly all of them, need that hash and a minimum of whole numbers; the others take the full formula.
 """
 
 from __future__ import annotations
@@ -28,8 +30,7 @@ from tidegauge.llm.texts import MEMO_WORDS, bound_batches, keyed_texts, map_batc
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 PLACES = 128
-# Terms of weight one whose values a task keeps, and terms drawn for at a time.
-MEMO_TERMS = 1 << 16
+# Terms drawn for at a time: their hashes stay in the processor's cache.
 CHUNK = 96
 SEED = 20_011
 # One byte of each sample is kept; unequal samples agree on it with this chance.
@@ -38,13 +39,19 @@ _WORD = np.uint64(0x9E3779B97F4A7C15)
 
 
 _MIX = ((np.uint64(30), np.uint64(0xBF58476D1CE4E5B9)), (np.uint64(27), np.uint64(0x94D049BB133111EB)))
-_BYTE = np.uint32(255)
+_LAST = np.uint64(31)
+_NONE = np.uint64(2 ** 64 - 1)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
     for shift, factor in _MIX:
         x = (x ^ (x >> shift)) * factor
-    return x ^ (x >> np.uint64(31))
+    return x ^ (x >> _LAST)
+
+
+def _uniform(x: np.ndarray) -> np.ndarray:
+    """Numbers strictly between 0 and 1, rising with x."""
+    return ((x >> np.uint64(12)).astype(np.float64) + 0.5) * 2.0 ** -52
 
 
 class _Codes(dict):
@@ -55,94 +62,82 @@ class _Codes(dict):
         return value
 
 
+def weighted(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Different terms of at least one word, their weights, and where each first stands.
+
+    Pairs of neighbouring words are the terms; a single word is a term of its own.
+    """
+    pairs = codes[:-1] * _WORD + codes[1:] if len(codes) > 1 else codes
+    terms, first, weights = np.unique(_mixed(pairs), return_index=True, return_counts=True)
+    return terms, weights, first
+
+
 class Sampler:
-    """Draws of terms, and fingerprints from them."""
-
-    def __init__(self, places: int = PLACES, memo: int = MEMO_TERMS, seed: int = SEED):
-        self.keys = np.random.default_rng(seed).integers(0, 1 << 64, (2, places), np.uint64)
-        # The lowest bits of a hash are its place in the memo; no hash equals what a free place holds.
-        self.held, self.mask = np.arange(1, memo + 1, dtype=np.uint64), np.uint64(memo - 1)
-        self.kept = np.empty((memo, places), np.float32)
-        # Room for the draws of one chunk, used again each time.
+    """Draws of terms, and fingerprints from them. `memo` bounds the words whose codes are kept."""
+
+    def __init__(self, places: int = PLACES, memo: int = MEMO_WORDS, seed: int = SEED):
+        self.keys = np.random.default_rng(seed).integers(0, 1 << 64, (3, places), np.uint64)
+        # Room for the hashes of one chunk, used again each time.
         self.mixed, self.spare = np.empty((2, CHUNK, places), np.uint64)
-        self.bits, self.low = np.empty((2, CHUNK, places), np.uint32)
-        self.drawn = np.empty((4, CHUNK, places), np.float32)
-        self.memo = _Codes()
+        self.words, self.memo = memo, _Codes()
+
+    def _hashes(self, terms: np.ndarray, which: int) -> np.ndarray:
+        """Hash of up to CHUNK terms at each place; the array holds until the next hashes."""
+        x, spare = self.mixed[:len(terms)], self.spare[:len(terms)]
+        np.bitwise_xor(terms[:, None], self.keys[which], out=x)
+        for shift, factor in _MIX:
+            np.right_shift(x, shift, out=spare)
+            np.bitwise_xor(x, spare, out=x)
+            np.multiply(x, factor, out=x)
+        np.right_shift(x, _LAST, out=spare)
+        np.bitwise_xor(x, spare, out=x)
+        return x
+
+    def least(self, terms: np.ndarray) -> np.ndarray:
+        """Least hash at each place among terms of weight one."""
+        best = np.full(self.keys.shape[1], _NONE)
+        for at in range(0, len(terms), CHUNK):
+            np.minimum(best, self._hashes(terms[at:at + CHUNK], 0).min(axis=0), out=best)
+        return best
 
     def draws(self, terms: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """r, c and b of each term and place, up to CHUNK terms; the arrays hold until the next draws.
-
-        Two 64-bit numbers give four uniform numbers of 24 bits for r and c, and what is left of them b. The logarithm of
-        two uniform numbers' product is gamma distributed with shape 2, its sign turned.
-        """
-        n = len(terms)
-        x, spare, bits, low = self.mixed[:n], self.spare[:n], self.bits[:n], self.low[:n]
-        r, c, b, other = self.drawn[:, :n]
-        for key, out in zip(self.keys, (r, c)):
-            np.add(terms[:, None], key, out=x)
-            for shift, factor in _MIX:
-                np.right_shift(x, shift, out=spare)
-                np.bitwise_xor(x, spare, out=x)
-                np.multiply(x, factor, out=x)
-            np.right_shift(x, np.uint64(31), out=spare)
-            np.bitwise_xor(x, spare, out=x)
-            halves = x.view(np.uint32)
-            for at, place in ((0, out), (1, other)):
-                np.right_shift(halves[:, at::2], np.uint32(8), out=bits)
-                np.copyto(place, bits.view(np.int32), casting="unsafe")
-                np.add(place, np.float32(0.5), out=place)
-            np.multiply(out, other, out=out)
-            np.multiply(out, np.float32(2 ** -48), out=out)
-            np.log(out, out=out)
-            np.negative(out, out=out)
-            np.maximum(out, np.float32(2 ** -24), out=out)
-            # Eight low bits of each half of the first number, and of the second one's first half.
-            if out is r:
-                np.left_shift(halves[:, 0::2] & _BYTE, np.uint32(16), out=low)
-                np.bitwise_or(low, (halves[:, 1::2] & _BYTE) << np.uint32(8), out=low)
-            else:
-                np.bitwise_or(low, halves[:, 0::2] & _BYTE, out=low)
-        np.copyto(b, low.view(np.int32), casting="unsafe")
-        np.multiply(b, np.float32(2 ** -24), out=b)
-        return r, c, b
-
-    def once(self, terms: np.ndarray) -> np.ndarray:
-        """ln(c) - r (t - b) - r of terms with a weight of one, for which t = 0; rows are in no certain order."""
-        at = (terms & self.mask).astype(np.int64)
-        known = self.held[at] == terms
-        if known.all():
-            return self.kept[at]
-        r, c, b = self.draws(terms[~known])
-        made = np.log(c) + r * b - r
-        rows = np.concatenate([self.kept[at[known]], made])
-        places, first = np.unique(at[~known], return_index=True)
-        self.held[places], self.kept[places] = terms[~known][first], made[first]
-        return rows
+        """r, c and b of up to CHUNK terms at each place."""
+        a, other, rest = (-np.log1p(-_uniform(self._hashes(terms, which))) for which in range(3))
+        c = a + other
+        r = rest + np.log(c / a)
+        return r, c, np.minimum(rest / r, np.nextafter(1, 0))
 
     def codes(self, words: list[str]) -> np.ndarray:
-        if len(self.memo) > MEMO_WORDS:
+        if len(self.memo) > self.words:
             self.memo.clear()
         return np.fromiter(map(self.memo.__getitem__, words), np.uint64, len(words))
 
+    def best(self, least: np.ndarray, terms: np.ndarray, weights: np.ndarray) -> np.ndarray:
+        """One byte for each place: the least hash of terms of weight one against terms with other weights."""
+        value = -np.log1p(-_uniform(least))
+        sample = least.copy()
+        logs = np.log(weights.astype(np.float64))
+        for at in range(0, len(terms), CHUNK):
+            own = terms[at:at + CHUNK]
+            r, c, b = self.draws(own)
+            t = np.floor(logs[at:at + CHUNK, None] / r + b)
+            y = c * np.exp(-r * (t - b) - r)
+            row = y.argmin(axis=0)
+            place = np.arange(y.shape[1])
+            lower = y[row, place] < value
+            value = np.where(lower, y[row, place], value)
+            # With t = 0 a sample is what it would be at weight one.
+            steps = t[row, place].astype(np.int64).astype(np.uint64) * _WORD
+            sample = np.where(lower, self._hashes(own, 0)[row, place] + steps, sample)
+        return (_mixed(sample * _WORD) >> np.uint64(56)).astype(np.uint8)
+
     def sample(self, codes: np.ndarray) -> np.ndarray:
         """One byte for each place from the codes of a text's words; none for a text without a word."""
         if not len(codes):
             return np.zeros(0, np.uint8)
-        # Pairs of neighbouring words are the terms; a single word is a term of its own.
-        pairs = codes[:-1] * _WORD + codes[1:] if len(codes) > 1 else codes
-        terms, weights = np.unique(_mixed(pairs), return_counts=True)
+        terms, weights, _ = weighted(codes)
         single = weights == 1
-        ones, many = terms[single], terms[~single]
-        best = np.full(self.keys.shape[1], np.inf, np.float32)
-        for at in range(0, len(ones), CHUNK):
-            best = np.minimum(best, self.once(ones[at:at + CHUNK]).min(axis=0))
-        logs = np.log(weights[~single].astype(np.float32))
-        for at in range(0, len(many), CHUNK):
-            r, c, b = self.draws(many[at:at + CHUNK])
-            t = np.floor(logs[at:at + CHUNK, None] / r + b)
-            best = np.minimum(best, (np.log(c) - r * (t - b) - r).min(axis=0))
-        # The smallest value is a function of the sampled term and t, so it stands for both.
-        return (_mixed(best.view(np.uint32).astype(np.uint64) * _WORD) >> np.uint64(56)).astype(np.uint8)
+        return self.best(self.least(terms[single]), terms[~single], weights[~single])
 
     def likeness(self, a: np.ndarray, b: np.ndarray) -> float:
         """Estimated generalised Jaccard similarity: 1 for two texts without words, 0 for one of them."""
@@ -171,23 +166,41 @@ _OPEN = pa.schema([*_EDITED, ("range", pa.int32()), ("first", pa.bool_()), ("tex
 
 
 class _Text:
-    """A document with its words' codes and its fingerprint."""
+    """A document with its words' codes and its fingerprint, and what its edited text can take over.
+
+    The words wholly in the kept two thirds stand in the edited text too, whatever comes after them. Terms of weight one
+    among their pairs stay terms there; more weight only lowers their value, so their least hash holds for both.
+    """
 
     def __init__(self, sampler: Sampler, doc_id: int | None, text: str, like: _Text | None = None):
         self.doc_id, self.text = doc_id, text
-        same = like is not None and like.text == text
-        self.codes = like.codes if same else sampler.codes(text.split())
-        self.sample = like.sample if same else sampler.sample(self.codes)
+        if like is not None and like.text == text:
+            self.codes, self.sample, self.whole, self.shared, self.least = like.codes, like.sample, like.whole, like.shared, like.least
+            return
+        self.codes = sampler.codes(text.split())
+        # The last kept word may go on in what replaces the rest.
+        self.whole = max(0, len(text[:len(text) - len(text) // 3].split()) - 1)
+        self.shared, self.least = np.zeros(0, np.uint64), np.full(sampler.keys.shape[1], _NONE)
+        self.sample = np.zeros(0, np.uint8)
+        if len(self.codes):
+            terms, weights, first = weighted(self.codes)
+            single = weights == 1
+            kept = single & (first < self.whole - 1)
+            self.shared, self.least = terms[kept], sampler.least(terms[kept])
+            self.sample = sampler.best(np.minimum(self.least, sampler.least(terms[single & ~kept])), terms[~single], weights[~single])
 
 
 def _row(sampler: Sampler, own: _Text, other: _Text) -> tuple:
     cut = len(own.text) // 3
-    kept = own.text[:len(own.text) - cut]
-    edited = kept + other.text[:cut]
-    # Whole words of the kept part have their codes already.
-    whole = max(0, len(kept.split()) - 1)
-    codes = np.concatenate([own.codes[:whole], sampler.codes(edited.split()[whole:])])
-    sample = sampler.sample(codes)
+    edited = own.text[:len(own.text) - cut] + other.text[:cut]
+    codes = np.concatenate([own.codes[:own.whole], sampler.codes(edited.split()[own.whole:])])
+    sample = np.zeros(0, np.uint8)
+    if len(codes):
+        terms, weights, _ = weighted(codes)
+        single = weights == 1
+        fresh = terms[single]
+        fresh = fresh[~np.isin(fresh, own.shared, assume_unique=True)]
+        sample = sampler.best(np.minimum(own.least, sampler.least(fresh)), terms[~single], weights[~single])
     return (own.doc_id, len(own.text), hashlib.sha256(edited.encode()).hexdigest(), own.sample.tobytes().hex(),
             sample.tobytes().hex(), sampler.likeness(own.sample, sample), sampler.likeness(own.sample, other.sample))
 
@@ -226,12 +239,12 @@ def edited_likeness(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     found = written(texts.mapInArrow(walk, from_arrow_schema(_OPEN)), "fingerprints")
     edges = found.filter(F.col("range").isNotNull())
+    firsts = edges.filter("first").select("range", F.col("text").alias("next"))
+    # Numbers alone go through one task, no more of them than the shuffle has partitions.
     following = Window.orderBy("range")
-    # One row per range: no more rows than the shuffle has partitions.
-    firsts = edges.filter("first").select("range", F.col("text").alias("head"))
-    placed = firsts.select(
-        "range", F.coalesce(F.lead("head").over(following), F.first_value("head").over(following)).alias("next"))
-    opened = edges.filter(~F.col("first")).join(placed, "range").select("doc_id", "text", "next")
+    places = firsts.select("range", F.coalesce(F.lead("range").over(following), F.first_value("range").over(following)).alias("_next"))
+    opened = (edges.filter(~F.col("first")).join(places, "range").select("doc_id", "text", "_next")
+              .join(firsts.withColumnRenamed("range", "_next"), "_next").select("doc_id", "text", "next"))
 
     def close(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sampler = None
