@@ -144,6 +144,74 @@ def table_roundtrip(spark, sf):
                          F.col("volume").cast("double").alias("volume"), "trade_timestamp")
 
 
+def _database(spark, root):
+    """A database of its own for each run of a query, with all tables created, twice without harm."""
+    database = root.rsplit("/", 1)[-1].replace("-", "_")
+    spark.sql(f"CREATE DATABASE {database}")
+    for _ in range(2):
+        tables.create_tables(spark, root, database)
+    return database
+
+
+@query(f"""
+SELECT id, symbol, CAST(CAST(price AS DECIMAL(12,4)) AS DOUBLE) AS price, ts AS trade_timestamp, 'append' AS query, 0 AS batch_id
+FROM ({v.trades_sql()}) WHERE id % 3 = 0
+UNION ALL
+SELECT id, symbol, CAST(CAST(price AS DECIMAL(12,4)) AS DOUBLE), ts, 'direct', id % 3 + 4
+FROM ({v.trades_sql()}) WHERE id % 3 > 0 AND ts >= (SELECT min(ts) FROM events) + INTERVAL 10 DAY
+UNION ALL
+SELECT id, symbol, 1, ts, 'late', 5 FROM ({v.trades_sql()}) WHERE symbol = 'view'""", settle=False)
+def catalog_table_roundtrip(spark, sf):
+    """Tables by name: an append, two batches of which an earlier attempt held other days, and a batch written by path."""
+    root = scratch_path(spark, "named")
+    database = _database(spark, root)
+    rows = v.trades(spark, sf).withColumn("trade_timestamp", F.col("ts"))
+    third, now = F.pmod("id", F.lit(3)), F.current_timestamp()
+    tables.insert(rows.filter(third == 0), schemas.RAW_TRADES, now, database)
+    start = v.table(spark, sf, "events").agg(F.min(F.col("ts").cast("timestamp"))).scalar()
+    for batch in (5, 6):
+        own = rows.filter(third == batch - 4)
+        tables.insert(own, schemas.RAW_TRADES, now, database, batch)
+        tables.insert(own.filter(F.col("ts") >= start + F.expr("INTERVAL 10 DAYS")), schemas.RAW_TRADES, now, database, batch)
+    by_path = rows.filter("symbol = 'view'").withColumn("price", F.lit(1.0))
+    tables.append(by_path, root, schemas.RAW_TRADES, now, 5, "late")
+    tables.recover(spark, schemas.RAW_TRADES, database)
+    stored = tables.read_named(spark, schemas.RAW_TRADES, database)
+    return stored.select("id", "symbol", F.col("price").cast("double").alias("price"), "trade_timestamp", "query", "batch_id")
+
+
+def _appended(spark, table, rows):
+    """The rows written by name in two halves, and read by path."""
+    root = scratch_path(spark, table.name)
+    database = _database(spark, root)
+    for half in (0, 1):
+        tables.insert(rows.filter(F.pmod("id", F.lit(2)) == half), table, F.lit("2024-01-01 00:00:00").cast("timestamp"), database)
+    return tables.read_table(spark, root, table)
+
+
+def _numbers(*names):
+    return [F.col(n).cast("double").alias(n) for n in names]
+
+
+@query(f"""
+SELECT id, symbol, CAST(CAST(current_price AS DECIMAL(12,4)) AS DOUBLE) AS current_price, CAST(CAST(change AS DECIMAL(12,4)) AS DOUBLE) AS change,
+       CAST(CAST(percent_change AS DECIMAL(8,4)) AS DOUBLE) AS percent_change, CAST(CAST(prev_close AS DECIMAL(12,4)) AS DOUBLE) AS prev_close,
+       date_trunc('quarter', quoted_at)::TIMESTAMP AS quoted_at, date_trunc('quarter', quoted_at)::DATE AS quoted_at_day,
+       TIMESTAMP '2024-01-01' AS created_at FROM ({v.QUOTES_SQL})""", settle=False)
+def stored_quotes(spark, sf):
+    rows = v.quotes(spark, sf).withColumn("quoted_at", F.date_trunc("quarter", "quoted_at").cast("timestamp")).drop("created_at")
+    stored = _appended(spark, schemas.STOCK_QUOTES, rows)
+    return stored.select("id", "symbol", *_numbers("current_price", "change", "percent_change", "prev_close"), "quoted_at", "quoted_at_day", "created_at")
+
+
+@query(f"""
+SELECT id, symbol, CAST(CAST(sentiment_score AS DECIMAL(8,6)) AS DOUBLE) AS sentiment_score, scored_at,
+       CAST(scored_at AS DATE) AS scored_at_day FROM ({v.SENTIMENT_SQL})""", settle=False)
+def stored_sentiment(spark, sf):
+    rows = v.sentiment(spark, sf).withColumn("scored_at", F.col("scored_at").cast("timestamp"))
+    return _appended(spark, schemas.SENTIMENT_SCORES, rows).select("id", "symbol", *_numbers("sentiment_score"), "scored_at", "scored_at_day")
+
+
 def _stamped(spark, sf, **fields):
     return v.table(spark, sf, "events").select(F.to_json(F.struct(*[c.alias(n) for n, c in fields.items()])).alias("value"))
 

@@ -143,6 +143,40 @@ def test_create_tables_twice(spark, tmp_path):
     spark.sql("DROP DATABASE market CASCADE")
 
 
+def test_tables_by_name_and_by_path_are_the_same(spark, tmp_path):
+    """Rows written before the table was created, by name, as a batch, and a batch written again with other days."""
+    root, day = str(tmp_path / "t"), lambda d: F.to_timestamp(F.lit(f"2024-01-0{d} 10:00:00"))
+    rows = spark.createDataFrame([(1, "A", 1.0, 2.0)], "id BIGINT, symbol STRING, price DOUBLE, volume DOUBLE")
+    trades = lambda d: rows.withColumn("trade_timestamp", day(d))
+    tables.append(trades(1), root, schemas.RAW_TRADES, now())
+    spark.sql(f"CREATE DATABASE named LOCATION '{tmp_path}/db'")
+    tables.create_tables(spark, root, "named")
+    stored = lambda: sorted(
+        (r["query"], r["batch_id"], str(r["trade_timestamp_day"])) for r in tables.read_named(spark, schemas.RAW_TRADES, "named").collect())
+    assert stored() == [("append", 0, "2024-01-01")]
+    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
+    try:
+        tables.insert(trades(2), schemas.RAW_TRADES, now(), "named")
+        tables.insert(trades(3).unionByName(trades(4)), schemas.RAW_TRADES, now(), "named", 7, "q")
+        tables.insert(trades(5), schemas.RAW_TRADES, now(), "named", 7, "q")
+        tables.insert(trades(6), schemas.RAW_TRADES, now(), "named", 8, "q")
+        tables.insert(trades(6).limit(0), schemas.RAW_TRADES, now(), "named", 8, "q")
+        assert spark.conf.get("spark.sql.sources.partitionOverwriteMode") == "dynamic"
+    finally:
+        spark.conf.unset("spark.sql.sources.partitionOverwriteMode")
+    want = [("append", 0, "2024-01-01"), ("append", 0, "2024-01-02"), ("q", 7, "2024-01-05")]
+    assert stored() == want
+    tables.append(trades(9), root, schemas.RAW_TRADES, now(), 1, "other")
+    tables.recover(spark, schemas.RAW_TRADES, "named")
+    assert stored() == sorted([*want, ("other", 1, "2024-01-09")]) and tables.read_table(spark, root, schemas.RAW_TRADES).count() == 4
+    asked = tables.since(tables.read_named(spark, schemas.RAW_TRADES, "named"), schemas.RAW_TRADES, day(5))
+    assert asked.count() == 2
+    assert "PartitionFilters: [isnotnull(trade_timestamp_day" in asked._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="does not fit"):
+        tables.insert(trades(1).withColumn("volume", F.lit(1e17)), schemas.RAW_TRADES, now(), "named")
+    spark.sql("DROP DATABASE named CASCADE")
+
+
 @pytest.mark.parametrize("decoded", [messages.decode_trades, messages.feed_trades, lambda m: messages.sentiment_rows(messages.decode_sentiment(m), now()),
                                      lambda m: messages.quote_rows(messages.decode_quotes(m), now())])
 def test_texts_are_parsed_once(spark, decoded):
