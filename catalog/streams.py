@@ -71,6 +71,50 @@ def stream_trailing_metrics(spark, sf):
                          *[F.col(c).cast("double").alias(c) for c in ("min_price", "max_price", "total_volume")])
 
 
+# Trades of three batches that interleave in time, with many equal ones: symbol, hour and rounded price are all they have.
+_BATCHES = 3
+_FILLS_SQL = f"""
+SELECT event_id % {_BATCHES} AS b, event_type AS symbol, floor(value / 50) * 50 AS price, {v.K} % 5 * 1.0::DOUBLE AS volume,
+       date_trunc('hour', ts) AS ts FROM events"""
+
+
+def fills(events):
+    amount = (F.from_json("props", "k INT")["k"] % 5).cast("double")
+    return events.select(
+        F.pmod("event_id", F.lit(_BATCHES)).alias("b"), F.col("event_type").alias("symbol"), (F.floor(F.col("value") / 50) * 50).cast("double").alias("price"),
+        amount.alias("volume"), F.date_trunc("hour", "ts").cast("timestamp").alias("ts"))
+
+
+def in_batches(spark, sf, root, callback):
+    """Each batch's rows arrive, and the same stream goes on from its checkpoint."""
+    rows = fills(v.table(spark, sf, "events"))
+    for b in range(_BATCHES):
+        rows.filter(F.col("b") == b).drop("b").write.mode("append").parquet(f"{root}/in")
+        stream = spark.readStream.schema(rows.drop("b").schema).parquet(f"{root}/in")
+        named = stream.withColumn("id", F.xxhash64("symbol", "price", "volume", "ts")).withWatermark("ts", "30 seconds")
+        jobs.run(named, callback, f"{root}/checkpoint", once=True).awaitTermination()
+
+
+_REACH = (("90m", 5400), ("5h", 18000), ("10d", 864000))
+
+
+@query(f"""
+WITH t AS ({_FILLS_SQL}), e AS (SELECT b, max(ts) AS w_end FROM t GROUP BY b),
+     w(window_size, d) AS (VALUES {", ".join(f"('{label}', INTERVAL '{length}' SECOND)" for label, length in _REACH)})
+SELECT e.b AS batch_id, symbol, window_size, w_end - d AS window_start, w_end AS window_end, {v.half_up("avg(price)", 4)} AS avg_price,
+       {v.half_up("coalesce(stddev_samp(price), 0)", 6)} AS std_dev, sum(volume) AS total_volume, count(*) AS trade_count,
+       {v.half_up("CASE WHEN sum(volume) < 1e-9 THEN avg(price) ELSE sum(price * volume) / sum(volume) END", 4)} AS vwap,
+       min(price) AS min_price, max(price) AS max_price
+FROM t JOIN e ON t.b <= e.b AND t.ts <= e.w_end, w WHERE t.ts >= w_end - d GROUP BY ALL""")
+def stream_windows_over_batches(spark, sf):
+    """Windows over the batches so far, from their cells of seven hours and the trades that borders cut off."""
+    root = scratch_path(spark, "reach")
+    in_batches(spark, sf, root, jobs.detection(f"{root}/out", windows=_REACH, history=7 * 3600))
+    stored = tables.read_batches(spark, f"{root}/out", AGGREGATED_METRICS)
+    return stored.select("batch_id", "symbol", "window_size", "window_start", "window_end", F.col("trade_count").cast("bigint").alias("trade_count"),
+                         *[F.col(c).cast("double").alias(c) for c in ("avg_price", "std_dev", "total_volume", "vwap", "min_price", "max_price")])
+
+
 @query("SELECT DISTINCT conv_id AS id FROM conversations")
 def stream_news_dedup(spark, sf):
     root = scratch_path(spark, "news")

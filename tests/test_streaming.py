@@ -5,7 +5,7 @@ import time
 import pytest
 from pyspark.sql import functions as F
 
-from tidegauge.operators import windows
+from tidegauge.operators import moments, windows
 from tidegauge.plans import batch
 from tidegauge.schemas import AGGREGATED_METRICS, ANOMALY_LOGS, RAW_TRADES, TRADE_MSG
 from tidegauge.sources import messages, tables
@@ -184,3 +184,61 @@ def test_the_place_in_a_topic_is_the_identity(spark):
     rows = spark.createDataFrame([(message("A", 1.0, 1.0, 10), "t", 0, i) for i in range(2)],
                                  "value STRING, topic STRING, partition INT, offset BIGINT")
     assert jobs.trade_stream(rows).select("id").distinct().count() == 2
+
+
+def test_equal_fills_over_batches(spark, tmp_path):
+    for name in "12":
+        write(f"{tmp_path}/in", name, [message("A", 50.0, 3.0, 10)])
+    trades = jobs.trade_stream(source(spark, f"{tmp_path}/in"))
+    jobs.run(jobs.trade_rows(trades), jobs.landing(f"{tmp_path}/landed", RAW_TRADES), f"{tmp_path}/cp1", once=True).awaitTermination()
+    ways = {"landed": {"recent": jobs.stored_trades(spark, f"{tmp_path}/landed")}, "own": {"history": 60}}
+    for way, how in ways.items():
+        jobs.run(trades, jobs.detection(f"{tmp_path}/{way}_out", **how), f"{tmp_path}/cp_{way}", once=True).awaitTermination()
+    counts = {way: {(r["batch_id"], r["window_size"]): r["trade_count"] for r in
+                    tables.read_batches(spark, f"{tmp_path}/{way}_out", AGGREGATED_METRICS).collect()} for way in ways}
+    # All is landed before the first batch runs, so there both fills count at once; own history counts them as they come.
+    assert set(counts["landed"].values()) == {2}
+    assert counts["own"] == {(b, w): b + 1 for b in (0, 1) for w in ("1m", "5m", "15m")}
+
+
+@pytest.mark.parametrize("cell", [7, 60, 1000])
+def test_windows_from_cells_equal_windows_from_trades(spark, skewed, cell):
+    """Three batches that interleave in time, with stored cells of any length, against all trades at once."""
+    trades = skewed[1].withColumn("volume", F.when(F.col("id") % 11 > 0, F.col("volume")))
+    chosen = (("1m", 60), ("7m", 421), ("15m", 900))
+    # Late and early trades in every batch; the last one's newest trade comes before the newest of all.
+    batch = F.when((F.col("ts") > F.timestamp_seconds(F.lit(1704067200 + 3900))), F.pmod("id", F.lit(2))).otherwise(F.pmod("id", F.lit(3)))
+    parts = [trades.filter(batch == b) for b in range(3)]
+    stored_cells = moments.cells(parts[0], cell).unionByName(moments.cells(parts[1], cell))
+    got = moments.reaching_metrics(parts[2], stored_cells, parts[0].unionByName(parts[1]), cell, chosen)
+    end = parts[2].agg(F.max("ts")).first()[0]
+    want = windows.trailing_metrics(trades.filter(F.col("ts") <= F.lit(end)), chosen)
+    assert got.columns == want.columns
+    rows = [{(r["symbol"], r["window_size"]): r for r in df.collect()} for df in (got, want)]
+    assert rows[0].keys() == rows[1].keys() and len(rows[0]) > 80
+    for key, r in rows[0].items():
+        w = rows[1][key]
+        assert (r["trade_count"], r["min_price"], r["max_price"], r["window_start"], r["window_end"]) == \
+            (w["trade_count"], w["min_price"], w["max_price"], w["window_start"], w["window_end"])
+        for c in ("avg_price", "std_dev", "total_volume", "vwap"):
+            assert r[c] == pytest.approx(w[c], rel=1e-9, abs=1e-9)
+
+
+def test_windows_of_a_batch_without_times(spark, skewed):
+    none = skewed[1].withColumn("ts", F.lit(None).cast("timestamp"))
+    assert moments.reaching_metrics(none, moments.cells(none, 60), none, 60).collect() == []
+    # Without earlier batches the windows are those of the batch.
+    got = moments.reaching_metrics(skewed[1], moments.cells(none, 60), none, 60)
+    key = ["symbol", "window_size", "trade_count", "min_price"]
+    assert sorted(map(tuple, got.select(key).collect())) == sorted(map(tuple, windows.trailing_metrics(skewed[1]).select(key).collect()))
+
+
+def test_a_retried_batch_reads_earlier_ones_alone(spark, tmp_path):
+    write(f"{tmp_path}/in", "1", [message("A", 50.0, 3.0, 10), message("A", 70.0, 3.0, 20)])
+    rows = messages.decode_trades(spark.read.text(f"{tmp_path}/in")).withColumn("id", F.monotonically_increasing_id())
+    callback = jobs.detection(f"{tmp_path}/out", history=60)
+    for batch_id in (0, 1, 1, 0):
+        callback(rows, batch_id)
+    got = tables.read_batches(spark, f"{tmp_path}/out", AGGREGATED_METRICS).filter("window_size = '5m'").collect()
+    assert sorted((r["batch_id"], r["trade_count"], float(r["avg_price"]), float(r["std_dev"])) for r in got) == \
+        [(0, 2, 60.0, 14.142136), (1, 4, 60.0, 11.547005)]

@@ -15,7 +15,7 @@ from tidegauge.operators.sharding import CHUNK_ROWS, largest_group
 from tidegauge.schemas import WINDOWS
 
 
-def _vwap(price_volume: Column, volume: Column, mean: Column) -> Column:
+def volume_weighted(price_volume: Column, volume: Column, mean: Column) -> Column:
     """Volume-weighted mean; the plain mean when there is no volume."""
     return F.when(volume < 1e-9, mean).otherwise(F.try_divide(price_volume, volume))
 
@@ -53,7 +53,7 @@ def trailing_metrics(trades: DataFrame, windows: Sequence[tuple[str, int]] = WIN
             F.when(F.col(f"_n{i}") > 1, F.col(f"_std{i}")).otherwise(0.0).alias("std_dev"),
             total.alias("total_volume"),
             F.col(f"_n{i}").alias("trade_count"),
-            _vwap(F.col(f"_pv{i}"), total, F.col(f"_avg{i}")).alias("vwap"),
+            volume_weighted(F.col(f"_pv{i}"), total, F.col(f"_avg{i}")).alias("vwap"),
             F.col(f"_min{i}").alias("min_price"),
             F.col(f"_max{i}").alias("max_price"),
         ))
@@ -80,7 +80,7 @@ def _bars(grouped) -> DataFrame:
 def _bar_columns(bars: DataFrame, *leading: str) -> DataFrame:
     mean = F.try_divide(F.col("_sum"), F.col("_prices"))
     return bars.select(*leading, "symbol", "window_start", "window_end", "open", "high", "low", "close",
-                       "volume", "trade_count", _vwap(F.col("_pv"), F.col("volume"), mean).alias("vwap"))
+                       "volume", "trade_count", volume_weighted(F.col("_pv"), F.col("volume"), mean).alias("vwap"))
 
 
 def ohlcv(trades: DataFrame, length: int, slide: int | None = None) -> DataFrame:
@@ -210,7 +210,7 @@ def range_frame_metrics(trades: DataFrame, windows: Sequence[tuple[str, int]] =
             F.when((k > 1) & (stat["_min"] < stat["_max"]), F.sqrt(squares / F.greatest(k - 1, F.lit(1)))).otherwise(0.0).alias("std_dev"),
             total.alias("total_volume"),
             stat["_n"].alias("trade_count"),
-            _vwap(stat["_pv"], total, mean).alias("vwap"),
+            volume_weighted(stat["_pv"], total, mean).alias("vwap"),
             stat["_min"].alias("min_price"),
             stat["_max"].alias("max_price"),
         )).drop("_cell", "_head", "_tail", "_far")

@@ -135,6 +135,19 @@ AGENT_AUDIT_TRAIL = Table(
     parents=(("report_id", "root_cause_reports"),),
 )
 
+# What a detection stream keeps for windows that reach back over its batches; not among the stored tables.
+WINDOW_TRADES = Table(
+    "window_trades",
+    (("symbol", "STRING"), ("price", "DOUBLE"), ("volume", "DOUBLE"), ("ts", "TIMESTAMP")),
+    time="ts",
+)
+WINDOW_CELLS = Table(
+    "window_cells",
+    (("symbol", "STRING"), ("cell_start", "TIMESTAMP"), ("n", "BIGINT"), ("k", "BIGINT"), ("mean", "DOUBLE"),
+     ("squares", "DOUBLE"), ("volume", "DOUBLE"), ("price_volume", "DOUBLE"), ("low", "DOUBLE"), ("high", "DOUBLE")),
+    time="cell_start",
+)
+
 TABLES = {
     table.name: table
     for table in (RAW_TRADES, STOCK_QUOTES, SENTIMENT_SCORES, AGGREGATED_METRICS,

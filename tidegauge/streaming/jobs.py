@@ -4,16 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from tidegauge.functions.scalars import seconds
-from tidegauge.operators import quality
+from tidegauge.operators import moments, quality
 from tidegauge.operators.iforest import Forest
 from tidegauge.operators.windows import ohlcv, trailing_metrics
 from tidegauge.plans import batch as plans
-from tidegauge.schemas import AGGREGATED_METRICS, ANOMALY_LOGS, RAW_TRADES, WINDOWS, Table
+from tidegauge.schemas import AGGREGATED_METRICS, ANOMALY_LOGS, RAW_TRADES, WINDOW_CELLS, WINDOW_TRADES, WINDOWS, Table
 from tidegauge.sources import tables
 from tidegauge.sources.messages import decode_trades, encode
 
@@ -58,14 +58,16 @@ def run(stream: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoin
 
 def detection(root: str, now: Callable[[], Column] = F.current_timestamp, forest: Forest | None = None,
               publish: Callable[[DataFrame], None] | None = None, windows=WINDOWS, model_window: str = "5m",
-              recent: Callable[[Column], DataFrame] | None = None,
+              recent: Callable[[Column], DataFrame] | None = None, history: int | None = None,
               keep: bool = True) -> Callable[[DataFrame, int], None]:
     """Batch callback: store window metrics, run all detectors, store and publish anomalies.
 
     Each table is written to the batch's own partition, so a retried batch replaces its
-    earlier rows. `recent(start)` may return stored trades from `start` on; the trailing
-    windows then reach back over batch borders. Rows that do not fit the table are kept
+    earlier rows. Rows that do not fit the table are kept
     apart with a reason; any other failure fails the batch, which is then run again.
+    With `history`, a number of seconds, windows reach back over the query's own earlier batches: each batch stores its
+    trades and their cells of that length, and batches are told apart by their number, so equal trades of several
+    batches all count. In place of that, `recent(start)` may return trades that another job landed, from `start` on.
     `keep` persists the batch while it is worked on, so that the source is read once; bound the batch
     by the source's rate limit.
     """
@@ -75,16 +77,16 @@ def detection(root: str, now: Callable[[], Column] = F.current_timestamp, forest
         try:
             if trades.isEmpty():
                 return
-            seen = trades
-            if recent is not None:
+            query, moment = tables.query_id(trades.sparkSession), now()
+            if history is not None:
+                metrics = _reaching(trades, root, history, windows, moment, batch_id, query)
+            elif recent is not None:
                 end = trades.agg(F.max("ts")).scalar()
                 stored = recent(end - seconds(max(length for _, length in windows))).filter(F.col("ts") <= end)
-                shared = ["id", "symbol", "price", "volume", "ts"]
-                # Trades of this batch may be landed already; equal fills within the batch all count.
-                earlier = stored.select(*shared).join(trades.select("id", "ts").distinct(), ["id", "ts"], "left_anti")
-                seen = trades.select(*shared).unionByName(earlier.select(*shared))
-            query, moment = tables.query_id(trades.sparkSession), now()
-            metrics = trailing_metrics(seen, windows).persist()
+                metrics = trailing_metrics(_with_earlier(trades, stored), windows)
+            else:
+                metrics = trailing_metrics(trades, windows)
+            metrics = metrics.persist()
             _store(metrics, root, AGGREGATED_METRICS, moment, batch_id, query)
 
             verdicts = plans.all_verdicts(trades, metrics, forest, model_window)
@@ -101,6 +103,40 @@ def detection(root: str, now: Callable[[], Column] = F.current_timestamp, forest
     return on_batch
 
 
+def _reaching(trades: DataFrame, root: str, cell: int, windows, moment: Column, batch_id: int, query: str) -> DataFrame:
+    """Window metrics over this and all earlier batches of the query; the batch's trades and cells are stored first."""
+    own = trades.select("symbol", F.col("price").cast("double").alias("price"), F.col("volume").cast("double").alias("volume"), "ts")
+    spark = trades.sparkSession
+    tables.append(own, root, WINDOW_TRADES, moment, batch_id, query)
+    tables.append(moments.cells(own, cell), root, WINDOW_CELLS, moment, batch_id, query)
+    before = (F.col(tables.WRITER) == query) & (F.col(tables.BATCH) < batch_id)
+    start = trades.agg(F.max("ts")).first()[0]
+    if start is not None:
+        start = F.lit(start) - seconds(max(length for _, length in windows) + cell)
+    stored = [tables.read_table(spark, root, table).filter(before) for table in (WINDOW_CELLS, WINDOW_TRADES)]
+    if start is not None:
+        stored = [tables.since(rows, table, start) for rows, table in zip(stored, (WINDOW_CELLS, WINDOW_TRADES))]
+    return moments.reaching_metrics(own, *stored, cell, windows)
+
+
+def _with_earlier(trades: DataFrame, stored: DataFrame) -> DataFrame:
+    """A batch's trades and those stored before it, where the store may or may not hold the batch itself already.
+
+    The store holds the batch if it has each of its trades at least as often. Then so many copies of each are the batch's
+    own, and what is stored beyond them came earlier; equal fills of several batches all count.
+    """
+    shared, key = ["id", "symbol", "price", "volume", "ts"], ["id", "ts"]
+    counts = trades.groupBy(*key).agg(F.count(F.lit(1)).alias("_own"))
+    held = stored.groupBy(*key).agg(F.count(F.lit(1)).alias("_held"))
+    landed = counts.join(held, key, "left").agg(F.bool_and(F.coalesce("_held", F.lit(0)) >= F.col("_own"))).first()[0]
+    earlier = stored.select(*shared)
+    if landed:
+        place = F.row_number().over(Window.partitionBy(*key).orderBy("symbol", "price", "volume"))
+        earlier = (earlier.join(counts, key, "left").withColumn("_place", place)
+                   .filter(F.col("_own").isNull() | (F.col("_place") > F.col("_own"))))
+    return trades.select(*shared).unionByName(earlier.select(*shared))
+
+
 def landing(root: str, table: Table, now: Callable[[], Column] = F.current_timestamp) -> Callable[[DataFrame, int], None]:
     """Batch callback: append normalised rows to a table, each batch once."""
     def on_batch(rows: DataFrame, batch_id: int) -> None:
