@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.registry import query
-from tidegauge.functions.scalars import iso_utc
+from tidegauge.functions.scalars import iso_utc, settled
 from tidegauge.operators import detectors, iforest, latest, windows
 from tidegauge.operators.sharding import grouped_quantiles
-from tidegauge.plans import batch
+from tidegauge.runtime import scratch_path
 
 WINDOW_VALUES = ", ".join(f"('{label}', INTERVAL '{length}' SECOND)" for label, length in v.HOURS)
 DAY_VALUES = ", ".join(f"('{label}', INTERVAL '{length}' SECOND)" for label, length in v.DAYS)
@@ -176,13 +176,109 @@ def feature_scaling(spark, sf):
     return iforest.scaling(iforest.training_rows(v.metrics(spark, sf)))
 
 
-def _forest(spark, sf):
-    return iforest.fit(iforest.training_rows(v.metrics(spark, sf)), ["symbol", "window_start"])
+# Metrics as the table stores them, with its decimals.
+_DIGITS = {"avg_price": 4, "std_dev": 6, "total_volume": 4, "vwap": 4}
+_STORED_SQL = f"""
+SELECT symbol, window_size, window_start, {", ".join(f"{v.half_up(c, d)} AS {c}" for c, d in _DIGITS.items())},
+       CAST(trade_count AS DOUBLE) AS trade_count FROM ({v.METRICS_SQL})"""
+_HASH = "('0x' || substr(md5({}), 1, {}))::BIGINT"
 
 
-@query()
+def _uniform_sql(what: str) -> str:
+    return f"{_HASH.format(f"'{iforest.SEED}|{what}|' || tree || '|' || node", 13)} / {float(1 << 52)}"
+
+
+def _level_sql(depth: int) -> str:
+    """Splits of one level of all trees, and the rows of the next."""
+    low, high = (", ".join(f"{how}(x[{i + 1}])" for i in range(5)) for how in ("min", "max"))
+    return f"""
+s{depth} AS (
+  SELECT tree, node, count(*) AS size, [{low}] AS low, [{high}] AS high FROM l{depth} GROUP BY tree, node),
+u{depth} AS (SELECT *, list_filter([1, 2, 3, 4, 5], lambda i: high[i] > low[i]) AS usable FROM s{depth}),
+f{depth} AS (
+  SELECT *, CASE WHEN len(usable) > 0 AND {depth} < (SELECT depth FROM p)
+                 THEN usable[CAST(floor(({_uniform_sql("feature")}) * len(usable)) AS INTEGER) + 1] END AS feature FROM u{depth}),
+n{depth} AS (
+  SELECT tree, node, feature, low[feature] + ({_uniform_sql("split")}) * (high[feature] - low[feature]) AS split, size, {depth} AS depth
+  FROM f{depth}),
+l{depth + 1} AS (
+  SELECT tree, node * 2 + CASE WHEN x[feature] > split THEN 2 ELSE 1 END AS node, x
+  FROM l{depth} JOIN n{depth} USING (tree, node) WHERE feature IS NOT NULL)"""
+
+
+def _top_sql(rows: str) -> str:
+    return f"SELECT * FROM ({rows}) QUALIFY row_number() OVER (PARTITION BY symbol ORDER BY window_start DESC) <= 500"
+
+
+FOREST_SQL = f"""
+m AS MATERIALIZED ({_STORED_SQL}),
+top AS (SELECT * FROM ({_top_sql("FROM m")})),
+p AS (SELECT least(256, count(*)) AS sample, ceil(log2(greatest(least(256, count(*)), 2))) AS depth FROM top),
+sc AS (SELECT [{", ".join(f"avg({f})" for f in iforest.FEATURES)}] AS mean,
+              [{", ".join(f"coalesce(nullif(stddev_pop({f}), 0), 1)" for f in iforest.FEATURES)}] AS scale FROM top),
+z AS MATERIALIZED (
+  SELECT *, [{", ".join(f"({f} - mean[{i + 1}]) / scale[{i + 1}]" for i, f in enumerate(iforest.FEATURES))}] AS x FROM m, sc),
+h AS (SELECT symbol, window_start, x, {_HASH.format("symbol || '|' || epoch_us(window_start)", 8)} % {iforest.DRAW} AS hash
+      FROM z SEMI JOIN top USING (symbol, window_start)),
+t(tree, a, b) AS (VALUES {", ".join(f"({t}, {a}::BIGINT, {b}::BIGINT)" for t, (a, b) in ((t, iforest.draw_line(t)) for t in range(iforest.TREES)))}),
+l0 AS MATERIALIZED (
+  SELECT tree, 0 AS node, x FROM h, t
+  QUALIFY row_number() OVER (PARTITION BY tree ORDER BY (hash * a + b) % {iforest.DRAW}, symbol, window_start) <= (SELECT sample FROM p)),
+{",".join(_level_sql(d) for d in range(9))},
+nodes AS MATERIALIZED ({" UNION ALL ".join(f"FROM n{d}" for d in range(9))})"""
+
+_CORRECTION = f"CASE WHEN {{0}} > 2 THEN 2 * (ln({{0}} - 1) + {0.5772156649015329}) - 2 * ({{0}} - 1) / {{0}} WHEN {{0}} = 2 THEN 1 ELSE 0 END"
+
+
+def _step_sql(name: str, step: int) -> str:
+    return f"""
+{name}{step + 1} AS (
+  SELECT symbol, window_start, x, o.tree,
+         CASE WHEN feature IS NULL THEN o.node ELSE o.node * 2 + CASE WHEN x[feature] > split THEN 2 ELSE 1 END END AS node
+  FROM {name}{step} o JOIN nodes USING (tree, node))"""
+
+
+def scores_sql(rows: str = "z") -> str:
+    """Scores of `rows` (symbol, window_start, x), and the border of the training rows' scores."""
+    def walk(name: str, source: str) -> str:
+        start = f"{name}0 AS (SELECT symbol, window_start, x, tree, 0 AS node FROM {source}, range({iforest.TREES}) r(tree)),"
+        return f"""
+{start}
+{",".join(_step_sql(name, i) for i in range(8))},
+scored_{name} AS MATERIALIZED (
+  SELECT symbol, window_start,
+         {v.half_up(f"pow(2, -avg(depth + {_CORRECTION.format('size::DOUBLE')}) / (SELECT {_CORRECTION.format('sample::DOUBLE')} FROM p))", 9)} AS iso_score
+  FROM {name}8 JOIN nodes USING (tree, node) GROUP BY symbol, window_start)"""
+
+    return f"""{FOREST_SQL},{walk("w", "z")},
+border AS (SELECT quantile_cont(iso_score, 0.95) AS border FROM scored_w SEMI JOIN top USING (symbol, window_start))
+""" + ("" if rows == "z" else f",{walk('q', rows)}")
+
+
+_FLAGS_SQL = f"""
+WITH {scores_sql()}
+SELECT symbol, window_start, iso_score, 'isolation_forest' AS detection_method, 'ml_anomaly' AS anomaly_type,
+       CASE WHEN least(1, 0.5 + iso_score) >= 0.85 THEN 'critical' WHEN least(1, 0.5 + iso_score) >= 0.70 THEN 'high'
+            WHEN least(1, 0.5 + iso_score) >= 0.55 THEN 'medium' ELSE 'low' END AS severity,
+       {v.half_up("least(1, 0.5 + iso_score)", 6)} AS anomaly_score, avg_price AS value, {v.half_up("-iso_score", 6)} AS raw_isolation_score,
+       std_dev, trade_count
+FROM scored_w JOIN m USING (symbol, window_start) WHERE iso_score > (SELECT border FROM border)"""
+
+
+def stored_metrics(spark, sf):
+    rows = v.metrics(spark, sf)
+    return rows.withColumns({c: settled(F.col(c), d) for c, d in _DIGITS.items()})
+
+
+def forest(spark, sf):
+    return iforest.fit(iforest.training_rows(stored_metrics(spark, sf)), ["symbol", "window_start"])
+
+
+@query(f"""
+WITH {FOREST_SQL}
+SELECT tree, node, coalesce(feature - 1, -1) AS feature, {v.half_up("coalesce(split, 0)", 6)} AS split, size, depth FROM nodes""")
 def iforest_train(spark, sf):
-    return _forest(spark, sf).nodes
+    return forest(spark, sf).nodes
 
 
 @query(f"""
@@ -191,13 +287,28 @@ FROM range(100) r(t), (SELECT count(*) AS n FROM ({_TOP_SQL}))""")
 def iforest_shape(spark, sf):
     """What holds for every tree, however its splits were drawn."""
     leaf = F.col("feature") < 0
-    return _forest(spark, sf).nodes.groupBy(F.col("tree").cast("bigint").alias("tree")).agg(
+    return forest(spark, sf).nodes.groupBy(F.col("tree").cast("bigint").alias("tree")).agg(
         F.max(F.when(F.col("node") == 0, F.col("size"))).cast("bigint").alias("root_rows"),
         F.sum(F.when(leaf, F.col("size"))).cast("bigint").alias("leaf_rows"),
         (F.max("depth") <= 8).alias("shallow"), (F.count_if(leaf) == F.count_if(~leaf) + 1).alias("binary"))
 
 
-@query()
+def flag_rows(found):
+    """Flagged verdicts with what their context says."""
+    told = F.from_json("context", "raw_isolation_score DOUBLE, features STRUCT<std_dev: DOUBLE, trade_count: DOUBLE>")
+    return detectors.flagged(found).withColumn("_told", told).select(
+        "symbol", "window_start", settled(F.col("iso_score"), 9).alias("iso_score"), "detection_method", "anomaly_type", "severity", "anomaly_score", "value",
+        "_told.raw_isolation_score", "_told.features.std_dev", "_told.features.trade_count")
+
+
+@query(f"SELECT * REPLACE ({v.half_up('iso_score', 6)} AS iso_score) FROM ({_FLAGS_SQL})")
 def iforest_flags(spark, sf):
-    found = iforest.isolation_verdicts(v.metrics(spark, sf), _forest(spark, sf))
-    return detectors.flagged(found).select("symbol", "window_start", "iso_score", *batch.VERDICT[1:])
+    return flag_rows(iforest.isolation_verdicts(stored_metrics(spark, sf), forest(spark, sf)))
+
+
+@query(f"SELECT * REPLACE ({v.half_up('iso_score', 6)} AS iso_score) FROM ({_FLAGS_SQL})")
+def iforest_saved(spark, sf):
+    """The forest is saved, read again, and scores what it has not been fitted in this session for."""
+    path = scratch_path(spark, "forest")
+    forest(spark, sf).save(path)
+    return flag_rows(iforest.isolation_verdicts(stored_metrics(spark, sf), iforest.load(spark, path)))

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from catalog import views as v
 from catalog.registry import query
-from catalog.signals import _BAR_SQL, EPOCH
+from catalog.signals import _BAR_SQL, EPOCH, TRAILING_SQL, forest, scores_sql
 from tidegauge.runtime import scratch_path
+from tidegauge.operators.iforest import FEATURES, load
 from tidegauge.schemas import AGGREGATED_METRICS, ANOMALY_LOGS
-from tidegauge.sources import tables
+from tidegauge.sources import messages, tables
 from tidegauge.streaming import jobs
 
 
@@ -71,6 +72,40 @@ def stream_trailing_metrics(spark, sf):
                          *[F.col(c).cast("double").alias(c) for c in ("min_price", "max_price", "total_volume")])
 
 
+_MILLIS = "(SELECT * REPLACE (date_trunc('milliseconds', ts) AS ts) FROM events)"
+_STREAMED_SQL = TRAILING_SQL.replace("FROM events", f"FROM {_MILLIS}")
+
+
+@query(f"""
+WITH {scores_sql("y")
+      .replace(",\nq0 AS", f""",
+live AS MATERIALIZED (SELECT * FROM ({_STREAMED_SQL}) WHERE window_size = '5d'),
+y AS (SELECT symbol, window_start, [{", ".join(f"({f} - mean[{i + 1}]) / scale[{i + 1}]" for i, f in enumerate(FEATURES))}] AS x FROM live, sc),
+q0 AS""")},
+g AS (SELECT symbol, avg(price) AS price, avg(volume) AS volume FROM ({v.trades_sql("user_id")}) GROUP BY symbol)
+SELECT symbol AS key, symbol, 'ml_anomaly' AS anomaly_type,
+       CASE WHEN least(1, 0.5 + iso_score) >= 0.85 THEN 'critical' WHEN least(1, 0.5 + iso_score) >= 0.70 THEN 'high'
+            WHEN least(1, 0.5 + iso_score) >= 0.55 THEN 'medium' ELSE 'low' END AS severity,
+       {v.half_up("least(1, 0.5 + iso_score)", 6)} AS anomaly_score, {v.half_up("g.price", 4)} AS price, {v.half_up("g.volume", 4)} AS volume,
+       TIMESTAMP '2024-02-01' AS detected_at
+FROM scored_q JOIN g USING (symbol) WHERE iso_score > (SELECT border FROM border)""")
+def stream_forest(spark, sf):
+    """Trade messages as text, scored by a saved forest in the stream, and what it publishes read back."""
+    root = scratch_path(spark, "forest")
+    forest(spark, sf).save(f"{root}/model")
+    at = F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSxxx").alias("trade_timestamp")
+    texts = v.trades(spark, sf, "user_id").select(F.to_json(F.struct("symbol", "price", "volume", at)).alias("value"))
+    texts.write.text(f"{root}/in")
+    stream = jobs.trade_stream(spark.readStream.schema("value STRING").text(f"{root}/in"))
+    moment = F.lit("2024-02-01 00:00:00").cast("timestamp")
+    callback = jobs.detection(f"{root}/out", now=lambda: moment, forest=load(spark, f"{root}/model"), windows=v.DAYS, model_window="5d",
+                              publish=lambda found: found.write.mode("append").parquet(f"{root}/topic"))
+    jobs.run(stream, callback, f"{root}/checkpoint", once=True).awaitTermination()
+    topic = spark.read.schema("key STRING, value STRING").parquet(f"{root}/topic")
+    said = messages.decode_anomalies(topic, ["key"]).filter("detection_method = 'isolation_forest'")
+    return said.select("key", "symbol", "anomaly_type", "severity", "anomaly_score", "price", "volume", "detected_at")
+
+
 # Trades of three batches that interleave in time, with many equal ones: symbol, hour and rounded price are all they have.
 _BATCHES = 3
 _FILLS_SQL = f"""

@@ -69,8 +69,8 @@ def decode_sentiment(messages: DataFrame) -> DataFrame:
     return decode(messages, schemas.SENTIMENT_MSG)
 
 
-def decode_anomalies(messages: DataFrame) -> DataFrame:
-    return (decode(messages, schemas.ANOMALY_MSG)
+def decode_anomalies(messages: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
+    return (decode(messages, schemas.ANOMALY_MSG, keep)
             .withColumn("detected_at", parse_time(F.col("detected_at"))))
 
 
