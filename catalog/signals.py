@@ -154,6 +154,15 @@ def exact_quartiles(spark, sf):
     return grouped_quantiles(v.trades(spark, sf), ["symbol"], "price", (0.25, 0.5, 0.75), ("q1", "q2", "q3"))
 
 
+@query(f"""
+SELECT nullif(symbol, 'view') AS symbol, {v.half_up("quantile_cont(price, 0.25)", 6)} AS q1, {v.half_up("quantile_cont(price, 0.5)", 6)} AS q2,
+       {v.half_up("quantile_cont(price, 0.75)", 6)} AS q3 FROM ({v.trades_sql()}) GROUP BY ALL""")
+def quartiles_by_brackets(spark, sf):
+    """As above, with keys larger than what one task may hold, a null key among them."""
+    rows = v.trades(spark, sf).withColumn("symbol", F.nullif("symbol", F.lit("view")))
+    return grouped_quantiles(rows, ["symbol"], "price", (0.25, 0.5, 0.75), ("q1", "q2", "q3"), group_limit=30)
+
+
 _TOP_SQL = f"""
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY window_start DESC) AS rn
                FROM ({v.METRICS_SQL})) WHERE rn <= 500"""

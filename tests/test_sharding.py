@@ -104,6 +104,34 @@ def test_a_null_key_has_quantiles_on_both_paths(spark):
     assert both[0] == both[1] == [("X", 5.0), (None, 2.0)]
 
 
+@pytest.mark.parametrize("shape", ["ties", "two values", "spread", "infinite"])
+def test_quantiles_by_brackets_of_hard_keys(spark, shape):
+    """A key of 20,000 rows with next to no room: many rounds, ranks on the borders of ties."""
+    rng = np.random.default_rng(4)
+    values = {"ties": np.round(rng.exponential(1, 20_000), 1), "two values": np.r_[np.zeros(5000), np.ones(15_000)],
+              "spread": rng.normal(0, 1, 20_000) * 10.0 ** rng.integers(-9, 9, 20_000),
+              "infinite": np.r_[np.full(6000, -np.inf), rng.normal(0, 1, 8000), np.full(6000, np.inf)]}[shape]
+    rows = spark.createDataFrame([(None if i % 2 else "X", float(x), 1 + i % 3) for i, x in enumerate(rng.permutation(values))],
+                                 "symbol STRING, price DOUBLE, n INT").repartition(6)
+    probs, names = (0.25, 0.7500125, 1.0), ("a", "b", "c")
+    for weight in ("n",) if shape == "ties" else (None,):
+        both = []
+        for limit in (10**9, 100):
+            found = sharding.grouped_quantiles(rows, ["symbol"], "price", probs, names, group_limit=limit, weight=weight, accuracy=100)
+            both.append({r["symbol"]: [x for x in r[1:]] for r in found.collect()})
+        assert both[0].keys() == both[1].keys() == {None, "X"}
+        for key in both[0]:
+            assert both[0][key] == pytest.approx(both[1][key], rel=1e-12, nan_ok=True)
+
+
+def test_no_tally_is_stored(skewed, monkeypatch):
+    stored = []
+    plain = sharding.cut
+    monkeypatch.setattr(sharding, "cut", lambda df: stored.append(plain(df)) or stored[-1])
+    assert sharding.grouped_quantiles(skewed[1], ["symbol"], "price", (0.5,), ("m",), group_limit=100).count() == 41
+    assert stored and max(df.count() for df in stored) == 41
+
+
 @pytest.mark.parametrize("odd", [float("inf"), float("-inf"), float("nan")])
 def test_odd_prices_flag_nothing(spark, odd):
     rows = spark.createDataFrame([("A", 100.0 + i % 3 if i != 4 else odd, 10.0, i, i) for i in range(12)],

@@ -8,6 +8,8 @@ size, and the general way beside it gives the same rows.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -17,6 +19,8 @@ from tidegauge.runtime import cut
 
 GROUP_LIMIT = 2_000_000       # rows of one key that one task may sort
 VALUE_LIMIT = 50_000          # values of one key that one in-memory percentile may hold
+SKETCH = 10_000               # accuracy of the sketches that narrow the search for a quantile
+PIVOTS = 1_000                # values that a sketch proposes; a bracket narrows to three of their gaps
 LOOKUP_ROWS = 500_000         # broadcast bounds, both are checked
 LOOKUP_BYTES = 64 * 1024 * 1024
 CHUNK_ROWS = 1_000_000
@@ -121,44 +125,117 @@ def preceding_rows(df: DataFrame, keys: Sequence[str], order: Sequence[str], row
             .filter(F.col("_home") == 0).drop("_pos", "_home", "_chunk"))
 
 
+def _coded(keys: Sequence[str]) -> dict[str, Column]:
+    """Columns that join null keys too: a text and a flag for each key."""
+    codes = {f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(keys)}
+    return codes | {f"_z{i}": F.col(k).isNull() for i, k in enumerate(keys)}
+
+
+def _ranked_quantiles(tally: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
+    """Built-in percentile over few different values of each key, weighted by their counts."""
+    found = tally.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), F.col("_n")).alias("_q"))
+    return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
+
+
 def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float],
-                      names: Sequence[str], group_limit: int = VALUE_LIMIT, weight: str | None = None) -> DataFrame:
-    """Exact quantiles per key with linear interpolation; a null key is a key like others.
+                      names: Sequence[str], group_limit: int = VALUE_LIMIT, weight: str | None = None,
+                      accuracy: int = SKETCH) -> DataFrame:
+    """Exact quantiles per key with linear interpolation; a null key is a key like others. Null and NaN values don't count.
 
     `weight` names a column that says how many rows a row stands for.
 
-    Rows are first counted per (key, value), which folds ties on the map side. Keys with
-    few distinct values use the built-in percentile weighted by those counts. Otherwise
-    the values are sorted globally, running counts give each value its rank range, and
-    the wanted ranks are picked by a conditional aggregate.
+    Keys of at most `group_limit` rows in all use the built-in percentile over values counted on the map side. With a larger
+    key, each wanted rank is searched for in a bracket of values, for all keys at once: a mergeable sketch of the
+    values inside the bracket proposes a narrower one, a second aggregate counts the rows below and inside, and the part that
+    holds the rank becomes the bracket. A round narrows a bracket about `accuracy` / 2 times, so two or three are enough for any
+    input. At last only the brackets' values are counted one by one. Nothing but brackets is ever stored.
     """
-    tally = cut(df.filter(F.col(value).isNotNull() & ~F.isnan(value))
-                .groupBy(*keys, value).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n")))
-    if largest_group(tally, keys) <= group_limit:
-        found = tally.groupBy(*keys).agg(
-            F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), F.col("_n")).alias("_q"))
-        return found.select(*keys, *[F.col("_q")[i].alias(name) for i, name in enumerate(names)])
-
-    segments = range_segments(tally, [*keys, value])
-    running = Window.partitionBy("_seg").orderBy("_idx").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (segments.withColumn("_upto", F.sum("_n").over(running))
-              .join(F.broadcast(segment_starts(segments, F.col("_n"))), "_seg")
-              .select(*keys, value, "_n", (F.col("_start") + F.col("_upto") - F.col("_n")).alias("_before")))
-    groups = ranked.groupBy(*keys).agg(F.min("_before").alias("_first"), F.sum("_n").alias("_total"))
-    # Joined by a text and a flag per key, so that null keys meet too.
-    codes = {f"_k{i}": F.coalesce(F.col(k).cast("string"), F.lit("")) for i, k in enumerate(keys)}
-    codes |= {f"_z{i}": F.col(k).isNull() for i, k in enumerate(keys)}
-    placed = (attach(ranked.withColumns(codes), groups.withColumns(codes).drop(*keys), list(codes))
-              .withColumn("_rank", F.col("_before") - F.col("_first")))
-
-    def at(rank: Column) -> Column:
-        return F.max(F.when((F.col("_rank") <= rank) & (rank < F.col("_rank") + F.col("_n")), F.col(value)))
-
-    picks, results = [], []
-    for i, (p, name) in enumerate(zip(probs, names)):
-        exact = (F.col("_total") - 1) * F.lit(float(p))
-        picks += [at(F.floor(exact)).alias(f"_lo{i}"), at(F.ceil(exact)).alias(f"_hi{i}"),
-                  F.max(exact - F.floor(exact)).alias(f"_part{i}")]
-        low, high = F.col(f"_lo{i}"), F.col(f"_hi{i}")
-        results.append((low + (high - low) * F.col(f"_part{i}")).alias(name))
-    return placed.groupBy(*keys).agg(*picks).select(*keys, *results)
+    number = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
+    rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(
+        *keys, F.col(value).cast("double").alias("_v"), number.alias("_w"))
+    if largest_group(rows, keys) <= group_limit:
+        tally = rows.groupBy(*keys, F.col("_v").alias(value)).agg(F.sum("_w").alias("_n"))
+        return _ranked_quantiles(tally, keys, value, probs, names)
+
+    codes = _coded(keys)
+    rows = rows.withColumns(codes)
+    many = range(len(probs))
+    exact = [(F.col("_total") - 1) * F.lit(float(p)) for p in probs]
+    ends = rows.groupBy(*codes).agg(
+        *[F.first(k).alias(k) for k in keys], F.sum("_w").alias("_total"), F.min("_v").alias("_min"), F.max("_v").alias("_max")).select(
+        *codes, *keys, "_total", *[F.col(f"_{end}").alias(f"{name}{i}") for i in many for end, name in (("min", "_lo"), ("max", "_hi"))])
+    state = _counted(rows, cut(ends), list(codes), keys, many)
+    wide = reduce(or_, [F.col(f"_inner{i}") > group_limit for i in many])
+    while state.agg(F.bool_or(wide)).first()[0]:
+        ends = _narrowed(rows, state, list(codes), keys, exact, group_limit, accuracy)
+        state = _counted(rows, ends, list(codes), keys, many)
+
+    # Few rows are left between the ends of each bracket; values are counted, which folds ties.
+    left = attach(rows, state.drop(*keys), list(codes), fixed=True)
+    picks = left.select(*codes, "_v", "_w", F.inline(F.filter(F.array(*[
+        F.struct(F.lit(i).alias("_i"), _inside(i).alias("_is")) for i in many]), lambda e: e["_is"])))
+    tally = picks.groupBy(*codes, "_i", "_v").agg(F.sum("_w").alias("_n"))
+    upto = F.sum("_n").over(Window.partitionBy(*codes, "_i").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0))
+    placed = attach(tally.withColumn("_upto", upto), state.drop(*keys), list(codes), fixed=True)
+    results = []
+    for i, rank in enumerate(exact):
+        start = F.col(f"_below{i}") + F.col("_upto") - F.col("_n")
+        at = [F.max(F.when((F.col("_i") == i) & (start <= r) & (r < start + F.col("_n")), F.col("_v"))) for r in (F.floor(rank), F.ceil(rank))]
+        results.append((at[0] + F.when(at[0] == at[1], 0.0).otherwise((at[1] - at[0]) * F.max(rank - F.floor(rank)))).alias(names[i]))
+    found = placed.groupBy(*codes).agg(*results)
+    return state.select(*codes, *keys).join(found, list(codes)).select(*keys, *names)
+
+
+def _inside(i: int) -> Column:
+    return (F.col("_v") >= F.col(f"_lo{i}")) & (F.col("_v") <= F.col(f"_hi{i}"))
+
+
+def _weight(which: Column) -> Column:
+    return F.sum(F.when(which, F.col("_w")).otherwise(0))
+
+
+def _counted(rows: DataFrame, ends: DataFrame, codes: list[str], keys: Sequence[str], many: range) -> DataFrame:
+    """Brackets with the rows below them, at their lower end, and strictly between their ends."""
+    value = F.col("_v")
+    counted = attach(rows, ends.drop(*keys), codes, fixed=True).groupBy(*codes).agg(*[c for i in many for c in (
+        _weight(value < F.col(f"_lo{i}")).alias(f"_below{i}"), _weight(value == F.col(f"_lo{i}")).alias(f"_at{i}"),
+        _weight((value > F.col(f"_lo{i}")) & (value < F.col(f"_hi{i}"))).alias(f"_inner{i}"))])
+    return cut(ends.join(counted, codes))
+
+
+def _narrowed(rows: DataFrame, state: DataFrame, codes: list[str], keys: Sequence[str], exact: Sequence[Column],
+              limit: int, accuracy: int) -> DataFrame:
+    """Ends of narrower brackets for those with more than `limit` rows between their ends.
+
+    The sketch sees what lies strictly between the ends, so that a value that many rows share does not hide the others. Its
+    pivots on both sides of where the rank should be are the new ends; a count then says whether they are.
+    """
+    value, many = F.col("_v"), range(len(exact))
+    steps = F.array(*[F.lit(s / PIVOTS) for s in range(PIVOTS + 1)])
+    joined = attach(rows, state.drop(*keys), codes, fixed=True)
+    sketches = joined.groupBy(*codes).agg(*[F.percentile_approx(
+        F.when((value > F.col(f"_lo{i}")) & (value < F.col(f"_hi{i}")) & (F.col(f"_inner{i}") > limit), value), steps, F.lit(accuracy)).alias(f"_s{i}")
+        for i in many])
+    proposed = []
+    for i, rank in enumerate(exact):
+        place = F.floor(F.try_divide(rank - F.col(f"_below{i}") - F.col(f"_at{i}"), F.col(f"_inner{i}")) * PIVOTS)
+        low = F.when(place >= 1, F.get(f"_s{i}", F.least(place, F.lit(PIVOTS)).cast("int") - 1))
+        high = F.when(place <= PIVOTS - 2, F.get(f"_s{i}", F.greatest(place, F.lit(-1)).cast("int") + 2))
+        proposed += [F.coalesce(low, F.col(f"_lo{i}")).alias(f"_a{i}"), F.coalesce(high, F.col(f"_hi{i}")).alias(f"_b{i}")]
+    proposal = cut(state.join(sketches, codes).select(*state.columns, *proposed))
+    counted = attach(rows, proposal.drop(*keys), codes, fixed=True).groupBy(*codes).agg(*[c for i in many for c in (
+        _weight(value < F.col(f"_a{i}")).alias(f"_x{i}"), _weight(value <= F.col(f"_b{i}")).alias(f"_y{i}"),
+        F.max(F.when(_inside(i) & (value < F.col(f"_a{i}")), value)).alias(f"_u{i}"),
+        F.min(F.when(_inside(i) & (value > F.col(f"_b{i}")), value)).alias(f"_o{i}"))])
+    ends = []
+    for i, rank in enumerate(exact):
+        first, last = F.floor(rank), F.ceil(rank)
+        left, right = first < F.col(f"_x{i}"), last >= F.col(f"_y{i}")
+        # A neighbour of the rank outside the proposal is the value next to it, or lies with the other one on that side.
+        low = (F.when(left & (last < F.col(f"_x{i}")), F.col(f"_lo{i}")).when(left, F.col(f"_u{i}"))
+               .when(right & (first >= F.col(f"_y{i}")), F.col(f"_o{i}")).otherwise(F.col(f"_a{i}")))
+        high = (F.when(right & (first >= F.col(f"_y{i}")), F.col(f"_hi{i}")).when(right, F.col(f"_o{i}"))
+                .when(left & (last < F.col(f"_x{i}")), F.col(f"_u{i}")).otherwise(F.col(f"_b{i}")))
+        kept = F.col(f"_inner{i}") <= limit
+        ends += [F.when(kept, F.col(f"_lo{i}")).otherwise(low).alias(f"_lo{i}"), F.when(kept, F.col(f"_hi{i}")).otherwise(high).alias(f"_hi{i}")]
+    return cut(proposal.join(counted, codes).select(*codes, *keys, "_total", *ends))
