@@ -9,10 +9,9 @@ packing also goes to the next island. A block's best packing over all islands is
 from __future__ import annotations
 
 import os
-import re
 import sys
 import zlib
-from array import array
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -21,7 +20,7 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidegauge.llm.texts import MEMO_WORDS, keyed_texts, map_batches, written
+from tidegauge.llm.texts import keyed_texts, map_batches, worker_shared, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -32,63 +31,113 @@ ISLANDS = 3
 EPOCHS = 2
 POPULATION = 4
 CHILDREN = 5
-_MARK = re.compile(r"(?<=[^\W\d_])([.,])(?=[ \n]|$)")
+# Parts that are joined for encoding, and bytes that a memo may hold.
+JOINED, MEMO_BYTES = 64, 128 * 1024 * 1024
+_MARKS = ".,;:!?#$%&*)"
+
+
+def _plain(text: str) -> bool:
+    """Whether all characters are of the first 256: those letters are lower-cased one by one and don't join a mark."""
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
 
 
 class Tokens(dict):
-    """Memo from parts of texts without spaces to their ids as little-endian bytes.
+    """Memo from parts of texts without spaces to their ids as little-endian bytes, of bounded size.
 
     The vocabulary's normaliser and pre-tokeniser never join characters across a space or line break, so
-    parts between them have the ids that they have in the whole text.
+    parts between them have the ids that they have in the whole text. Unknown parts of letters alone are encoded many at
+    a time, joined by spaces: each is one word, so its ids end with the first id that closes a word. Other parts, and
+    joined ones whose closed words are not as many, go one by one.
     """
 
-    def __init__(self, vocabulary: str):
+    def __init__(self, vocabulary: str, most: int = MEMO_BYTES):
         super().__init__({"": b""})
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
-        self.tokenizer = Tokenizer.from_str(vocabulary)
+        self.tokenizer, self.most, self.held = Tokenizer.from_str(vocabulary), most, 0
+        known = self.tokenizer.get_vocab()
+        self.closes = np.zeros(max(known.values()) + 1, bool)
+        self.closes[[number for token, number in known.items() if token.endswith("</w>")]] = True
 
     @staticmethod
     def parts(text: str) -> list[str]:
-        """The text cut at spaces, line breaks, and between a letter and a mark that ends its part.
+        """The text cut at spaces and line breaks.
 
-        A mark never joins a letter in front of it, and letters of these alphabets are lower-cased one by one,
-        so equal words in other places and cases share an entry. A text with a special token's start stays as it is.
+        Letters of these alphabets are lower-cased one by one, so equal words in other cases share an entry. A text with
+        a special token's start stays as it is.
         """
-        if "<|" not in text and (not text or text.isascii() or max(text) < "\u0130"):
-            text = _MARK.sub(r" \1", text.lower())
+        if "<|" not in text and _plain(text):
+            text = text.lower()
         return text.replace("\n", " ").split(" ")
 
+    def _encoded(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, "<u4") for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def learn(self, parts: set[str]) -> None:
-        """Ids of parts that the memo lacks."""
-        new = list(parts.difference(self))
-        for at in range(0, len(new), 4096):
-            some = new[at:at + 4096]
-            for part, found in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                self[part] = array("I", found.ids).tobytes()
+        """Ids of parts that the memo lacks. Marks never join a letter in front of them, so a word and its marks are put together."""
+        joined = [p for p in parts if p.isalpha()]
+        rest = [p for p in parts if not p.isalpha()]
+        marked = [(p, stem, p[len(stem):]) for p, stem in zip(rest, [p.rstrip(_MARKS) for p in rest])
+                  if stem.isalpha() and (stem.isascii() or _plain(stem))]
+        alone = list(set(rest).difference([p for p, _, _ in marked]))
+        extra = {x for _, *both in marked for x in both}.difference(parts)
+        joined += [x for x in extra if x not in self and x.isalpha()]
+        alone += [x for x in extra if x not in self and not x.isalpha()]
+        first = len(self)
+        groups = [joined[at:at + JOINED] for at in range(0, len(joined), JOINED)]
+        for group, ids in zip(groups, self._encoded([" ".join(g) for g in groups])):
+            ends = 4 * (np.flatnonzero(self.closes[ids]) + 1)
+            if len(ends) != len(group) or ends[-1] != 4 * len(ids):
+                alone += group
+                continue
+            places = ends.tolist()
+            self.update(zip(group, map(ids.tobytes().__getitem__, map(slice, [0, *places], places))))
+        for at in range(0, len(alone), 4096):
+            some = alone[at:at + 4096]
+            self.update(zip(some, (ids.tobytes() for ids in self._encoded(some))))
+        self.update((p, self[stem] + self[marks]) for p, stem, marks in marked)
+        # About what an entry takes: the text, its bytes of ids, and both objects.
+        made = islice(self.items(), first, None)
+        self.held += sum(160 + len(p) + len(ids) for p, ids in made)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [self.parts(t) for t in texts]
-        fresh = set()
-        for parts in split:
-            fresh.update(parts)
-        if len(self) > MEMO_WORDS:
+        if self.held > self.most:
             self.clear()
-            self[""] = b""
-        self.learn(fresh)
-        return [b"".join(map(self.__getitem__, parts)) for parts in split]
+            self[""], self.held = b"", 0
+        split = [self.parts(t) for t in texts]
+        found = [list(map(self.get, parts)) for parts in split]
+        gaps = [(ids, parts, _places(ids)) for ids, parts in zip(found, split) if None in ids]
+        self.learn({parts[at] for _, parts, places in gaps for at in places})
+        for ids, parts, places in gaps:
+            for at in places:
+                ids[at] = self[parts[at]]
+        return list(map(b"".join, found))
+
+
+def _places(ids: list) -> list[int]:
+    """Where a list holds None."""
+    places, at = [], -1
+    for _ in range(ids.count(None)):
+        at = ids.index(None, at + 1)
+        places.append(at)
+    return places
 
 
 def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key: str = "doc_id",
                      text: str = "text") -> DataFrame:
     """Pieces of every document: its ids and the separator, cut every `capacity` ids."""
     with open(path, encoding="utf-8") as file:
-        shipped = docs.sparkSession.sparkContext.broadcast(file.read())
+        vocabulary = file.read()
+    shipped, mark = docs.sparkSession.sparkContext.broadcast(vocabulary), zlib.crc32(vocabulary.encode())
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()),
                         ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
     def make():
-        tokens, end = Tokens(shipped.value), np.array([SEPARATOR], "<u4").tobytes()
+        tokens, end = worker_shared(("tokens", mark), lambda: Tokens(shipped.value)), np.array([SEPARATOR], "<u4").tobytes()
 
         def work(batch):
             rows = []
@@ -236,8 +285,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, block: int = BLOCK, island
         return evolve
 
     state = dealt.select("_block", "length").groupBy("_block").applyInPandas(start, _STATE)
+    # A stated number of tasks: a state is small and its search is not, so adaptive execution would merge all into one task.
+    spread = min(blocks * islands, 4 * rows.sparkSession.sparkContext.defaultParallelism)
     for epoch in range(epochs):
-        state = state.groupBy("block", "island").applyInPandas(run(epoch), _STATE)
+        state = state.repartition(spread, "block", "island").groupBy("block", "island").applyInPandas(run(epoch), _STATE)
     placed = "_id BIGINT, sequence_id BIGINT, offset BIGINT"
 
     def settle(own: pd.DataFrame, state: pd.DataFrame) -> pd.DataFrame:

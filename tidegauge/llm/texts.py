@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import sys
+import types
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -67,6 +68,21 @@ def filter_batches(rows: DataFrame, make: Callable[[], Callable]) -> DataFrame:
     return rows.mapInArrow(run, rows.schema)
 
 
+# Name under which a Python worker keeps what its tasks share; the module is made in the worker and holds nothing else.
+_SHARED = "tidegauge_worker_memo"
+
+
+def worker_shared(key: tuple, make: Callable[[], object]) -> object:
+    """What `make()` gave the first time in this Python worker: later tasks of the worker use it again.
+
+    One of each kind (the key's first entry) is kept, so that a worker holds no more than one task would.
+    """
+    kept = sys.modules.setdefault(_SHARED, types.ModuleType(_SHARED)).__dict__
+    if kept.get(key[0], (None, None))[0] != key:
+        kept[key[0]] = key, make()
+    return kept[key[0]][1]
+
+
 # Folders written inside each running `settled`.
 _FOLDERS: list[list[str]] = []
 
