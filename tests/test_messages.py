@@ -143,6 +143,16 @@ def test_create_tables_twice(spark, tmp_path):
     spark.sql("DROP DATABASE market CASCADE")
 
 
+def test_bounds_agree_with_casts(spark):
+    """Fixed values around the bounds of a decimal with ten digits, six of them after the point."""
+    values = [0.0, -0.0, 9999.9999994, 9999.9999995, 9999.99999949999, -9999.9999995, 1e4, -1e4, 9999.999999, 1e300, -1e300, float("inf"),
+              float("-inf"), float("nan"), None, 5e-7, 0.1 + 0.2]
+    rows = spark.createDataFrame([(x,) for x in values], "anomaly_score DOUBLE").select("*", F.col("anomaly_score").cast("float").alias("f"))
+    for column in ("anomaly_score", "f"):
+        got = rows.select(F.col(column).isNotNull() & quality.fits(rows, column, "DECIMAL(10,6)"), F.col(column).try_cast("DECIMAL(10,6)").isNotNull())
+        assert all(bool(a) == b for a, b in got.collect())
+
+
 def test_tables_by_name_and_by_path_are_the_same(spark, tmp_path):
     """Rows written before the table was created, by name, as a batch, and a batch written again with other days."""
     root, day = str(tmp_path / "t"), lambda d: F.to_timestamp(F.lit(f"2024-01-0{d} 10:00:00"))
