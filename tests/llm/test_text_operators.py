@@ -238,7 +238,7 @@ def test_gru_gradients_and_accuracy(spark):
 
 
 def test_language_sample_ignores_copies_and_partitions(documents):
-    how = langid.Training(docs=20, words=300, epochs=1)
+    how = langid.Training(docs=20, windows=300, epochs=1)
     known = documents.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~langid.held_out("doc_id"))
     one = known.orderBy("doc_id").limit(1)
     copies = one.withColumn("doc_id", F.explode(F.sequence(F.lit(1_000_000), F.lit(1_000_600)).cast("array<bigint>")))
@@ -254,7 +254,28 @@ def test_languages_of_odd_texts(odd):
 
 
 def test_numerals_are_no_letters():
-    assert langid.stretches("x² Ⅳ") == ["x²", "ⅳ"] and langid.stretches("12 ² ① Ⅳ ½") == [] == langid.stretches(None)
+    assert langid.has_letter("x² Ⅳ") and not any(map(langid.has_letter, ["12 ² ① Ⅳ ½", "", None, "... 7"]))
+
+
+def test_windows_label_as_the_uncut_text_does(documents):
+    network = langid.train(documents, langid.Training(docs=100, windows=2000, epochs=2))
+    texts = [t.lower().encode() for _, t in pairs(documents) if len(t) > 1200][:40] + [b"z", b"ab" * langid.WINDOW, b"q" * (langid.WINDOW + 1)]
+    for raw, sums in zip(texts, langid.Predictor(network).sums(texts)):
+        whole = network.positions(np.frombuffer(raw, np.uint8)[None]).sum(axis=(0, 1))
+        # Every byte is labelled once, by states that have run on for long enough.
+        assert abs(sums.sum() - len(raw)) < 1e-3 * len(raw) and np.abs(whole - sums).max() < 0.01 * len(raw)
+
+
+def test_training_reads_from_anywhere_and_bounds_languages(spark):
+    # Only what follows a long common head tells the languages apart.
+    head = "0123456789 " * 50
+    rows = [(i, head + ("alpha beta gamma " if i % 2 else "uno dos tres ") * 300 + str(i), "ab"[i % 2]) for i in range(60)]
+    rows += [(1000 + i, f"junk {i}", f"label{i}") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id BIGINT, text STRING, lang STRING")
+    network = langid.train(docs, langid.Training(chars=500, langs=2, windows=400))
+    assert network.langs == ["a", "b"]
+    found = langid.identify(docs.filter("doc_id < 1000"), network).join(docs.select("doc_id", "lang"), "doc_id")
+    assert found.filter("lang != lang_pred").count() == 0
 
 
 def shingles(text):

@@ -1,14 +1,13 @@
 """Language identification with a bidirectional gated recurrent network over bytes.
 
-The network reads the UTF-8 bytes of letters, labels every position from both directions, and is trained in
-numpy by backpropagation through time. A document's probabilities are the mean over all its positions. States
-start anew at every break between letters, and after a fixed number of letters within a long word, so equal
-stretches have equal positions and a task computes each stretch once.
+The network reads all UTF-8 bytes of a text in lower case, labels every position from both directions, and is trained
+in numpy by backpropagation through time. A document's probabilities are the mean over all its positions. States run
+on through the text: it is taken in windows that a task computes side by side, and each window's states are warmed up
+on the bytes before and after it, whose labels are left to the neighbouring windows.
 """
 
 from __future__ import annotations
 
-import re
 import sys
 from dataclasses import dataclass
 
@@ -18,45 +17,54 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.llm.texts import MEMO_WORDS, filter_batches, map_batches
+from tidegauge.llm.texts import filter_batches, map_batches
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 UNKNOWN = "und"
 FOLDS = 5
-# Letters of one stretch: states start anew after as many.
-STRETCH = 6
-# Bytes that a stretch may have, with a space before and after it.
-_WIDTH = 4 * STRETCH + 2
-_LETTERS = re.compile(r"[^\W\d_]{1,%d}" % STRETCH)
+# Bytes that a window labels, and bytes before and after them that only warm up its states.
+WINDOW = 512
+WARM = 32
+# Windows that run side by side.
+SIDE = 1024
 
 
-def stretches(text: str | None) -> list[str]:
-    """All letters of a text in stretches, lower-cased; none for a text of numerals such as Roman ones or powers alone."""
-    found = _LETTERS.findall(text.lower()) if text else []
-    return found if any(c.isalpha() for word in found for c in word) else []
+def has_letter(text: str | None) -> bool:
+    """Whether a text has a letter; numerals such as Roman ones or powers are none."""
+    return bool(text) and any(map(str.isalpha, text))
 
 
 @dataclass(frozen=True)
 class Training:
     """Bounds of the training sample and the network.
 
-    `docs` documents of each language, drawn by hash, give their first `chars` characters, from which `words`
-    stretches are drawn. The bounds hold for training alone; prediction reads every byte of every text.
+    `docs` different texts of each of the `langs` most frequent languages, drawn by hash, give a stretch of `chars`
+    characters from a place that the hash draws too. From these `windows` windows of `width` bytes, as many of each
+    language, are drawn. The bounds hold for training alone; prediction reads every byte of every text.
     """
 
     docs: int = 300
     chars: int = 4000
-    words: int = 16_000
-    hidden: int = 12
-    epochs: int = 6
-    batch: int = 256
+    langs: int = 200
+    windows: int = 6000
+    width: int = 64
+    hidden: int = 8
+    epochs: int = 4
+    batch: int = 128
     rate: float = 0.01
     seed: int = 7
 
 
-def _sigmoid(x: np.ndarray) -> np.ndarray:
-    return 0.5 * np.tanh(0.5 * x) + 0.5
+def _gate(x: np.ndarray) -> np.ndarray:
+    """Piecewise linear gate: a sigmoid would take most of the time that a position takes."""
+    x *= 0.25
+    x += 0.5
+    return np.clip(x, 0, 1, out=x)
+
+
+def _slope(gate: np.ndarray) -> np.ndarray:
+    return np.where((gate > 0) & (gate < 1), 0.25, 0).astype(gate.dtype)
 
 
 class Direction:
@@ -71,18 +79,29 @@ class Direction:
         self.cand = rng.normal(0, spread, (hidden, hidden)).astype(np.float32)
 
     def run(self, codes: np.ndarray, keep: np.ndarray | None = None, trace: list | None = None) -> np.ndarray:
-        """States after each position; where `keep` is false the state stays. codes: words x positions."""
+        """States after each position; where `keep` is false the state stays. codes: windows x positions."""
         n, length = codes.shape
         h = self.cand.shape[0]
-        state = np.zeros((n, h), np.float32)
-        out = np.empty((length, n, h), np.float32)
-        for t in range(length):
-            x = self.table[codes[:, t]]
-            gate = _sigmoid(x[:, :2 * h] + state @ self.gates)
-            z, r = gate[:, :h], gate[:, h:]
+        # Gates lie apart and in order of time, so that each step works on whole arrays.
+        of_z, of_r, of_c = (np.ascontiguousarray(self.table[:, i * h:(i + 1) * h]) for i in range(3))
+        to_z, to_r = (np.ascontiguousarray(self.gates[:, i * h:(i + 1) * h]) for i in range(2))
+        steps = np.ascontiguousarray(codes.T).astype(np.intp)
+        state = np.zeros((n, h), self.cand.dtype)
+        out = np.empty((length, n, h), self.cand.dtype)
+        for t, byte in enumerate(steps):
+            z = state @ to_z
+            z += of_z.take(byte, axis=0)
+            z = _gate(z)
+            r = state @ to_r
+            r += of_r.take(byte, axis=0)
+            r = _gate(r)
             held = r * state
-            c = np.tanh(x[:, 2 * h:] + held @ self.cand)
-            new = state + z * (c - state)
+            c = held @ self.cand
+            c += of_c.take(byte, axis=0)
+            np.tanh(c, out=c)
+            new = c - state
+            new *= z
+            new += state
             if keep is not None:
                 new = np.where(keep[:, t, None], new, state)
             if trace is not None:
@@ -91,7 +110,7 @@ class Direction:
         return out
 
     def back(self, codes, keep, trace, above) -> dict[str, np.ndarray]:
-        """Gradients by backpropagation through time; above: gradients of the states, positions x words x hidden."""
+        """Gradients by backpropagation through time; above: gradients of the states, positions x windows x hidden."""
         h = self.cand.shape[0]
         grads = {name: np.zeros_like(getattr(self, name)) for name in self.NAMES}
         carried = np.zeros_like(above[0])
@@ -100,9 +119,9 @@ class Direction:
             mask = keep[:, t, None]
             total = above[t] + carried
             d = np.where(mask, total, 0)
-            dz, dc = d * (c - state) * z * (1 - z), d * z * (1 - c * c)
+            dz, dc = d * (c - state) * _slope(z), d * z * (1 - c * c)
             dheld = dc @ self.cand.T
-            dr = dheld * state * r * (1 - r)
+            dr = dheld * state * _slope(r)
             dgate = np.concatenate([dz, dr], axis=1)
             grads["cand"] += held.T @ dc
             grads["gates"] += state.T @ dgate
@@ -128,21 +147,28 @@ class Network:
         ahead = self.sides[0].run(codes, keep, traces and traces[0])
         # Read backwards, padding comes first and leaves the state at its start.
         behind = self.sides[1].run(codes[:, ::-1], None if keep is None else keep[:, ::-1], traces and traces[1])[::-1]
-        return np.concatenate([ahead, behind], axis=2)
+        return ahead, behind
+
+    def _probabilities(self, ahead: np.ndarray, behind: np.ndarray) -> np.ndarray:
+        h = len(self.top) // 2
+        p = ahead @ self.top[:h]
+        p += behind @ self.top[h:]
+        p += self.bias
+        # Beyond these bounds a probability is nil to single precision.
+        np.exp(np.clip(p, -40, 40, out=p), out=p)
+        p /= p @ np.ones((p.shape[2], 1), p.dtype)
+        return p
 
     def positions(self, codes: np.ndarray, keep: np.ndarray | None = None) -> np.ndarray:
-        """Probabilities of each language at each position: positions x words x languages."""
-        score = self.states(codes, keep) @ self.top + self.bias
-        score = np.exp(score - score.max(axis=2, keepdims=True))
-        return score / score.sum(axis=2, keepdims=True)
+        """Probabilities of each language at each position: positions x windows x languages."""
+        return self._probabilities(*self.states(codes, keep))
 
     def gradients(self, codes, keep, lang) -> tuple[float, list[np.ndarray]]:
         """Mean loss over all positions, and its gradients in the order of `weights`."""
         traces: tuple[list, list] = ([], [])
-        states = self.states(codes, keep, traces)
-        score = states @ self.top + self.bias
-        score = np.exp(score - score.max(axis=2, keepdims=True))
-        p = score / score.sum(axis=2, keepdims=True)
+        ahead, behind = self.states(codes, keep, traces)
+        p = self._probabilities(ahead, behind)
+        states = np.concatenate([ahead, behind], axis=2)
         mask, rows = keep.T.astype(np.float32), np.arange(len(lang))
         loss = -(np.log(p[:, rows, lang] + 1e-9) * mask).sum() / mask.sum()
         d = p
@@ -157,13 +183,13 @@ class Network:
         return float(loss), [*(first[n] for n in Direction.NAMES), *(second[n] for n in Direction.NAMES),
                              top, d.sum(axis=(0, 1))]
 
-    def learn(self, words: list[bytes], lang: np.ndarray, how: Training) -> list[float]:
+    def learn(self, windows: list[bytes], lang: np.ndarray, how: Training) -> list[float]:
         """Train with Adam; the loss after each epoch."""
         rng = np.random.default_rng(how.seed)
-        codes, keep = padded(words)
+        codes, keep = padded(windows)
         weights, moments, losses, step = self.weights(), {}, [], 0
         for epoch in range(how.epochs):
-            order, total = rng.permutation(len(words)), []
+            order, total = rng.permutation(len(windows)), []
             for at in range(0, len(order), how.batch):
                 part = order[at:at + how.batch]
                 width = int(keep[part].sum(axis=1).max())
@@ -179,61 +205,57 @@ class Network:
         return losses
 
 
-def padded(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Byte codes with a space before and after each stretch, and which positions are filled."""
-    codes = np.zeros((len(words), _WIDTH), np.uint8)
-    keep = np.zeros(codes.shape, bool)
-    for i, w in enumerate(words):
-        own = b" " + w + b" "
-        codes[i, :len(own)] = np.frombuffer(own, np.uint8)
-        keep[i, :len(own)] = True
+def padded(windows: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Byte codes of windows, and which positions are filled."""
+    sizes = np.array([len(w) for w in windows])
+    keep = np.arange(sizes.max()) < sizes[:, None]
+    codes = np.zeros(keep.shape, np.uint8)
+    codes[keep] = np.frombuffer(b"".join(windows), np.uint8)
     return codes, keep
 
 
 class Predictor:
-    """Probabilities of texts with a memo of stretches."""
+    """Probabilities of texts."""
 
     def __init__(self, network: Network):
-        self.network, self.memo = network, {}
-        self.rows = np.zeros((0, len(network.langs) + 1), np.float32)
-
-    def _learn(self, words: list[str]) -> None:
-        """Sums over positions, and their number, of stretches that the memo lacks."""
-        raw = [b" " + w.encode() + b" " for w in words]
-        made = np.empty((len(words), self.rows.shape[1]), np.float32)
-        sizes = np.array([len(w) for w in raw])
-        for size in np.unique(sizes):
-            chosen = np.flatnonzero(sizes == size)
-            for at in range(0, len(chosen), 2048):
-                some = chosen[at:at + 2048]
-                codes = np.frombuffer(b"".join([raw[i] for i in some]), np.uint8).reshape(len(some), size)
-                made[some, :-1] = self.network.positions(codes).sum(axis=0)
-                made[some, -1] = size
-        base = len(self.rows)
-        self.rows = np.concatenate([self.rows, made])
-        self.memo.update(zip(words, range(base, base + len(words))))
+        self.network = network
+
+    def sums(self, raws: list[bytes]) -> np.ndarray:
+        """For each text the sums of the probabilities over all its positions."""
+        owner, parts, first, last = [], [], [], []
+        for i, raw in enumerate(raws):
+            for at in range(0, len(raw), WINDOW):
+                start, end = max(0, at - WARM), min(at + WINDOW, len(raw))
+                owner.append(i)
+                parts.append(raw[start:end + WARM])
+                first.append(at - start)
+                last.append(end - start)
+        total = np.zeros((len(raws), len(self.network.langs)))
+        owner, first, last = np.array(owner), np.array(first), np.array(last)
+        order = np.argsort([-len(x) for x in parts], kind="stable")
+        for at in range(0, len(order), SIDE):
+            some = order[at:at + SIDE]
+            codes, keep = padded([parts[i] for i in some])
+            place = np.arange(codes.shape[1])[:, None]
+            own = ((place >= first[some]) & (place < last[some])).astype(np.float32)
+            p = self.network.positions(codes, None if keep.all() else keep)
+            p *= own[:, :, None]
+            np.add.at(total, owner[some], p.sum(axis=0))
+        return total
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        if len(self.memo) > MEMO_WORDS:
-            self.memo.clear()
-            self.rows = self.rows[:0]
-        split = [stretches(t) for t in texts]
-        fresh = set()
-        for words in split:
-            fresh.update(words)
-        new = sorted(fresh.difference(self.memo))
-        if new:
-            self._learn(new)
-        langs, scores, found = [], [], self.memo.__getitem__
-        for words in split:
-            if not words:
+        raws = [t.lower().encode() if has_letter(t) else None for t in texts]
+        different = list(dict.fromkeys(r for r in raws if r is not None))
+        found = dict(zip(different, self.sums(different))) if different else {}
+        langs, scores = [], []
+        for raw in raws:
+            if raw is None:
                 langs.append(UNKNOWN)
                 scores.append(0.0)
                 continue
-            total = self.rows[np.fromiter(map(found, words), np.int64, len(words))].sum(axis=0, dtype=np.float64)
-            best = int(total[:-1].argmax())
+            best = int(found[raw].argmax())
             langs.append(self.network.langs[best])
-            scores.append(min(1.0, float(total[best] / total[-1])))
+            scores.append(min(1.0, float(found[raw][best] / len(raw))))
         return langs, scores
 
 
@@ -251,15 +273,18 @@ def train(docs: DataFrame, how: Training = Training(), key: str = "doc_id", text
     the sample, however many tasks read the documents and however often a text is repeated.
     """
     known = docs.select(F.col(key).alias("k"), F.col(lang).cast("string").alias("lang"),
-                        F.substring(F.col(text).cast("string"), 1, how.chars).alias("text")).filter(
+                        F.col(text).cast("string").alias("text")).filter(
         F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out("k"))
     drawn = known.select("lang", "text", F.xxhash64("text", F.lit(how.seed)).bitwiseAND(F.lit(2 ** 63 - 1)).alias("h"))
+    start = F.col("h") % F.greatest(F.char_length("text") - how.chars + 1, F.lit(1)) + 1
+    drawn = drawn.select("lang", "h", F.substring("text", start.cast("int"), F.lit(how.chars)).alias("text"))
     drawn = drawn.withColumn("level", F.floor(F.log2(F.greatest("h", F.lit(1)))))
     # At most 64 levels of a language; the counts are estimates, so twice the sample is asked for.
     levels = drawn.groupBy("lang", "level").agg(F.approx_count_distinct("h").alias("n"))
     below = F.sum("n").over(Window.partitionBy("lang").orderBy("level")) - F.col("n")
-    cuts = (levels.withColumn("below", below).filter(F.col("below") < 2 * how.docs)
-            .groupBy("lang").agg(F.max("level").alias("cut")).orderBy("lang").collect())
+    cuts = (levels.withColumn("below", below).groupBy("lang")
+            .agg(F.max(F.when(F.col("below") < 2 * how.docs, F.col("level"))).alias("cut"), F.sum("n").alias("n"))
+            .orderBy(F.desc("n"), "lang").limit(how.langs).collect())
     if not cuts:
         return None
     cut = F.create_map(*[F.lit(x) for r in cuts for x in (r["lang"], r["cut"])])
@@ -267,16 +292,23 @@ def train(docs: DataFrame, how: Training = Training(), key: str = "doc_id", text
     rows = (drawn.filter(F.col("level") <= F.try_element_at(cut, F.col("lang")))
             .groupBy("lang", "h").agg(F.min("text").alias("text"))
             .withColumn("n", F.row_number().over(draw)).filter(F.col("n") <= how.docs).orderBy("lang", "n").collect())
-    words = [(w.encode(), r["lang"]) for r in rows for w in stretches(r["text"])]
-    if not words:
+    texts = [(r["text"].lower().encode(), r["lang"]) for r in rows if has_letter(r["text"])]
+    if not texts:
         return None
-    langs = sorted({lang for _, lang in words})
+    langs = sorted({lang for _, lang in texts})
     rng = np.random.default_rng(how.seed)
-    label = np.array([langs.index(lang) for _, lang in words])
-    # As many words of each language, so that a frequent one isn't favoured.
-    picked = np.concatenate([rng.choice(np.flatnonzero(label == i), how.words // len(langs) + 1) for i in range(len(langs))])
+    label = np.array([langs.index(lang) for _, lang in texts])
+    # As many windows of each language, so that a frequent one isn't favoured, and as many of each of its bytes.
+    sizes, windows, picked = np.array([len(raw) for raw, _ in texts], np.float64), [], []
+    for i in range(len(langs)):
+        own = np.flatnonzero(label == i)
+        for at in rng.choice(own, how.windows // len(langs) + 1, p=sizes[own] / sizes[own].sum()):
+            raw = texts[at][0]
+            start = int(rng.integers(max(1, len(raw) - how.width + 1)))
+            windows.append(raw[start:start + how.width])
+            picked.append(i)
     network = Network(langs, how.hidden, how.seed)
-    network.learn([words[i][0] for i in picked], label[picked], how)
+    network.learn(windows, np.array(picked), how)
     return network
 
 
@@ -327,7 +359,7 @@ def keep_identified(docs: DataFrame, network: Network | None, least: float = 0.4
         def work(batch):
             texts = batch.column(at).to_pylist()
             if not predictor:
-                return [bool(stretches(t)) for t in texts]
+                return [has_letter(t) for t in texts]
             return [lang != UNKNOWN and score >= least for lang, score in zip(*predictor.predict(texts))]
 
         return work
