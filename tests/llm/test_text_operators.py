@@ -487,21 +487,95 @@ def test_bands_from_all_documents_reject_beyond_the_base_rules(spark):
     assert sorted(r["doc_id"] for r in compression.keep_quality(docs).collect()) == sorted(i for i, r in facts.items() if r["kept"])
 
 
-def test_pipeline_keeps_columns_and_clean_documents(spark, odd, documents):
-    docs = documents
+def kept_bytes(rows, length):
+    """Texts without the characters all of whose bytes are covered by a string that starts at two places."""
+    raws = [t.encode() for _, t in rows]
+    starts = collections.Counter(raw[i:i + length] for raw in raws for i in range(len(raw) - length + 1))
+    for raw in raws:
+        gone = np.zeros(len(raw), bool)
+        for i in range(len(raw) - length + 1):
+            if starts[raw[i:i + length]] > 1:
+                gone[i:i + length] = True
+        text, at = [], 0
+        for c in raw.decode():
+            if not gone[at:at + len(c.encode())].all():
+                text.append(c)
+            at += len(c.encode())
+        yield "".join(text)
+
+
+def test_pipeline_equals_brute_force(spark, tmp_path):
+    given = spark.read.parquet(f"{SF}/documents.parquet")
+    rng = np.random.default_rng(8)
+    rows = [r for r in given.filter("text is not null").orderBy("doc_id").limit(300).collect() if r["text"].isascii()]
+    long = [r for r in rows if 150 < len(r["text"].split()) < 1500][:40]
+    passage = "".join(rng.choice(list("abcdefghijklmnop   "), 400))
+    made, top = [r.asDict() for r in rows], 10_000_000
+    planted = collections.defaultdict(list)
+    for i, r in enumerate(long):
+        words = r["text"].split(" ")
+        edited = " ".join([*words[:70], "edited", *words[71:]])
+        for kind, text in (("exact", r["text"]), ("near", edited), ("junk", "ab " * 400 + str(i)), ("numbers", " ".join(map(str, rng.integers(0, 10**6, 90)))),
+                           ("passage", " ".join(rng.choice(words, 90)) + "\n" + passage + "\n" + " ".join(rng.choice(words, 90)))):
+            top += 1
+            planted[kind].append(top)
+            made.append({**r.asDict(), "doc_id": top, "text": text, "n_chars": len(text)})
+    spark.createDataFrame(made, given.schema).repartition(5).write.parquet(str(tmp_path / "documents.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
     for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, stage(spark, docs, SF)
-        if name == "suffix_dedup":
-            want = [w[2] for w in brute_repeats([(k, t.encode()) for k, t in pairs(before)], 200)]
-            assert docs.count() == before.count() and sum(x == 0 for x in want) <= docs.join(before, ["doc_id", "text"]).count()
-        if name != "best_fit_packing":
-            assert docs.columns == documents.columns and docs.count() > 0.8 * before.count()
-            docs = docs.cache()
-    assert docs.count() > 0
+        before = pairs(docs) if name != "quality_rules" else list(texts.items())
+        docs = stage(spark, docs, str(tmp_path)).cache()
+        got = collections.Counter(r["doc_id"] for r in docs.select("doc_id").collect())
+        if name == "quality_rules":
+            failed = {k for k, t in before if len(t.split()) < 50}
+            assert not failed & set(got) and not set(planted["junk"]) & set(got) and got.total() > 0.75 * (len(before) - len(failed) - len(long))
+        elif name == "language_id":
+            assert not set(planted["numbers"]) & set(got) and {k for k, t in before if re.search("[a-z]", t)} - set(got) == set()
+        elif name == "near_dedup":
+            # Brute force: components of documents that are alike in 0.8 of their shingles, the smallest id of each.
+            assert set(got) == {min(c) for c in brute_classes(before)}
+            assert not (set(planted["exact"]) | set(planted["near"])) & set(got)
+        elif name == "suffix_dedup":
+            assert bag(pairs(docs)) == bag(zip([k for k, _ in before], kept_bytes(before, 200)))
+            assert not any(passage in t for _, t in pairs(docs))
+        else:
+            library, want = Tokenizer.from_file(WORDS), []
+            for key, text in before:
+                ids = np.array(library.encode(text, add_special_tokens=False).ids + [0], "<u4")
+                want += [(key, i // 2048, zlib.crc32(ids[i:i + 2048].tobytes())) for i in range(0, len(ids), 2048)]
+            assert bag(docs.select("doc_id", "piece", "ids_crc32").collect()) == bag(want)
+    whole = corpus_pipeline.run(spark, str(tmp_path))
+    last = ["doc_id", "piece", "start", "length", "ids_crc32"]
+    assert bag(whole.select(*last).collect()) == bag(docs.select(*last).collect())
+
+
+def test_pipeline_of_odd_texts(spark, odd, documents):
+    docs = documents
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        before, docs = docs, stage(spark, docs, SF).cache()
+        assert docs.columns == documents.columns and docs.count() > 0.8 * before.count()
     rows = odd
-    for _, stage in corpus_pipeline.STAGES:
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, odd.filter("false"), SF)
+        assert empty.count() == 0
         rows = stage(spark, rows, SF)
-    assert rows.count() >= 0
+        if name != "best_fit_packing":
+            assert rows.columns == odd.columns
+    # Only the long text has fifty words that do not repeat.
+    assert {r["doc_id"] for r in rows.collect()} <= {4}
+
+
+def test_helper_columns_do_not_clash(spark, odd):
+    # Columns that are called like the operators' own ones come back as they were.
+    named = odd.select("*", F.concat(F.lit("r"), F.col("doc_id")).alias("__row"), F.lit("c").alias("__Cut"), F.lit(5).alias("class"),
+                       F.lit(6).alias("first"), F.lit(7).alias("___row"))
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.repeats):
+        plain = [c for c in odd.columns]
+        got = stage(spark, named, SF)
+        assert got.columns == named.columns
+        assert bag(got.select(*plain).collect()) == bag(stage(spark, odd, SF).collect())
+        assert got.filter("not (__row <=> concat('r', doc_id)) or __Cut != 'c' or class != 5 or first != 6 or ___row != 7").count() == 0
 
 
 def test_every_operator_is_registered():

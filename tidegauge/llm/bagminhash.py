@@ -359,15 +359,18 @@ def linked_classes(rows: DataFrame, least: float = SIMILARITY, words: int = WORD
     return named.join(labels, "id", "left").select("row", F.coalesce("component", "id").alias("class"))
 
 
-def _chosen(docs: DataFrame, key: str, text: str, **how) -> tuple[DataFrame, DataFrame]:
-    """The numbered documents, and (row, class, first, first_id): each row's class and the row that stands for it."""
-    rows = numbered(docs)
-    texts = rows.select(F.col("__row").alias("row"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
+def _chosen(docs: DataFrame, key: str, text: str, **how) -> tuple[DataFrame, str, DataFrame, DataFrame]:
+    """The numbered documents with the name of their number, (row, class, doc_id), and for each class its size `n_class`,
+    the row `first` that stands for it and that row's key `class_id`. Classes are stored, so that a join with
+    them has a shuffle of its own and adaptive execution may split a large class."""
+    rows, number = numbered(docs)
+    texts = rows.select(F.col(number).alias("row"), F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).alias("text"))
     classes = settled(docs.sparkSession, lambda: linked_classes(texts, **how), "classes")
-    keyed = classes.join(rows.select(F.col("__row").alias("row"), F.col(key).cast("bigint").alias("doc_id")), "row")
+    keyed = classes.join(rows.select(F.col(number).alias("row"), F.col(f"`{key}`").cast("bigint").alias("doc_id")), "row")
     order = F.struct(F.col("doc_id").isNull().alias("no"), "doc_id", "row")
     firsts = keyed.groupBy("class").agg(F.min(order).alias("first"), F.count(F.lit(1)).alias("n_class"))
-    return rows, keyed.join(firsts.select("class", F.col("first.row").alias("first"), F.col("first.doc_id").alias("class_id"), "n_class"), "class")
+    firsts = firsts.select("class", F.col("first.row").alias("first"), F.col("first.doc_id").alias("class_id"), "n_class")
+    return rows, number, keyed, written(firsts, "firsts")
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
@@ -377,12 +380,11 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", **
     documents; `class_id` is the smallest doc_id of the class, null ids being largest, and `kept` marks one
     of its rows, of equal ids the first stored one. Null texts are empty; texts without words are one class.
     """
-    _, found = _chosen(docs, key, text, **how)
-    return found.select("doc_id", "class_id", "n_class", (F.col("row") == F.col("first")).alias("kept"))
+    _, _, keyed, firsts = _chosen(docs, key, text, **how)
+    return keyed.join(firsts, "class").select("doc_id", "class_id", "n_class", (F.col("row") == F.col("first")).alias("kept"))
 
 
 def keep_distinct(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """One document of each class, with all its columns."""
-    rows, found = _chosen(docs, key, text, **how)
-    kept = found.filter(F.col("row") == F.col("first")).select(F.col("row").alias("__row"))
-    return rows.join(kept, "__row", "left_semi").drop("__row")
+    rows, number, _, firsts = _chosen(docs, key, text, **how)
+    return rows.join(firsts.select(F.col("first").alias(number)), number, "left_semi").drop(number)

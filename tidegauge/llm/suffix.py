@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from tidegauge.llm.texts import bound_batches, map_batches, numbered, record_batch, settled, written
+from tidegauge.llm.texts import bound_batches, free_name, map_batches, numbered, record_batch, settled, written
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -379,10 +379,10 @@ def repeated_spans(rows: DataFrame, length: int = LENGTH, seed: int = SEED, grou
             .unionByName(_counted_spans(groups.filter(F.col("size") > group), length)))
 
 
-def _with_spans(rows: DataFrame, text: str, length: int, how: str, *others: str) -> DataFrame:
+def _with_spans(rows: DataFrame, row: str, text: str, length: int, how: str, *others: str) -> DataFrame:
     """row, raw, the repeated strings' starts as `spans`, and other columns."""
-    raw = rows.select(F.col("__row").alias("row"),
-                      F.encode(F.coalesce(F.col(text).cast("string"), F.lit("")), "UTF-8").alias("raw"), *others)
+    raw = rows.select(F.col(row).alias("row"),
+                      F.encode(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")), "UTF-8").alias("raw"), *others)
     spans = settled(rows.sparkSession, lambda: repeated_spans(raw, length), "spans")
     return raw.join(spans.groupBy("row").agg(F.collect_list(F.struct("first", "end")).alias("spans")), "row", how)
 
@@ -402,10 +402,10 @@ def removed_repeats(docs: DataFrame, length: int = LENGTH, key: str = "doc_id",
     A null text is empty. A text shorter than `length` bytes keeps all. Equal rows are different places, so texts of
     `length` bytes or more that occur twice lose everything. Ids may be null or repeated.
     """
-    rows = numbered(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
+    rows, number = numbered(docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("text")))
     schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()),
                         ("n_spans", pa.int64()), ("kept_sha256", pa.string())])
-    joined = _with_spans(rows, "text", length, "left", "doc_id")
+    joined = _with_spans(rows, number, "text", length, "left", "doc_id")
 
     def make():
         def work(batch):
@@ -438,7 +438,8 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", c
     No row goes; a text that is repeated whole becomes empty. A null text stays null. Characters of which only some
     bytes are repeated stay whole, so that texts remain valid.
     """
-    rows = numbered(docs)
+    rows, number = numbered(docs)
+    fresh_text = free_name(rows, "__cut")
     schema = pa.schema([("row", pa.int64()), ("cut", pa.string())])
 
     def make():
@@ -451,14 +452,14 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, text: str = "text", c
 
         return work
 
-    cut = map_batches(_with_spans(rows, text, length, "inner"), schema, make)
-    fresh = rows.join(cut.select(F.col("row").alias("__row"), F.col("cut").alias("__cut")), "__row", "left")
+    cut = map_batches(_with_spans(rows, number, text, length, "inner"), schema, make)
+    fresh = rows.join(cut.select(F.col("row").alias(number), F.col("cut").alias(fresh_text)), number, "left")
     shown = []
     for name, kind in docs.dtypes:
         if name == text:
-            shown.append(F.coalesce("__cut", F.col(f"`{name}`")).alias(name))
+            shown.append(F.coalesce(fresh_text, F.col(f"`{name}`")).alias(name))
         elif name == chars:
-            shown.append(F.when(F.col("__cut").isNotNull(), F.char_length("__cut")).otherwise(F.col(f"`{name}`")).cast(kind).alias(name))
+            shown.append(F.when(F.col(fresh_text).isNotNull(), F.char_length(fresh_text)).otherwise(F.col(f"`{name}`")).cast(kind).alias(name))
         else:
             shown.append(F.col(f"`{name}`"))
     return fresh.select(*shown)

@@ -115,9 +115,18 @@ def settled(spark: SparkSession, make: Callable[[], DataFrame], label: str) -> D
     return spark.read.schema(rows.schema).parquet(path)
 
 
-def numbered(docs: DataFrame) -> DataFrame:
-    """The documents written once, with a number for each row in `__row`."""
-    return written(docs.withColumn("__row", F.monotonically_increasing_id()), "documents")
+def free_name(docs: DataFrame, wish: str) -> str:
+    """`wish`, with underscores in front until no column is called so."""
+    taken = {c.lower() for c in docs.columns}
+    while wish.lower() in taken:
+        wish = "_" + wish
+    return wish
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """The documents written once with a number for each row, and the name of the column that holds it."""
+    name = free_name(docs, "__row")
+    return written(docs.withColumn(name, F.monotonically_increasing_id()), "documents"), name
 
 
 def record_batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
