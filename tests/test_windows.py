@@ -66,6 +66,31 @@ def test_range_frames_match_brute_force(skewed):
     assert len(got) == wanted
 
 
+def test_range_frames_over_short_cells(skewed, monkeypatch):
+    """Denser data get shorter cells, so no task holds a frame; the rows stay the same."""
+    _, rows = skewed
+    spans = (("1m", 60), ("5m", 300), ("15m", 900))
+    numbers = [settled(F.col(c), 6) for c in ("avg_price", "std_dev", "total_volume", "vwap")]
+    shown = ["symbol", "ts", "window_size", *numbers, "trade_count", "min_price", "max_price"]
+    whole = sorted(map(tuple, windows.range_frame_metrics(rows, spans).select(*shown).collect()))
+    stamps = rows.select("symbol", "ts")
+    assert windows._cell_length(stamps, [60, 300, 900])[0] == 60
+    monkeypatch.setattr(windows, "CELL_ROWS", 12)
+    monkeypatch.setattr(windows, "TASK_ROWS", 1000)
+    width, _ = windows._cell_length(stamps, [60, 300, 900])
+    held = stamps.distinct().groupBy("symbol", F.floor(F.unix_seconds("ts") / width)).count().agg(F.max("count")).first()[0]
+    assert 1 < width < 60 and held <= 12
+    assert sorted(map(tuple, windows.range_frame_metrics(rows, spans).select(*shown).collect())) == whole
+
+
+def test_range_frames_keep_a_price_that_is_no_number_to_its_frames(spark):
+    rows = spark.sql("""SELECT id, 'A' AS symbol, IF(id = 3, double('NaN'), double(id)) AS price, 1D AS volume,
+                        timestamp_seconds(1704067200 + id * 30) AS ts FROM range(12)""")
+    got = {int(r["ts"].timestamp() - 1704067200) // 30: r["avg_price"] for r in windows.range_frame_metrics(rows, (("1m", 60),)).collect()}
+    assert sorted(i for i in got if got[i] != got[i]) == [3, 4, 5]
+    assert got[6] == pytest.approx(5.0) and got[0] == 0.0
+
+
 def test_levels_equal_direct_bars(skewed):
     _, rows = skewed
     levels = windows.ohlcv_levels(rows, (("1m", 60), ("5m", 300), ("15m", 900)))

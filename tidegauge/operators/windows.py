@@ -6,14 +6,18 @@ Input columns: id, symbol, price, volume, ts.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
+from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidegauge.functions.scalars import moment_key, seconds
-from tidegauge.operators.sharding import CHUNK_ROWS, largest_group
+from tidegauge.functions.scalars import finite, moment_key, seconds
 from tidegauge.schemas import WINDOWS
 
+CELL_ROWS = 100_000           # instants of a symbol that one cell of time may hold
+TASK_ROWS = 1_000_000         # rows of cells that one task may sort
+
 
 def volume_weighted(price_volume: Column, volume: Column, mean: Column) -> Column:
     """Volume-weighted mean; the plain mean when there is no volume."""
@@ -123,8 +127,9 @@ def ohlcv_levels(trades: DataFrame, windows: Sequence[tuple[str, int]] = WINDOWS
     }), "window_size")
 
 
-# How each folded statistic combines over instants.
+# Statistics of a record of trades; all but the moments combine by these.
 _MERGE = {"_n": F.sum, "_k": F.sum, "_d1": F.sum, "_d2": F.sum, "_vol": F.sum, "_pv": F.sum, "_min": F.min, "_max": F.max}
+_RECORD = ("_n", "_k", "_mean", "_squares", "_vol", "_pv", "_min", "_max")
 
 
 def _add(a: Column, b: Column) -> Column:
@@ -134,85 +139,123 @@ def _add(a: Column, b: Column) -> Column:
 _COMBINE = {name: {F.sum: _add, F.min: F.least, F.max: F.greatest}[how] for name, how in _MERGE.items()}
 
 
-def _frame(rows: DataFrame, length: int) -> tuple[DataFrame, dict[str, Column]]:
-    """Statistics of (ts - length .. ts) for every instant, without touching a frame's rows one by one.
+def _records(grouped) -> DataFrame:
+    return grouped.agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.count("price").alias("_k"),
+        F.avg("price").alias("_mean"),
+        (F.var_pop("price") * F.count("price")).alias("_squares"),
+        F.sum("volume").alias("_vol"),
+        F.sum(F.col("price") * F.col("volume")).alias("_pv"),
+        F.min("price").alias("_min"),
+        F.max("price").alias("_max"),
+    )
+
+
+def _cell(at: str, width: int) -> Column:
+    return F.expr(f"({at} - pmod({at}, {width}L)) div {width}L")
+
 
-    Time is cut into cells as long as the frame, so a frame is the end of one cell plus the
-    start of the next. Both parts are running aggregates of their cell, one forwards and one
-    backwards; the backward one is read at the frame's first instant.
+def _reached(rows: DataFrame, width: int, shifts: dict[int, int], upto: int = 0, between: DataFrame | None = None,
+             parts: int = 0) -> DataFrame:
+    """Records `_r<i>` over what each of `rows` (symbol, _at, record) reaches back to, for each frame i.
+
+    Places are cut into cells of `width`. A frame is as many cells long as its shift says, so it begins as far inside its
+    first cell as the row lies inside its own: each row is copied into the cell that looks back to it, where a running
+    aggregate from the end yields the frame's first cell, and one from the start (up to the row, or the one
+    before it: `upto`) its last. What lies between, one record per frame and cell (_w, _cell), joins the former.
+    """
+    copies = [(-1, 0), *shifts.items()]
+    placed = rows.select(
+        "symbol", F.pmod("_at", F.lit(width).cast("bigint")).alias("_offset"), _cell("_at", width).alias("_own"), *_RECORD,
+        F.inline(F.array(*[F.struct(F.lit(i).alias("_w"), F.lit(s).cast("bigint").alias("_shift")) for i, s in copies])))
+    columns = ["symbol", (F.col("_own") + F.col("_shift")).alias("_cell"), "_offset", "_w", *_RECORD]
+    placed = placed.select(*columns)
+    if between is not None:
+        placed = placed.unionByName(between.withColumn("_offset", F.lit(width).cast("bigint")))
+    if parts:
+        placed = placed.repartition(parts, "symbol", "_cell")
+
+    # Moments around a mean price of the cell's rows stay exact where plain sums of squares would cancel.
+    key = ("symbol", "_cell")
+    falling = Window.partitionBy(*key).orderBy(F.col("_offset").desc())
+    whole = falling.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    price = finite(F.col("_mean"))
+    weight = F.when(price.isNotNull(), F.col("_k"))
+    centre = F.coalesce(F.sum(price * weight).over(whole) / F.nullif(F.sum(weight).over(whole), F.lit(0)), F.lit(0.0))
+    apart = F.col("_mean") - F.col("_centre")
+    centred = placed.withColumn("_centre", centre).withColumns({
+        "_d1": apart * F.col("_k"), "_d2": F.col("_squares") + apart * apart * F.col("_k")}).drop("_mean", "_squares")
+    backward = falling.rangeBetween(Window.unboundedPreceding, 0)
+    tails = {f"_t{i}": F.struct(*[how(F.when(F.col("_w") == i, F.col(name))).over(backward).alias(name) for name, how in _MERGE.items()])
+             for i in shifts}
+    forward = Window.partitionBy(*key).orderBy("_offset").rowsBetween(Window.unboundedPreceding, upto)
+    head = F.struct(*[how(name).over(forward).alias(name) for name, how in _MERGE.items()])
+    framed = centred.withColumns(tails).filter(F.col("_w") == -1).withColumn("_head", head)
+
+    found = []
+    for i in shifts:
+        stat = {name: _COMBINE[name](F.col(f"_head.{name}"), F.col(f"_t{i}.{name}")) for name in _MERGE}
+        share = F.try_divide(stat["_d1"], stat["_k"])
+        made = stat | {"_mean": F.col("_centre") + share, "_squares": F.greatest(stat["_d2"] - stat["_d1"] * share, F.lit(0.0))}
+        found.append(F.struct(*[made[name].alias(name) for name in _RECORD]).alias(f"_r{i}"))
+    return framed.select("symbol", (F.col("_cell") * width + F.col("_offset")).alias("_at"), *found)
+
+
+def _cell_length(stamps: DataFrame, lengths: Sequence[int]) -> tuple[int, int]:
+    """Seconds of a cell: the longest common divisor of `lengths` with few instants of a symbol in each; and the number of rows counted.
+
+    Counts are of rows at first, and of instants if these are too many: a burst at one instant is one instant.
     """
-    micros = length * 1_000_000
-    part = ("symbol", "_chunk")
-    cell = F.floor(F.col("_at") / micros)
-    forward = Window.partitionBy(*part, "_cell").orderBy("_at").rowsBetween(Window.unboundedPreceding, 0)
-    backward = Window.partitionBy(*part, "_cell").orderBy(F.col("_at").desc()).rowsBetween(Window.unboundedPreceding, 0)
-    reach = Window.partitionBy(*part).orderBy(F.col("_at").desc()).rangeBetween(Window.unboundedPreceding, micros)
-    tail = F.struct(F.col("_cell").alias("cell"), *[how(name).over(backward).alias(name) for name, how in _MERGE.items()])
-    placed = (rows.withColumn("_cell", cell)
-              .withColumn("_head", F.struct(*[how(name).over(forward).alias(name) for name, how in _MERGE.items()]))
-              .withColumn("_tail", tail)
-              .withColumn("_far", F.last("_tail").over(reach)))
-    earlier = F.col("_far.cell") < F.col("_cell")
-    head = {name: F.col(f"_head.{name}") for name in _MERGE}
-    merged = {name: F.when(earlier, _COMBINE[name](head[name], F.col(f"_far.{name}"))).otherwise(head[name])
-              for name in _MERGE}
-    return placed, merged
+    longest = gcd(*lengths)
+    width, folded = longest, False
+    while True:
+        counts = stamps.groupBy("symbol", _cell("unix_micros(ts)", width * 1_000_000).alias("cell")).count()
+        densest, total = counts.agg(F.max("count"), F.sum("count")).first()
+        if (densest or 0) <= CELL_ROWS or width == 1 and folded:
+            return width, total or 0
+        if folded:
+            width = max(d for d in range(1, width) if longest % d == 0 and (d == 1 or d * densest <= width * CELL_ROWS))
+        else:
+            stamps, folded = stamps.distinct(), True
 
 
 def range_frame_metrics(trades: DataFrame, windows: Sequence[tuple[str, int]] = WINDOWS) -> DataFrame:
     """Trailing statistics at every instant that has a trade: one row per (symbol, ts).
 
     Trades of one instant share their frames, so they are folded first (a burst at one
-    instant costs one row). A symbol is then cut into time chunks; an instant is copied
-    into the next chunk when a frame over there can reach it. A task sees the distinct instants
-    of one chunk plus one frame of a symbol, and streams them; a chunk is never shorter than
-    four times the longest frame.
+    instant costs one row). Time is cut into cells that divide all frames. A frame is the end of one cell, whole cells, and the
+    start of the row's own. Whole cells are records of their own, and a frame over them is put together the
+    same way. A task sees a few cells of a symbol, never a frame, and cells get shorter as data get denser.
     """
     clean = trades.filter(F.col("symbol").isNotNull() & F.col("ts").isNotNull())
-    instants = clean.groupBy("symbol", "ts").agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.count("price").alias("_k"),
-        F.avg("price").alias("_mean"),
-        F.var_pop("price").alias("_var"),
-        F.sum("volume").alias("_vol"),
-        F.sum(F.col("price") * F.col("volume")).alias("_pv"),
-        F.min("price").alias("_min"),
-        F.max("price").alias("_max"),
-    )
-    at = F.unix_micros("ts")
-    reach = max(length for _, length in windows) * 1_000_000
-    # Long chunks copy fewer rows; the densest stretch of the data says how long they may be.
-    densest = largest_group(clean.select("symbol", F.floor(at / (4 * reach)).alias("stretch")), ["symbol", "stretch"])
-    width = 4 * reach * min(64, max(1, CHUNK_ROWS // max(1, densest)))
-    chunk = F.floor(at / width)
-    copies = F.when(F.pmod(at, F.lit(width)) >= width - reach, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
-    placed = (instants.withColumn("_home", F.explode(copies))
-              .withColumns({"_at": at, "_chunk": chunk + F.col("_home")}))
-
-    # Moments around the chunk's mean price stay exact where plain sums of squares would cancel.
-    whole = Window.partitionBy("symbol", "_chunk")
-    centre = F.sum(F.col("_mean") * F.col("_k")).over(whole) / F.nullif(F.sum("_k").over(whole), F.lit(0))
-    offset = F.col("_mean") - F.col("_centre")
-    rows = placed.withColumn("_centre", centre).withColumns({
-        "_d1": offset * F.col("_k"),
-        "_d2": (F.col("_var") + offset * offset) * F.col("_k"),
-    })
-    records = []
-    for i, (label, length) in enumerate(windows):
-        rows, stat = _frame(rows, length)
-        k, d1, d2 = stat["_k"], stat["_d1"], stat["_d2"]
-        mean = F.col("_centre") + F.try_divide(d1, k)
-        squares = F.greatest(d2 - F.try_divide(d1 * d1, k), F.lit(0.0))
-        total = F.coalesce(stat["_vol"], F.lit(0.0))
-        rows = rows.withColumn(f"_record{i}", F.struct(
+    lengths = [length for _, length in windows]
+    width, total = _cell_length(clean.select("symbol", "ts"), lengths)
+    micros = width * 1_000_000
+    instants = _records(clean.groupBy("symbol", "ts")).withColumn("_at", F.unix_micros("ts"))
+    cells = _records(clean.groupBy("symbol", _cell("unix_micros(ts)", micros).alias("_at")))
+    # Of frames of two cells and more: the whole cells between the first and the row's own.
+    between = [_reached(cells, length // width - 1, {i: 1}, -1).filter(F.col(f"_r{i}._n") > 0)
+               .select("symbol", F.col("_at").alias("_cell"), F.lit(i).alias("_w"), f"_r{i}.*")
+               for i, length in enumerate(lengths) if length > width]
+    # More partitions than the session's only if these would hold too many rows.
+    parts = -(-total * (len(windows) + 1) // TASK_ROWS)
+    found = _reached(instants, micros, {i: length // width for i, length in enumerate(lengths)},
+                     between=reduce(DataFrame.unionByName, between) if between else None,
+                     parts=parts if parts > int(trades.sparkSession.conf.get("spark.sql.shuffle.partitions")) else 0)
+    results = []
+    for i, (label, _) in enumerate(windows):
+        k, mean = F.col(f"_r{i}._k"), F.col(f"_r{i}._mean")
+        total_volume = F.coalesce(f"_r{i}._vol", F.lit(0.0))
+        spread = F.sqrt(F.col(f"_r{i}._squares") / F.greatest(k - 1, F.lit(1)))
+        results.append(F.struct(
             F.lit(label).alias("window_size"),
             mean.alias("avg_price"),
-            F.when((k > 1) & (stat["_min"] < stat["_max"]), F.sqrt(squares / F.greatest(k - 1, F.lit(1)))).otherwise(0.0).alias("std_dev"),
-            total.alias("total_volume"),
-            stat["_n"].alias("trade_count"),
-            volume_weighted(stat["_pv"], total, mean).alias("vwap"),
-            stat["_min"].alias("min_price"),
-            stat["_max"].alias("max_price"),
-        )).drop("_cell", "_head", "_tail", "_far")
-        records.append(F.col(f"_record{i}"))
-    return rows.filter(F.col("_home") == 0).select("symbol", "ts", F.inline(F.array(*records)))
+            F.when((k > 1) & (F.col(f"_r{i}._min") < F.col(f"_r{i}._max")), spread).otherwise(0.0).alias("std_dev"),
+            total_volume.alias("total_volume"),
+            F.col(f"_r{i}._n").alias("trade_count"),
+            volume_weighted(F.col(f"_r{i}._pv"), total_volume, mean).alias("vwap"),
+            F.col(f"_r{i}._min").alias("min_price"),
+            F.col(f"_r{i}._max").alias("max_price"),
+        ))
+    return found.select("symbol", F.timestamp_micros("_at").alias("ts"), F.inline(F.array(*results)))
