@@ -124,6 +124,15 @@ def test_quantiles_by_brackets_of_hard_keys(spark, shape):
             assert both[0][key] == pytest.approx(both[1][key], rel=1e-12, nan_ok=True)
 
 
+def test_a_large_key_of_few_values_needs_no_brackets(spark, monkeypatch):
+    rows = spark.range(20_000).selectExpr("if(id % 3 = 0, null, 'X') AS symbol", "double(id * id % 41) AS price", "1 + id % 4 AS n")
+    probs, names = (0.25, 0.7500125, 1.0), ("a", "b", "c")
+    wanted = sharding.grouped_quantiles(rows, ["symbol"], "price", probs, names, group_limit=10**9, weight="n").collect()
+    monkeypatch.setattr(sharding, "_counted", None)
+    got = sharding.grouped_quantiles(rows, ["symbol"], "price", probs, names, group_limit=100, weight="n").collect()
+    assert sorted(map(tuple, got), key=str) == sorted(map(tuple, wanted), key=str) and len(got) == 2
+
+
 def test_no_tally_is_stored(skewed, monkeypatch):
     stored = []
     plain = sharding.cut

@@ -64,15 +64,14 @@ def _attached_statistics(keyed: DataFrame, quartiles: bool, group_limit: int) ->
     last = cut(latest_per_key(keyed, "symbol", MOMENT))
     border = last.select("symbol", F.struct(*MOMENT).alias("_border"))
     placed = attach(keyed, border, ["symbol"], fixed=True).withColumn("_at", F.struct(*MOMENT))
-    before = placed.filter(F.col("_at") < F.col("_border")).drop("_at", "_border")
+    past = F.col("_at") < F.col("_border")
+    before = placed.filter(past).drop("_at", "_border")
     # Copies of the newest row are all alike, so their number stands for them.
-    copies = (placed.filter(F.col("_at") == F.col("_border")).groupBy("symbol")
-              .agg((F.count(F.lit(1)) - 1).alias("_copies")))
-    known = before.groupBy("symbol").agg(
-        F.count(F.lit(1)).alias("_n"), F.avg("price").alias("_mean"), F.var_pop("price").alias("_var"),
-        F.sum("volume").alias("_volume"))
-    joined = last.select("symbol", F.col("price").alias("current_price"), F.col("volume").alias("current_volume")) \
-        .join(copies, "symbol").join(known, "symbol", "left")
+    earlier, amount = F.when(past, F.col("price")), F.when(past, F.col("volume"))
+    known = placed.groupBy("symbol").agg(
+        (F.count_if(F.col("_at") == F.col("_border")) - 1).alias("_copies"), F.count_if(past).alias("_n"),
+        F.avg(earlier).alias("_mean"), F.var_pop(earlier).alias("_var"), F.sum(amount).alias("_volume"))
+    joined = last.select("symbol", F.col("price").alias("current_price"), F.col("volume").alias("current_volume")).join(known, "symbol")
     n, k, price = F.coalesce("_n", F.lit(0)), F.col("_copies"), F.col("current_price")
     total = (n + k).cast("double")
     apart = price - F.coalesce("_mean", price)

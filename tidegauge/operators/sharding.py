@@ -131,6 +131,11 @@ def _coded(keys: Sequence[str]) -> dict[str, Column]:
     return codes | {f"_z{i}": F.col(k).isNull() for i, k in enumerate(keys)}
 
 
+def _most_values(rows: DataFrame, keys: Sequence[str]) -> int:
+    """About how many different values the key with the most of them has: sketches of fixed size merge, no value moves."""
+    return rows.groupBy(*keys).agg(F.approx_count_distinct("_v").alias("_values")).agg(F.max("_values")).first()[0] or 0
+
+
 def _ranked_quantiles(tally: DataFrame, keys: Sequence[str], value: str, probs: Sequence[float], names: Sequence[str]) -> DataFrame:
     """Built-in percentile over few different values of each key, weighted by their counts."""
     found = tally.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(float(p)) for p in probs]), F.col("_n")).alias("_q"))
@@ -144,8 +149,8 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
 
     `weight` names a column that says how many rows a row stands for.
 
-    Keys of at most `group_limit` rows in all use the built-in percentile over values counted on the map side. With a larger
-    key, each wanted rank is searched for in a bracket of values, for all keys at once: a mergeable sketch of the
+    Keys of at most `group_limit` rows, or about as many different values, use the built-in percentile over values counted on
+    the map side. With a larger key, each wanted rank is searched for in a bracket of values, for all keys at once: a mergeable sketch of the
     values inside the bracket proposes a narrower one, a second aggregate counts the rows below and inside, and the part that
     holds the rank becomes the bracket. A round narrows a bracket about `accuracy` / 2 times, so two or three are enough for any
     input. At last only the brackets' values are counted one by one. Nothing but brackets is ever stored.
@@ -153,7 +158,7 @@ def grouped_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Seq
     number = F.col(weight).cast("bigint") if weight else F.lit(1).cast("bigint")
     rows = df.filter(F.col(value).isNotNull() & ~F.isnan(value)).select(
         *keys, F.col(value).cast("double").alias("_v"), number.alias("_w"))
-    if largest_group(rows, keys) <= group_limit:
+    if largest_group(rows, keys) <= group_limit or _most_values(rows, keys) <= group_limit:
         tally = rows.groupBy(*keys, F.col("_v").alias(value)).agg(F.sum("_w").alias("_n"))
         return _ranked_quantiles(tally, keys, value, probs, names)
 
